@@ -53,7 +53,7 @@ def token_array(c: Column | str, cjk: bool = False) -> Column:
 def strip_reasoning(c: Column | str, flag: str = "</think>") -> Column:
     """Second piece after splitting on ``flag`` if there is one, else the whole text."""
     col = F.col(c) if isinstance(c, str) else c
-    parts = F.split(col, F.lit(flag), -1)
+    parts = F.split(col, "\\Q" + flag + "\\E", -1)   # literal, not a regex
     return F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(col)
 
 

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.operators import corpus, vocab
-from textlab.plans.tables import documents
+from textlab.operators import cluster, corpus, quality, tagging, vocab
+from textlab.plans.tables import documents, embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -95,6 +95,88 @@ def q_stripped(spark, sf_dir):
     return _doc(s.select("ord", "text", F.length("text").alias("n_chars")))
 
 
+
+# ---------------------------------------------------------------- cluster quality
+def _round_metrics(df: DataFrame) -> DataFrame:
+    return df.select("n_samples", "n_in_clusters", "n_clusters",
+                     *[F.round(c, 6).alias(c) for c in ("silhouette", "calinski", "davies_bouldin")])
+
+
+@register("cluster_metrics")
+def q_cluster_metrics(spark, sf_dir):
+    """Q-1..Q-4 on the given clustering of ``embeddings``."""
+    return _round_metrics(quality.evaluate(embeddings(spark, sf_dir)))
+
+
+@register("cluster_metrics_noise")
+def q_cluster_metrics_noise(spark, sf_dir):
+    """Q-1..Q-4 with label 0 treated as noise (-1), so noise rows are dropped first."""
+    pts = embeddings(spark, sf_dir).withColumn(
+        "cluster", F.when(F.col("cluster") == 0, F.lit(-1)).otherwise(F.col("cluster")))
+    return _round_metrics(quality.evaluate(pts))
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    """C8."""
+    return cluster.cluster_sizes(embeddings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- tagging
+def _tagged(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return tagging.tag(docs, tagging.rule_labeller, dense=False)
+
+
+@register("label_batches")
+def q_label_batches(spark, sf_dir):
+    """L1 with a distributed ordinal (no single-partition window)."""
+    b = tagging.assign_batches(documents(spark, sf_dir), dense=False)
+    return _doc(b.select("ord", "batch_id", "idx"))
+
+
+@register("label_prompts")
+def q_label_prompts(spark, sf_dir):
+    """L2."""
+    return _tagged(spark, sf_dir)["prompts"].select("batch_id", "n_texts", "prompt")
+
+
+@register("label_replies")
+def q_label_replies(spark, sf_dir):
+    """L3 (+L7 error column) with the deterministic rule labeller."""
+    return _tagged(spark, sf_dir)["replies"]
+
+
+@register("label_parse")
+def q_label_parse(spark, sf_dir):
+    """L4 + L5."""
+    return _tagged(spark, sf_dir)["labels"]
+
+
+@register("label_quarantine")
+def q_label_quarantine(spark, sf_dir):
+    """L5 rejects: lines whose index is not an integer."""
+    return _tagged(spark, sf_dir)["quarantine"]
+
+
+@register("label_align")
+def q_label_align(spark, sf_dir):
+    """Texts left join labels by key."""
+    return _doc(_tagged(spark, sf_dir)["aligned"].select("ord", "batch_id", "idx", "label", "error"))
+
+
+@register("label_validate")
+def q_label_validate(spark, sf_dir):
+    """L8 on every aligned label."""
+    a = _tagged(spark, sf_dir)["aligned"].where(F.col("label").isNotNull())
+    return _doc(tagging.validate(a).select("ord", "label", "n_words", "valid", "reason"))
+
+
+@register("label_freq")
+def q_label_freq(spark, sf_dir):
+    """L9."""
+    return tagging.label_freq(_tagged(spark, sf_dir)["aligned"])
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
-

@@ -75,3 +75,115 @@ ORACLES["stripped_texts"] = f"""SELECT doc_id, trim(coalesce(text, ''), {WS}) AS
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _metrics_sql(points: str) -> str:
+    """Exact metrics over a ``p(id, cluster, v DOUBLE[])`` CTE body (noise = -1)."""
+    return f"""WITH p0 AS ({points}),
+p AS (SELECT * FROM p0 WHERE cluster <> -1),
+e AS (SELECT id, cluster, unnest(generate_series(1, len(v))) AS j, unnest(v) AS x FROM p),
+c AS (SELECT cluster, j, avg(x) AS m FROM e GROUP BY cluster, j),
+nk AS (SELECT cluster, count(*) AS n FROM p GROUP BY cluster),
+g AS (SELECT c.j, sum(c.m * nk.n) / sum(nk.n) AS m FROM c JOIN nk USING (cluster) GROUP BY c.j),
+dc AS (SELECT e.id, e.cluster, sum((e.x - c.m) * (e.x - c.m)) AS sq
+       FROM e JOIN c USING (cluster, j) GROUP BY e.id, e.cluster),
+sp AS (SELECT cluster, avg(sqrt(sq)) AS s, sum(sq) AS w FROM dc GROUP BY cluster),
+bb AS (SELECT sum(nk.n * x.s) AS b FROM (SELECT c.cluster, sum((c.m - g.m) * (c.m - g.m)) AS s
+       FROM c JOIN g USING (j) GROUP BY c.cluster) x JOIN nk USING (cluster)),
+cd AS (SELECT a.cluster AS ci, b.cluster AS cj, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d
+       FROM c a JOIN c b ON a.j = b.j AND a.cluster <> b.cluster GROUP BY 1, 2),
+dbr AS (SELECT ci, max(CASE WHEN d = 0 THEN 0 ELSE (si.s + sj.s) / d END) AS worst, max(d) AS md
+        FROM cd JOIN sp si ON si.cluster = ci JOIN sp sj ON sj.cluster = cj GROUP BY ci),
+pd AS (SELECT a.id, a.cluster AS ca, b.cluster AS cb,
+              CASE WHEN a.id = b.id THEN 0 ELSE list_distance(a.v, b.v) END AS d
+       FROM p a, p b),
+ps AS (SELECT id, ca, cb, sum(d) AS s, count(*) AS n FROM pd GROUP BY 1, 2, 3),
+si AS (SELECT id, max(CASE WHEN ca = cb THEN n END) AS own_n,
+              max(CASE WHEN ca = cb AND n > 1 THEN s / (n - 1) END) AS a,
+              min(CASE WHEN ca <> cb THEN s / n END) AS b FROM ps GROUP BY id),
+cnt AS (SELECT count(*) AS n_samples, count(*) FILTER (WHERE cluster <> -1) AS n_in_clusters,
+               count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters FROM p0),
+ok AS (SELECT n_clusters >= 2 AND n_clusters <= n_in_clusters - 1 AS ok FROM cnt)
+SELECT cnt.n_samples, cnt.n_in_clusters, cnt.n_clusters,
+  CASE WHEN ok.ok THEN round((SELECT avg(CASE WHEN own_n <= 1 THEN 0
+        WHEN greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) FROM si), 6) END AS silhouette,
+  CASE WHEN ok.ok THEN round((SELECT CASE WHEN (SELECT sum(w) FROM sp) = 0 THEN 1.0
+        ELSE b * (cnt.n_in_clusters - cnt.n_clusters) / ((SELECT sum(w) FROM sp) * (cnt.n_clusters - 1)) END
+        FROM bb), 6) END AS calinski,
+  CASE WHEN ok.ok THEN round((SELECT CASE WHEN max(s) = 0 OR (SELECT max(md) FROM dbr) = 0 THEN 0.0
+        ELSE (SELECT avg(worst) FROM dbr) END FROM sp), 6) END AS davies_bouldin
+FROM cnt, ok"""
+
+
+ORACLES["cluster_metrics"] = _metrics_sql(
+    "SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings")
+ORACLES["cluster_metrics_noise"] = _metrics_sql(
+    "SELECT vec_id AS id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster, "
+    "embedding::DOUBLE[] AS v FROM embeddings")
+ORACLES["cluster_sizes"] = "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1"
+
+# ---------------------------------------------------------------- tagging
+from textlab.operators.tagging import GENERIC_LABELS, ITEMS_HEADER  # noqa: E402
+
+
+def _sql_str(s: str) -> str:
+    """A DuckDB string expression for an arbitrary Python string (newlines as chr(10))."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in parts)
+
+
+TAG_CTE = f"""b AS (SELECT doc_id AS ord, text,
+                ((row_number() OVER (ORDER BY doc_id)) - 1) // 30 AS batch_id,
+                (((row_number() OVER (ORDER BY doc_id)) - 1) % 30 + 1)::INTEGER AS idx
+         FROM documents),
+ln AS (SELECT batch_id, idx,
+         CASE WHEN idx % 11 = 0 THEN NULL
+              WHEN idx % 13 = 0 THEN 'n/a: ' || length(coalesce(text, ''))
+              WHEN idx = 5 THEN '5: first' || chr(10) || '5: label ' || (length(coalesce(text, '')) % 10)
+              ELSE idx || ': label ' || (length(coalesce(text, '')) % 10) END AS line
+       FROM b),
+r AS (SELECT batch_id,
+        CASE WHEN batch_id % 2 = 1 THEN '<think>1: x</think>' ELSE '' END
+        || coalesce(string_agg(line, chr(10) ORDER BY idx), '') AS reply
+      FROM ln GROUP BY batch_id),
+c AS (SELECT batch_id, CASE WHEN len(string_split(reply, '</think>')) > 1
+                          THEN string_split(reply, '</think>')[2] ELSE reply END AS clean FROM r),
+sl AS (SELECT batch_id, string_split(clean, chr(10)) AS parts FROM c),
+l AS (SELECT batch_id, unnest(generate_series(0, len(parts) - 1))::INTEGER AS line_no,
+             unnest(parts) AS line FROM sl),
+p AS (SELECT batch_id, line_no, line,
+             TRY_CAST(trim(split_part(line, ':', 1), {WS}) AS INTEGER) AS idx,
+             trim(substr(line, strpos(line, ':') + 1), {WS}) AS label
+      FROM l WHERE strpos(line, ':') > 0),
+lab AS (SELECT batch_id, idx, arg_max(label, line_no) AS label FROM p
+        WHERE idx IS NOT NULL GROUP BY batch_id, idx),
+al AS (SELECT b.ord, b.batch_id, b.idx, lab.label, NULL::VARCHAR AS error
+       FROM b LEFT JOIN lab USING (batch_id, idx))"""
+
+ORACLES["label_batches"] = f"WITH {TAG_CTE} SELECT ord AS doc_id, batch_id, idx FROM b"
+ORACLES["label_prompts"] = f"""WITH {TAG_CTE}
+SELECT batch_id, count(*)::INTEGER AS n_texts,
+       {_sql_str(ITEMS_HEADER)} || string_agg(idx || '. ' || coalesce(text, ''), chr(10) ORDER BY idx) AS prompt
+FROM b GROUP BY batch_id"""
+ORACLES["label_replies"] = f"WITH {TAG_CTE} SELECT batch_id, reply, NULL::VARCHAR AS error FROM r"
+ORACLES["label_parse"] = f"WITH {TAG_CTE} SELECT batch_id, idx, label FROM lab"
+ORACLES["label_quarantine"] = f"""WITH {TAG_CTE}
+SELECT batch_id, line_no, line, 'bad_index' AS reason FROM p WHERE idx IS NULL"""
+ORACLES["label_align"] = f"WITH {TAG_CTE} SELECT ord AS doc_id, batch_id, idx, label, error FROM al"
+_GEN = ", ".join("'" + g + "'" for g in GENERIC_LABELS)
+ORACLES["label_validate"] = f"""WITH {TAG_CTE},
+v AS (SELECT ord, label, trim(label, {WS}) AS lab FROM al WHERE label IS NOT NULL),
+w AS (SELECT ord, label, lab,
+             CASE WHEN lab = '' THEN 0 ELSE len(regexp_split_to_array(lab, '\\s+')) END::INTEGER AS n_words
+      FROM v)
+SELECT ord AS doc_id, label, n_words,
+  CASE WHEN lab = '' THEN 'empty'
+       WHEN regexp_matches(label, '[\\r\\n]') THEN 'multiline'
+       WHEN n_words > 5 THEN 'too_many_words'
+       WHEN lower(lab) IN ({_GEN}) THEN 'generic' END IS NULL AS valid,
+  CASE WHEN lab = '' THEN 'empty'
+       WHEN regexp_matches(label, '[\\r\\n]') THEN 'multiline'
+       WHEN n_words > 5 THEN 'too_many_words'
+       WHEN lower(lab) IN ({_GEN}) THEN 'generic' END AS reason
+FROM w"""
+ORACLES["label_freq"] = f"WITH {TAG_CTE} SELECT label, count(*) AS n FROM al WHERE label IS NOT NULL GROUP BY label"
