@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.operators import cluster, corpus, quality, tagging, vocab
+from textlab.functions import vectors as V
+from textlab.operators import annotate, cluster, corpus, quality, tagging, vectors, vocab
+from textlab.sources import synthetic
 from textlab.plans.tables import documents, embeddings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,5 +180,109 @@ def q_label_freq(spark, sf_dir):
     return tagging.label_freq(_tagged(spark, sf_dir)["aligned"])
 
 
+# ---------------------------------------------------------------- vectors
+WV_DIM = 8
+
+
+def _flat(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    return df.select(key, F.posexplode("vec").alias("j", "value")) \
+             .select(key, "j", F.round("value", 6).alias("value"))
+
+
+def _native_vectors(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    v = vocab.build_vocab(vocab.tokens(docs))
+    wv = synthetic.derived_word_vectors(v.where(F.col("id") >= 2), WV_DIM)
+    return docs, v, wv
+
+
+@register("sentence_vectors")
+def q_sentence_vectors(spark, sf_dir):
+    """E7 (E2 mean pooling, E3 fill and [UNK], E6 norm) with derived word vectors."""
+    docs, v, wv = _native_vectors(spark, sf_dir)
+    sv = vectors.sentence_vectors(docs, v, wv, WV_DIM)
+    return _flat(_doc(sv))
+
+
+@register("vector_coverage")
+def q_vector_coverage(spark, sf_dir):
+    """V6."""
+    _, v, wv = _native_vectors(spark, sf_dir)
+    c = vocab.coverage(v, wv)
+    return c.select("found", "needed", F.round("coverage", 6).alias("coverage"))
+
+
+@register("padded_vectors")
+def q_padded_vectors(spark, sf_dir):
+    """E5: vectors zero-padded to 768 at the edge; width and norm per text."""
+    docs, v, wv = _native_vectors(spark, sf_dir)
+    sv = vectors.at_edge(vectors.sentence_vectors(docs, v, wv, WV_DIM))
+    return _doc(sv.select("ord", F.size("vec").alias("width"),
+                          F.round(V.l2_norm("vec"), 6).alias("norm")))
+
+
+@register("normalized_embeddings")
+def q_normalized_embeddings(spark, sf_dir):
+    """E6 on the given embeddings."""
+    e = vectors.normalized(embeddings(spark, sf_dir))
+    return _flat(e, "id")
+
+
+# ---------------------------------------------------------------- annotation
+def _parse(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs, synthetic.derived_parse(docs)
+
+
+@register("parse_tokens")
+def q_parse_tokens(spark, sf_dir):
+    """Derived parse table (input of N2-N5)."""
+    return _doc(_parse(spark, sf_dir)[1])
+
+
+@register("entities")
+def q_entities(spark, sf_dir):
+    """N1."""
+    return _doc(annotate.entities(documents(spark, sf_dir)))
+
+
+@register("subjects")
+def q_subjects(spark, sf_dir):
+    """N2."""
+    return _doc(annotate.subjects(_parse(spark, sf_dir)[1]))
+
+
+@register("adj_pairs")
+def q_adj_pairs(spark, sf_dir):
+    """N3."""
+    return _doc(annotate.adj_pairs(_parse(spark, sf_dir)[1]))
+
+
+@register("keywords")
+def q_keywords(spark, sf_dir):
+    """N4."""
+    return _doc(annotate.keywords(_parse(spark, sf_dir)[1]))
+
+
+@register("main_event")
+def q_main_event(spark, sf_dir):
+    """N5 for every text (NULL when no sentence has a root)."""
+    docs, toks = _parse(spark, sf_dir)
+    return _doc(docs.select("ord").join(annotate.main_event(toks), "ord", "left"))
+
+
+@register("text_analysis")
+def q_text_analysis(spark, sf_dir):
+    """N6 record, lists rendered as '|' strings for the compare."""
+    docs, toks = _parse(spark, sf_dir)
+    a = annotate.analyze(docs, toks)
+    ent = F.transform("entities", lambda x: F.concat(x["text"], F.lit("/"), x["type"]))
+    pairs = F.transform("adj_pairs", lambda x: F.concat(x["adjective"], F.lit(">"), x["subject"]))
+    return _doc(a.select(
+        "ord", F.size("entities").alias("n_entities"), F.array_join(ent, "|").alias("entities"),
+        F.array_join("subjects", "|").alias("subjects"), F.array_join(pairs, "|").alias("adj_pairs"),
+        "main_event", F.array_join("keywords", "|").alias("keywords")))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

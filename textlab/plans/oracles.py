@@ -187,3 +187,86 @@ SELECT ord AS doc_id, label, n_words,
        WHEN lower(lab) IN ({_GEN}) THEN 'generic' END AS reason
 FROM w"""
 ORACLES["label_freq"] = f"WITH {TAG_CTE} SELECT label, count(*) AS n FROM al WHERE label IS NOT NULL GROUP BY label"
+
+# ---------------------------------------------------------------- vectors
+VEC_CTE = VOCAB_CTE + f""",
+jj AS (SELECT range AS j FROM range(8)),
+wv AS (SELECT v.word, v.id, jj.j,
+              ((instr('0123456789abcdef', substr(md5(v.word || ':' || jj.j), 1, 1)) - 8.5) / 8)::DOUBLE AS x
+       FROM v, jj WHERE v.id >= 2 AND substr(md5(v.word), 1, 1) <> '0'),
+unk AS (SELECT j, avg(x) AS x FROM wv GROUP BY j),
+vt AS (SELECT v.id, jj.j, coalesce(wv.x, 0.0) AS x
+       FROM (SELECT * FROM v WHERE id >= 2) v CROSS JOIN jj LEFT JOIN wv ON wv.id = v.id AND wv.j = jj.j
+       UNION ALL SELECT 1, j, x FROM unk),
+ti AS (SELECT t.ord, t.pos, coalesce(vv.id, 1) AS id
+       FROM t LEFT JOIN (SELECT word, id FROM v WHERE id >= 2) vv ON t.token = vv.word WHERE t.pos < {L}),
+nt AS (SELECT ord, count(*) AS n FROM ti GROUP BY ord),
+pooled AS (SELECT ti.ord, vt.j, sum(vt.x) AS s FROM ti JOIN vt ON ti.id = vt.id GROUP BY ti.ord, vt.j),
+full_ AS (SELECT d.ord, jj.j, coalesce(p.s / nt.n, 0.0) AS m
+          FROM d CROSS JOIN jj LEFT JOIN pooled p ON p.ord = d.ord AND p.j = jj.j
+          LEFT JOIN nt ON nt.ord = d.ord),
+nrm AS (SELECT ord, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM full_ GROUP BY ord)"""
+
+ORACLES["sentence_vectors"] = f"""WITH {VEC_CTE}
+SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round(m / nr, 6) AS value FROM full_ JOIN nrm USING (ord)"""
+
+ORACLES["vector_coverage"] = f"""WITH {VEC_CTE},
+f AS (SELECT count(DISTINCT word) AS found FROM wv)
+SELECT f.found, (SELECT count(*) FROM v) AS needed,
+       round(f.found / (SELECT count(*) FROM v), 6) AS coverage FROM f"""
+
+ORACLES["padded_vectors"] = f"""WITH {VEC_CTE},
+nv AS (SELECT full_.ord, (m / nr)::FLOAT::DOUBLE AS x FROM full_ JOIN nrm USING (ord))
+SELECT ord AS doc_id, 768 AS width, round(sqrt(sum(x * x)), 6) AS norm FROM nv GROUP BY ord"""
+
+ORACLES["normalized_embeddings"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT id, v, greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))), 1e-12) AS nr FROM e),
+u AS (SELECT id, unnest(generate_series(0, len(v) - 1))::INTEGER AS j, unnest(v) AS x, nr FROM n)
+SELECT id, j, round(x / nr, 6) AS value FROM u"""
+
+# ---------------------------------------------------------------- annotation
+PARSE_CTE = r"""wd AS (SELECT doc_id AS ord, regexp_extract_all(coalesce(text, ''), '\p{L}+') AS ws FROM documents),
+w AS (SELECT ord, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS w FROM wd),
+tk AS (SELECT ord, (pos // 8)::INTEGER AS sent_id, (pos % 8 + 1)::INTEGER AS word_id, w AS text,
+         ['NOUN', 'VERB', 'ADJ', 'PROPN', 'PRON', 'DET'][length(w) % 6 + 1] AS upos,
+         (CASE WHEN pos % 8 = 0 AND NOT (ord % 5 = 0 AND pos < 8) THEN 0
+               WHEN pos % 8 = 0 THEN 2
+               WHEN (ord + pos) % 7 = 0 AND NOT (ord % 5 = 0 AND pos < 8) THEN 0
+               ELSE pos % 8 END)::INTEGER AS head,
+         CASE (length(w) + pos) % 4 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'nsubj:pass' ELSE 'dep' END AS deprel
+       FROM w WHERE pos < 64)"""
+
+from textlab.operators.annotate import ENTITY_PATTERNS  # noqa: E402
+
+_ENT_ALL = "|".join(f"({p})" for _, p in ENTITY_PATTERNS).replace("'", "''")
+_ENT_KIND = "CASE " + " ".join(
+    f"WHEN regexp_full_match(text, '{p}') THEN '{n}'" for n, p in ENTITY_PATTERNS) + " END"
+ENT_CTE = f"""ed AS (SELECT doc_id AS ord, regexp_extract_all(coalesce(text, ''), '{_ENT_ALL}') AS es FROM documents),
+en AS (SELECT ord, unnest(generate_series(0, len(es) - 1))::INTEGER AS ent_ord, unnest(es) AS text FROM ed),
+ent AS (SELECT ord, ent_ord, text, {_ENT_KIND} AS type FROM en)"""
+
+SUBJ = "SELECT DISTINCT ord, text AS subject FROM tk WHERE deprel LIKE 'nsubj%'"
+PAIRS = """SELECT a.ord, a.sent_id, a.word_id, a.text AS adjective, h.text AS subject
+FROM tk a JOIN tk h ON a.ord = h.ord AND a.sent_id = h.sent_id AND a.head = h.word_id
+WHERE a.upos = 'ADJ' AND a.head <> 0 AND h.upos IN ('NOUN', 'PROPN', 'PRON')"""
+KW = "SELECT DISTINCT ord, text AS keyword FROM tk WHERE upos IN ('NOUN', 'PROPN', 'VERB') AND length(text) > 1"
+EV = """SELECT ord, arg_min(text, sent_id * 1000000 + CASE WHEN upos = 'VERB' THEN 0 ELSE 100000 END + word_id)
+  AS main_event FROM tk WHERE head = 0 GROUP BY ord"""
+
+ORACLES["parse_tokens"] = f"WITH {PARSE_CTE} SELECT ord AS doc_id, sent_id, word_id, text, upos, head, deprel FROM tk"
+ORACLES["entities"] = f"WITH {ENT_CTE} SELECT ord AS doc_id, ent_ord, text, type FROM ent"
+ORACLES["subjects"] = f"WITH {PARSE_CTE} SELECT ord AS doc_id, subject FROM ({SUBJ})"
+ORACLES["adj_pairs"] = f"WITH {PARSE_CTE} SELECT ord AS doc_id, sent_id, word_id, adjective, subject FROM ({PAIRS})"
+ORACLES["keywords"] = f"WITH {PARSE_CTE} SELECT ord AS doc_id, keyword FROM ({KW})"
+ORACLES["main_event"] = f"""WITH {PARSE_CTE}, ev AS ({EV})
+SELECT d.doc_id, ev.main_event FROM documents d LEFT JOIN ev ON ev.ord = d.doc_id"""
+ORACLES["text_analysis"] = f"""WITH {PARSE_CTE}, {ENT_CTE},
+e AS (SELECT ord, count(*)::INTEGER AS n, string_agg(text || '/' || type, '|' ORDER BY ent_ord) AS s FROM ent GROUP BY ord),
+s AS (SELECT ord, string_agg(subject, '|' ORDER BY subject) AS s FROM ({SUBJ}) GROUP BY ord),
+p AS (SELECT ord, string_agg(adjective || '>' || subject, '|' ORDER BY sent_id, word_id) AS s FROM ({PAIRS}) GROUP BY ord),
+k AS (SELECT ord, string_agg(keyword, '|' ORDER BY keyword) AS s FROM ({KW}) GROUP BY ord),
+ev AS ({EV})
+SELECT d.doc_id, coalesce(e.n, 0) AS n_entities, coalesce(e.s, '') AS entities, coalesce(s.s, '') AS subjects,
+       coalesce(p.s, '') AS adj_pairs, ev.main_event, coalesce(k.s, '') AS keywords
+FROM documents d LEFT JOIN e ON e.ord = d.doc_id LEFT JOIN s ON s.ord = d.doc_id
+LEFT JOIN p ON p.ord = d.doc_id LEFT JOIN k ON k.ord = d.doc_id LEFT JOIN ev ON ev.ord = d.doc_id"""
