@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators import annotate, cluster, corpus, quality, tagging, vectors, vocab
+from textlab.operators import annotate, cluster, corpus, density, quality, tagging, vectors, vocab
+from textlab.session import scratch_path
+from textlab.sources import files
 from textlab.sources import synthetic
-from textlab.plans.tables import documents, embeddings
+from textlab.plans.tables import documents, embeddings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -284,5 +286,120 @@ def q_text_analysis(spark, sf_dir):
         "main_event", F.array_join("keywords", "|").alias("keywords")))
 
 
+# ---------------------------------------------------------------- clustering
+def _label_centres(spark, sf_dir):
+    return quality.centroids(embeddings(spark, sf_dir).where(F.col("cluster") != -1))
+
+
+@register("nearest_centre")
+def q_nearest_centre(spark, sf_dir):
+    """C4 with fixed centres (the centroids of the given labels)."""
+    pts = embeddings(spark, sf_dir)
+    return cluster.nearest_centre(pts, _label_centres(spark, sf_dir))
+
+
+@register("kmeans_assign")
+def q_kmeans_assign(spark, sf_dir):
+    """Spark ML k-means (k=5, seed 42) on the vectors - rows + invariants."""
+    pts = embeddings(spark, sf_dir).select("id", "vec")
+    res = cluster.kmeans(pts)
+    return res.assignments
+
+
+@register("kmeans_metrics")
+def q_kmeans_metrics(spark, sf_dir):
+    """Q-* on the k-means clustering (original space)."""
+    pts = embeddings(spark, sf_dir).select("id", "vec")
+    res = cluster.kmeans(pts)
+    m = quality.evaluate(pts.join(res.assignments, "id"))
+    return _round_metrics(m).withColumn("space", F.lit("original"))
+
+
+@register("pca_reduce")
+def q_pca_reduce(spark, sf_dir):
+    """L2 normalise + PCA to min(50, d, n-1) dims (flat rows)."""
+    red, _ = cluster.reduce_dims(embeddings(spark, sf_dir).select("id", "vec"))
+    return red.select("id", F.posexplode("vec").alias("j", "value"))
+
+
+@register("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    """C6 exact k-NN with k = min_samples of the density step."""
+    pts = embeddings(spark, sf_dir)
+    n = pts.count()
+    _, ms = density.density_params(n)
+    nn = density.knn(pts, ms, n)
+    return nn.select("id", "rank", "nbr", F.round("dist", 6).alias("dist"))
+
+
+@register("core_distance")
+def q_core_distance(spark, sf_dir):
+    """Core distances of the density step."""
+    pts = embeddings(spark, sf_dir)
+    n = pts.count()
+    _, ms = density.density_params(n)
+    return density.core_distances(pts, ms, n).select("id", F.round("core", 6).alias("core"))
+
+
+@register("hdbscan_leaves")
+def q_hdbscan(spark, sf_dir):
+    """C7 on the PCA-reduced vectors (rows + invariants)."""
+    red, _ = cluster.reduce_dims(embeddings(spark, sf_dir).select("id", "vec"))
+    return density.hdbscan(red)
+
+
+@register("cluster_attach")
+def q_cluster_attach(spark, sf_dir):
+    """Every document with the cluster of its vector (NULL without one)."""
+    docs = documents(spark, sf_dir)
+    return _doc(cluster.attach(docs, embeddings(spark, sf_dir), "given"))
+
+
+@register("cluster_colors")
+def q_cluster_colors(spark, sf_dir):
+    """G1 colour map with label 0 taken as noise."""
+    pts = embeddings(spark, sf_dir).withColumn(
+        "cluster", F.when(F.col("cluster") == 0, F.lit(-1)).otherwise(F.col("cluster")))
+    return cluster.color_map(pts)
+
+
+@register("projection_2d")
+def q_projection_2d(spark, sf_dir):
+    """G1 plot-ready 2-D points (rows)."""
+    return cluster.projection_2d(embeddings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sources
+@register("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """Documents written as CSV (quoted newlines) and read back in file order."""
+    path = scratch_path(spark, "docs-csv") + ".csv"
+    src = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    src.orderBy("doc_id").write.option("header", True).option("escape", '"').csv(path)
+    back = files.read_texts(spark, path, "text", keep_all=True)
+    return back.select(F.col("ord").alias("doc_id"), "text", "lang")
+
+
+@register("word_vector_file")
+def q_word_vector_file(spark, sf_dir):
+    """Derived word vectors written as a word-vector text file and read back
+    (header line, a wrong-width line and a superseded duplicate included)."""
+    docs = documents(spark, sf_dir)
+    v = vocab.build_vocab(vocab.tokens(docs))
+    wv = synthetic.derived_word_vectors(v.where(F.col("id") >= 2), WV_DIM)
+    path = scratch_path(spark, "wordvec")
+    header = spark.createDataFrame([(f"{WV_DIM} {WV_DIM}",)], "value string")
+    noise = spark.createDataFrame([("the 1 2 3",), ("",)], "value string")
+    # words whose md5 starts with '1' first appear with a stale all-zero vector
+    stale = wv.where(F.substring(F.md5("word"), 1, 1) == "1") \
+              .select("word", F.transform("vec", lambda x: x * 0).alias("vec"))
+    lines = header.unionByName(noise).unionByName(synthetic.word_vector_lines(stale)) \
+                  .unionByName(synthetic.word_vector_lines(wv))
+    lines.write.text(path)   # part files keep union order: stale lines precede the real ones
+    back = files.read_word_vectors(spark, path, v, WV_DIM)
+    return back.select("word", F.posexplode("vec").alias("j", "value")) \
+               .select("word", "j", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -270,3 +270,40 @@ SELECT d.doc_id, coalesce(e.n, 0) AS n_entities, coalesce(e.s, '') AS entities,
        coalesce(p.s, '') AS adj_pairs, ev.main_event, coalesce(k.s, '') AS keywords
 FROM documents d LEFT JOIN e ON e.ord = d.doc_id LEFT JOIN s ON s.ord = d.doc_id
 LEFT JOIN p ON p.ord = d.doc_id LEFT JOIN k ON k.ord = d.doc_id LEFT JOIN ev ON ev.ord = d.doc_id"""
+
+# ---------------------------------------------------------------- clustering
+CENTRES_CTE = """e AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT id, cluster, unnest(generate_series(1, len(v))) AS j, unnest(v) AS x FROM e WHERE cluster <> -1),
+cj AS (SELECT cluster, j, avg(x) AS m FROM u GROUP BY cluster, j),
+c AS (SELECT cluster, list(m ORDER BY j) AS cv FROM cj GROUP BY cluster)"""
+
+ORACLES["nearest_centre"] = f"""WITH {CENTRES_CTE},
+dd AS (SELECT e.id, c.cluster, list_distance(e.v, c.cv) AS d FROM e, c)
+SELECT id, (arg_min(cluster, d * 1000000 + cluster))::INTEGER AS center FROM dd GROUP BY id"""
+
+ORACLES["knn_graph"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT greatest(5, (count(*) * 0.01)::BIGINT) AS k FROM e),
+dd AS (SELECT a.id, b.id AS nbr, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.id <> b.id),
+r AS (SELECT id, nbr, dist, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM dd)
+SELECT id, rank::INTEGER AS rank, nbr, round(dist, 6) AS dist FROM r WHERE rank <= (SELECT k FROM k)"""
+
+ORACLES["core_distance"] = """WITH e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+k AS (SELECT greatest(5, (count(*) * 0.01)::BIGINT) AS k FROM e),
+dd AS (SELECT a.id, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.id <> b.id),
+r AS (SELECT id, dist, row_number() OVER (PARTITION BY id ORDER BY dist) AS rank FROM dd)
+SELECT id, round(max(dist), 6) AS core FROM r WHERE rank <= (SELECT k FROM k) GROUP BY id"""
+
+ORACLES["cluster_attach"] = """SELECT 'given' AS algo, d.doc_id, e.label AS cluster
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id"""
+
+ORACLES["cluster_colors"] = """WITH p AS (SELECT DISTINCT CASE WHEN label = 0 THEN -1 ELSE label END AS cluster FROM embeddings)
+SELECT cluster, cluster = -1 AS is_noise,
+       CASE WHEN cluster = -1 THEN NULL
+            ELSE ((dense_rank() OVER (ORDER BY CASE WHEN cluster = -1 THEN NULL ELSE cluster END) - 1) % 10)::INTEGER
+       END AS color_idx
+FROM p"""
+
+# ---------------------------------------------------------------- sources
+ORACLES["csv_roundtrip"] = """SELECT doc_id, text, lang FROM documents"""
+ORACLES["word_vector_file"] = f"""WITH {VEC_CTE}
+SELECT word, j::INTEGER AS j, round(x, 6) AS value FROM wv"""
