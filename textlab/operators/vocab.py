@@ -11,6 +11,11 @@ from textlab.operators.common import broadcast_if_bounded, with_ordinal
 
 # bytes per vocabulary row in a broadcast (word + id + overhead), for the bound
 _VOCAB_ROW_BYTES = 96
+# First occurrence packed as ord * 2^24 + pos in one BIGINT, so the per-token
+# minimum stays on the fast hash-aggregate path (a struct minimum does not).
+# Exact for ord < 2^39 and pos < 2^24 tokens per text; beyond, ties fall back
+# to the token text.
+_POS_BITS = 24
 
 
 def tokens(docs: DataFrame, cjk: bool = False, keep_empty: bool = False) -> DataFrame:
@@ -37,14 +42,14 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
     ``[PAD]``=0 and ``[UNK]``=1 (cnt NULL). The ranking is a distributed range
     sort with partition offsets, so no single task sees all distinct tokens.
     """
+    cap_pos = (1 << _POS_BITS) - 1
+    first = F.shiftleft(F.col("ord").cast("bigint"), _POS_BITS) + F.least(F.col("pos"), F.lit(cap_pos))
     stats = toks.where(F.col("token").isNotNull()).groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt"),
-        F.min(F.struct("ord", "pos")).alias("first"),
+        F.min(first).alias("first"),
     ).where(F.col("cnt") >= settings.min_freq)
     stats = stats.where(~F.col("token").isin(settings.pad_token, settings.unk_token))
-    stats = stats.select("token", "cnt", F.col("first.ord").alias("f_ord"),
-                         F.col("first.pos").alias("f_pos"))
-    ranked = with_ordinal(stats, [F.col("cnt").desc(), F.col("f_ord"), F.col("f_pos")], name="rn")
+    ranked = with_ordinal(stats, [F.col("cnt").desc(), F.col("first"), F.col("token")], name="rn")
     cap = settings.max_size - 2
     words = ranked.where(F.col("rn") <= cap).select(
         F.col("token").alias("word"), (F.col("rn") + 1).alias("id"), F.col("cnt"))
