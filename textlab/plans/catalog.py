@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators import annotate, cluster, corpus, density, quality, tagging, vectors, vocab
+from textlab.operators import (annotate, classify, cluster, corpus, density, quality, review, tagging,
+                               vectors, vocab)
+from textlab.streaming import online
 from textlab.session import scratch_path
 from textlab.sources import files
 from textlab.sources import synthetic
@@ -401,5 +403,70 @@ def q_word_vector_file(spark, sf_dir):
                .select("word", "j", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+# ---------------------------------------------------------------- promised features
+def _quality_labels(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), F.col("quality").alias("label"))
+
+
+def _polarity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    feats = classify.hashed_features(docs)
+    pol = classify.train(feats, _quality_labels(spark, sf_dir))
+    return classify.score(pol, feats)
+
+
+@register("polarity_scores")
+def q_polarity_scores(spark, sf_dir):
+    """A1: logistic regression on hashed token features, scored on every text."""
+    return _doc(_polarity(spark, sf_dir))
+
+
+@register("polarity_confusion")
+def q_polarity_confusion(spark, sf_dir):
+    """A1 evaluation counts on the labelled texts."""
+    return classify.confusion(_polarity(spark, sf_dir), _quality_labels(spark, sf_dir))
+
+
+def _reviews(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    t1, t2 = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:00").cast("timestamp")
+    hostile = lab.where("toxic = 1").select(F.col("doc_id").alias("ord"), F.lit("hostile").alias("label"),
+                                            F.lit("correct").alias("decision"), t2.alias("ts"))
+    low = lab.where("quality = 0").select(F.col("doc_id").alias("ord"), F.lit("low effort").alias("label"),
+                                          F.lit("correct").alias("decision"), t1.alias("ts"))
+    ok = lab.where("quality = 1 AND toxic = 0").select(
+        F.col("doc_id").alias("ord"), F.lit(None).cast("string").alias("label"),
+        F.lit("confirm").alias("decision"), t1.alias("ts"))
+    return hostile.unionByName(low).unionByName(ok)
+
+
+def _overlay(spark, sf_dir):
+    aligned = _tagged(spark, sf_dir)["aligned"]
+    return review.overlay(aligned, _reviews(spark, sf_dir))
+
+
+@register("review_overlay")
+def q_review_overlay(spark, sf_dir):
+    """A2: model labels with reviewer decisions derived from ``labels``."""
+    return _doc(_overlay(spark, sf_dir))
+
+
+@register("review_agreement")
+def q_review_agreement(spark, sf_dir):
+    """A2 agreement rate."""
+    a = review.agreement(_overlay(spark, sf_dir))
+    return a.select("n_reviewed", "n_agree", F.round("agreement", 6).alias("agreement"))
+
+
+@register("online_vectors")
+def q_online_vectors(spark, sf_dir):
+    """A3: the documents table as a file stream, scored per micro-batch (availableNow)."""
+    _, v, wv = _native_vectors(spark, sf_dir)
+    out = online.run_online(spark, sf_dir.rstrip("/"),
+                            "doc_id bigint, text string, lang string, source string, n_chars bigint",
+                            "doc_id", "text", v, wv, WV_DIM, glob="documents.parquet")
+    return _flat(_doc(online.read_online(spark, out).select("ord", "vec")))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

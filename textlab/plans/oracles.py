@@ -307,3 +307,26 @@ FROM p"""
 ORACLES["csv_roundtrip"] = """SELECT doc_id, text, lang FROM documents"""
 ORACLES["word_vector_file"] = f"""WITH {VEC_CTE}
 SELECT word, j::INTEGER AS j, round(x, 6) AS value FROM wv"""
+
+# ---------------------------------------------------------------- promised features
+REVIEW_CTE = TAG_CTE + """,
+rv AS (SELECT doc_id AS ord, 'hostile' AS label, 'correct' AS decision, TIMESTAMP '2024-01-02' AS ts
+       FROM labels WHERE toxic = 1
+       UNION ALL SELECT doc_id, 'low effort', 'correct', TIMESTAMP '2024-01-01' FROM labels WHERE quality = 0
+       UNION ALL SELECT doc_id, NULL, 'confirm', TIMESTAMP '2024-01-01' FROM labels
+       WHERE quality = 1 AND toxic = 0),
+lr AS (SELECT ord, max(ts) AS ts FROM rv GROUP BY ord),
+last AS (SELECT rv.ord, rv.label AS review_label, rv.decision FROM rv JOIN lr USING (ord, ts)),
+mg AS (SELECT al.ord,
+              CASE WHEN last.decision = 'correct' THEN last.review_label ELSE al.label END AS label,
+              al.label AS model_label,
+              CASE WHEN last.decision IN ('correct', 'confirm') THEN 'human' ELSE 'model' END AS source
+       FROM al LEFT JOIN last USING (ord))"""
+
+ORACLES["review_overlay"] = f"WITH {REVIEW_CTE} SELECT ord AS doc_id, label, model_label, source FROM mg"
+ORACLES["review_agreement"] = f"""WITH {REVIEW_CTE}
+SELECT count(*) AS n_reviewed, count(*) FILTER (WHERE label = model_label) AS n_agree,
+       CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE label = model_label) / count(*), 6) END
+         AS agreement
+FROM mg WHERE source = 'human'"""
+ORACLES["online_vectors"] = ORACLES["sentence_vectors"]
