@@ -468,5 +468,16 @@ def q_online_vectors(spark, sf_dir):
     return _flat(_doc(online.read_online(spark, out).select("ord", "vec")))
 
 
+# ---------------------------------------------------------------- end to end
+@register("tag_job_clusters")
+def q_tag_job_clusters(spark, sf_dir):
+    """Tag job: labels -> distinct labels -> vectors -> k-means + density -> every text's cluster."""
+    from textlab.plans import pipeline
+    job = pipeline.run_tag_job(documents(spark, sf_dir), algo="both")
+    if job.clusters is None:
+        return spark.createDataFrame([], "algo string, doc_id bigint, cluster int")
+    return job.clusters.withColumnRenamed("ord", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
