@@ -69,3 +69,31 @@ def test_f10_review_overlay(spark):
                                 (1, "c", "correct", datetime(2024, 1, 2))], review.REVIEW_SCHEMA)
     got = {r["ord"]: (r["label"], r["source"]) for r in review.overlay(lab, rv).collect()}
     assert got == {1: ("c", "human"), 2: ("a", "model")}
+
+
+def test_reply_store_skips_done_batches(spark, docs):
+    import tempfile
+
+    def counting(batch_id, items):
+        return "\n".join(f"{i}: ok" for i, _ in items)
+
+    path = tempfile.mkdtemp(prefix="textlab-test-") + "/replies"
+    d = docs([(i, "t") for i in range(70)])
+    prompts = tagging.build_prompts(tagging.assign_batches(d))
+    run = lambda p: tagging.call_labeller(p, counting)
+    first = tagging.store_replies(run, prompts, path)
+    assert first.count() == 3
+    again = tagging.store_replies(run, prompts, path)
+    assert again.count() == 3   # nothing re-sent, nothing duplicated
+
+
+def test_corpus_registry_is_write_once(spark, docs):
+    import tempfile
+
+    from textlab.operators import corpus
+    path = tempfile.mkdtemp(prefix="textlab-test-") + "/registry"
+    fp = corpus.fingerprint(docs([(0, "a"), (1, "b")]))
+    assert corpus.register_corpus(None, fp, path) is True
+    reg = spark.read.parquet(path)
+    assert corpus.register_corpus(reg, fp, path) is False
+    assert spark.read.parquet(path).count() == 1

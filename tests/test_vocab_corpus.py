@@ -44,9 +44,10 @@ def test_decode_is_inverse(docs):
 def _py_fingerprint(texts, fanout):
     rows = [hashlib.md5(f"{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
             for i, t in enumerate(texts)]
-    buckets = [hashlib.md5("".join(rows[b:b + fanout]).encode()).hexdigest()
-               for b in range(0, len(rows), fanout)]
-    return hashlib.md5("".join(buckets).encode()).hexdigest()
+    def fold(xs):
+        return [hashlib.md5("".join(xs[b:b + fanout]).encode()).hexdigest()
+                for b in range(0, len(xs), fanout)]
+    return hashlib.md5("".join(fold(fold(rows))).encode()).hexdigest()
 
 
 def test_fingerprint_matches_python_and_is_order_sensitive(docs):

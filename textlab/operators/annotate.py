@@ -30,16 +30,26 @@ PARSE_SCHEMA = ("ord bigint, sent_id int, word_id int, text string, upos string,
                 "head int, deprel string")
 
 
-def entities(docs: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
-    """N1 (default extractor): ``(ord, ent_ord INT, text, type)`` in text order, duplicates kept."""
-    combined = "|".join(f"({p})" for _, p in patterns)
-    found = docs.select("ord", F.posexplode(
-        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(combined), 0)).alias("ent_ord", "text"))
+def _entity_type(m, patterns=ENTITY_PATTERNS) -> F.Column:
     kind = None
     for name, p in reversed(patterns):
-        test = F.col("text").rlike(f"^(?:{p})$")
+        test = m.rlike(f"^(?:{p})$")
         kind = F.when(test, F.lit(name)) if kind is None else F.when(test, F.lit(name)).otherwise(kind)
-    return found.select("ord", F.col("ent_ord").cast("int").alias("ent_ord"), "text", kind.alias("type"))
+    return kind
+
+
+def entity_array(text: F.Column, patterns=ENTITY_PATTERNS) -> F.Column:
+    """N1 inline: ``array<struct<text,type>>`` in text order from one regex pass (no shuffle)."""
+    combined = "|".join(f"({p})" for _, p in patterns)
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(combined), 0)
+    return F.transform(found, lambda m: F.struct(m.alias("text"), _entity_type(m, patterns).alias("type")))
+
+
+def entities(docs: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
+    """N1 (default extractor), flat: ``(ord, ent_ord INT, text, type)`` in text order, duplicates kept."""
+    ex = docs.select("ord", F.posexplode(entity_array(F.col("text"), patterns)).alias("ent_ord", "e"))
+    return ex.select("ord", F.col("ent_ord").cast("int").alias("ent_ord"),
+                     F.col("e.text").alias("text"), F.col("e.type").alias("type"))
 
 
 def gazetteer_entities(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -77,40 +87,60 @@ def keywords(tokens: DataFrame) -> DataFrame:
                  .select("ord", F.col("text").alias("keyword")).distinct()
 
 
+def _event_rank() -> F.Column:
+    """(sentence, VERB first, word) packed in one BIGINT: sent_id * 2^32 + non_verb * 2^31 + word_id."""
+    non_verb = F.when(F.col("upos") == "VERB", 0).otherwise(1).cast("bigint")
+    return F.shiftleft(F.col("sent_id").cast("bigint"), 32) + F.shiftleft(non_verb, 31) + F.col("word_id")
+
+
 def main_event(tokens: DataFrame) -> DataFrame:
     """``(ord, main_event)`` - in the first sentence that has a root, its first
     VERB root, else its first root. One aggregate, no window."""
     roots = tokens.where(F.col("head") == 0)
-    rank = F.struct("sent_id", F.when(F.col("upos") == "VERB", 0).otherwise(1).alias("v"), "word_id")
-    return roots.groupBy("ord").agg(F.min_by("text", rank).alias("main_event"))
+    return roots.groupBy("ord").agg(F.min_by("text", _event_rank()).alias("main_event"))
+
+
+def per_text(tokens: DataFrame) -> DataFrame:
+    """N2 + N4 + N5 in one aggregate over the parse table: ``(ord, subjects, keywords, main_event)``.
+
+    Only ``collect_list`` buffers (object hash aggregate), each bounded by the
+    words of one text; one shuffle of the parse table on ``ord``.
+    """
+    subj = F.col("deprel").startswith(SUBJECT_PREFIX)
+    kw = F.col("upos").isin(*KEYWORD_TAGS) & (F.length("text") > 1)
+    root = F.col("head") == 0
+    agg = tokens.groupBy("ord").agg(
+        F.collect_list(F.when(subj, F.col("text"))).alias("s"),
+        F.collect_list(F.when(kw, F.col("text"))).alias("k"),
+        F.collect_list(F.when(root, F.struct(_event_rank().alias("r"), F.col("text").alias("t")))).alias("e"),
+    )
+    return agg.select(
+        "ord",
+        F.array_sort(F.array_distinct("s")).alias("subjects"),
+        F.array_sort(F.array_distinct("k")).alias("keywords"),
+        F.array_min("e")["t"].alias("main_event"),
+    )
 
 
-def analyze(docs: DataFrame, tokens: DataFrame, ents: DataFrame | None = None) -> DataFrame:
+def analyze(docs: DataFrame, tokens: DataFrame) -> DataFrame:
     """One record per text: ``ord, text, entities, subjects, adj_pairs, main_event, keywords``.
 
-    Lists are sorted (subjects, keywords by code point) or kept in text order
-    (entities, pairs); texts without tokens get empty lists and NULL event.
-    The token table is hash-partitioned on ``ord`` once and reused.
+    Entities are computed inline from the text; subjects, keywords and the
+    main event come from one aggregate of the parse table; pairs from the
+    self-join. Lists are sorted (subjects, keywords by code point) or kept in
+    text order (entities, pairs); texts without tokens get empty lists and a
+    NULL event. All joins are on ``ord`` and share its hash partitioning.
     """
-    toks = tokens.repartition("ord")
-    ents = entities(docs) if ents is None else ents
-    e = ents.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("ent_ord", "text", "type"))).alias("e"))
-    e = e.select("ord", F.transform("e", lambda x: F.struct(x["text"].alias("text"),
-                                                            x["type"].alias("type"))).alias("entities"))
-    s = subjects(toks).groupBy("ord").agg(F.array_sort(F.collect_list("subject")).alias("subjects"))
-    p = adj_pairs(toks).groupBy("ord").agg(
+    agg = per_text(tokens)
+    p = adj_pairs(tokens).groupBy("ord").agg(
         F.array_sort(F.collect_list(F.struct("sent_id", "word_id", "adjective", "subject"))).alias("p"))
     p = p.select("ord", F.transform("p", lambda x: F.struct(x["adjective"].alias("adjective"),
                                                             x["subject"].alias("subject"))).alias("adj_pairs"))
-    k = keywords(toks).groupBy("ord").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
-    m = main_event(toks)
-    out = docs.select("ord", "text")
-    for part in (e, s, p, m, k):
-        out = out.join(part, "ord", "left")
+    out = docs.select("ord", "text", entity_array(F.col("text")).alias("entities"))
+    out = out.join(agg, "ord", "left").join(p, "ord", "left")
     empty = F.array()
     return out.select(
-        "ord", "text",
-        F.coalesce("entities", empty.cast("array<struct<text:string,type:string>>")).alias("entities"),
+        "ord", "text", "entities",
         F.coalesce("subjects", empty.cast("array<string>")).alias("subjects"),
         F.coalesce("adj_pairs", empty.cast("array<struct<adjective:string,subject:string>>")).alias("adj_pairs"),
         "main_event",

@@ -41,23 +41,25 @@ def _ordered_md5(order: str, digest: str):
 
 
 def fingerprint(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
-    """Order-sensitive corpus digest, computed as a two-level tree.
+    """Order-sensitive corpus digest, computed as a three-level md5 tree.
 
     row digest = md5(ord ':' md5(text)); level 1 folds ``fanout`` consecutive
-    rows (by ``ord``) into md5 of their concatenated digests; level 2 folds the
-    level-1 digests in bucket order. Unlike md5 of the newline-joined corpus it
-    never gathers the corpus in one task (level 2 holds n/fanout digests), and
+    rows (by ``ord``) into md5 of their concatenated digests, level 2 folds
+    ``fanout`` level-1 digests the same way, level 3 folds the level-2 digests.
+    No group holds more than ``fanout`` digests for corpora up to fanout^3
+    rows (2.8e14 at the default), so the corpus is never gathered in one task;
     ``["a\\nb"]`` and ``["a","b"]`` differ. One row: ``fingerprint, n_docs``.
     """
     rows = docs.select(
         F.col("ord"),
         F.md5(F.concat(F.col("ord").cast("string"), F.lit(":"),
                        F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("d"),
-        F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("bucket"),
+        F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("b1"),
     )
-    level1 = rows.groupBy("bucket").agg(_ordered_md5("ord", "d").alias("bd"),
-                                        F.count(F.lit(1)).alias("n"))
-    return level1.agg(_ordered_md5("bucket", "bd").alias("fingerprint"),
+    level1 = rows.groupBy("b1").agg(_ordered_md5("ord", "d").alias("d1"), F.count(F.lit(1)).alias("n"))
+    level2 = level1.withColumn("b2", F.floor(F.col("b1") / F.lit(fanout)).cast("bigint")) \
+                   .groupBy("b2").agg(_ordered_md5("b1", "d1").alias("d2"), F.sum("n").alias("n"))
+    return level2.agg(_ordered_md5("b2", "d2").alias("fingerprint"),
                       F.sum("n").cast("bigint").alias("n_docs"))
 
 

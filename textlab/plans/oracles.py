@@ -60,9 +60,11 @@ ORACLES["corpus_fingerprint"] = """WITH r AS (
   SELECT doc_id AS ord,
          md5(CAST(doc_id AS VARCHAR) || ':' || md5(coalesce(text, ''))) AS d
   FROM documents),
-b AS (SELECT ord // 65536 AS bucket, md5(string_agg(d, '' ORDER BY ord)) AS bd, count(*) AS n
-      FROM r GROUP BY 1)
-SELECT md5(string_agg(bd, '' ORDER BY bucket)) AS fingerprint, sum(n)::BIGINT AS n_docs FROM b"""
+b1 AS (SELECT ord // 65536 AS b1, md5(string_agg(d, '' ORDER BY ord)) AS d1, count(*) AS n
+       FROM r GROUP BY 1),
+b2 AS (SELECT b1 // 65536 AS b2, md5(string_agg(d1, '' ORDER BY b1)) AS d2, sum(n) AS n
+       FROM b1 GROUP BY 1)
+SELECT md5(string_agg(d2, '' ORDER BY b2)) AS fingerprint, sum(n)::BIGINT AS n_docs FROM b2"""
 
 ORACLES["distinct_texts"] = """SELECT md5(coalesce(text, '')) AS text_key, min(doc_id) AS first_doc,
        count(*) AS n_copies FROM documents GROUP BY 1"""
