@@ -101,25 +101,22 @@ def main_event(tokens: DataFrame) -> DataFrame:
 
 
 def per_text(tokens: DataFrame) -> DataFrame:
-    """N2 + N4 + N5 in one aggregate over the parse table: ``(ord, subjects, keywords, main_event)``.
+    """N2 + N4 (+N5) per text: ``(ord, subjects, keywords, main_event)``.
 
-    Only ``collect_list`` buffers (object hash aggregate), each bounded by the
-    words of one text; one shuffle of the parse table on ``ord``.
+    Words are de-duplicated on ``(ord, word)`` first (map-side combine), so a
+    huge text with many repeats never reaches one task as raw occurrences; the
+    lists then hold only the distinct words the record returns. The main event
+    is an algebraic ``min_by`` over the packed rank. Both aggregates are hash
+    partitioned on ``ord`` and joined without another exchange.
     """
     subj = F.col("deprel").startswith(SUBJECT_PREFIX)
     kw = F.col("upos").isin(*KEYWORD_TAGS) & (F.length("text") > 1)
-    root = F.col("head") == 0
-    agg = tokens.groupBy("ord").agg(
-        F.collect_list(F.when(subj, F.col("text"))).alias("s"),
-        F.collect_list(F.when(kw, F.col("text"))).alias("k"),
-        F.collect_list(F.when(root, F.struct(_event_rank().alias("r"), F.col("text").alias("t")))).alias("e"),
-    )
-    return agg.select(
-        "ord",
-        F.array_sort(F.array_distinct("s")).alias("subjects"),
-        F.array_sort(F.array_distinct("k")).alias("keywords"),
-        F.array_min("e")["t"].alias("main_event"),
-    )
+    words = tokens.where(subj | kw).groupBy("ord", "text").agg(
+        F.max(subj.cast("int")).alias("is_s"), F.max(kw.cast("int")).alias("is_k"))
+    lists = words.groupBy("ord").agg(
+        F.array_sort(F.collect_list(F.when(F.col("is_s") == 1, F.col("text")))).alias("subjects"),
+        F.array_sort(F.collect_list(F.when(F.col("is_k") == 1, F.col("text")))).alias("keywords"))
+    return lists.join(main_event(tokens), "ord", "full_outer")
 
 
 def analyze(docs: DataFrame, tokens: DataFrame) -> DataFrame:
