@@ -140,6 +140,49 @@ def call_labeller(prompts: DataFrame, labeller: Labeller = rule_labeller,
         run, "batch_id bigint, reply string, error string")
 
 
+SingleLabeller = Callable[[list[dict]], str]
+
+
+def rule_single_labeller(messages_: list[dict]) -> str:
+    """Deterministic stand-in for the single-text call: answers ``tone <n>`` for
+    the user text, wrapped in a reasoning block when the text length is odd."""
+    text = messages_[-1]["content"][len("Text: "):]
+    n = len(text)
+    label = f"tone {n % 7}"
+    return f"<think>{n}</think>{label}" if n % 2 == 1 else label
+
+
+def label_each(texts: DataFrame, labeller: SingleLabeller = rule_single_labeller,
+               settings: TagSettings = DEFAULTS.tags, retries: int = 2) -> DataFrame:
+    """Single-text form (L2-L4, L7): ``(ord, label, error)`` - one call per text.
+
+    The reply's reasoning block is cut (second piece after the flag); a failed
+    call leaves the label NULL and fills ``error`` (never an apology as label).
+    Runs as ``mapInPandas`` over Arrow batches; texts are independent rows.
+    """
+    flag = settings.reasoning_flag
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            labels, errors = [], []
+            for t in pdf["text"].values:
+                reply, err = None, None
+                for _ in range(retries + 1):
+                    try:
+                        reply, err = labeller(single_prompt(t or "")), None
+                        break
+                    except Exception as e:  # noqa: BLE001 - recorded, not raised
+                        err = f"{type(e).__name__}: {e}"
+                if reply is not None:
+                    parts = reply.split(flag)
+                    reply = parts[1] if len(parts) > 1 else parts[0]
+                labels.append(reply)
+                errors.append(err)
+            yield pd.DataFrame({"ord": pdf["ord"].values, "label": labels, "error": errors})
+
+    return texts.select("ord", "text").mapInPandas(run, "ord bigint, label string, error string")
+
+
 def store_replies(replies_to_run: Callable[[DataFrame], DataFrame], prompts: DataFrame,
                   path: str) -> DataFrame:
     """Idempotent reply store keyed by ``batch_id``.

@@ -130,6 +130,11 @@ class HashingEncoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
+def encode_one(spark, text: str, factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
+    """E1 single form: a one-row ``(ord, vec)`` DataFrame for one text."""
+    return encode_with(spark.createDataFrame([(0, text)], "ord bigint, text string"), factory)
+
+
 def encode_with(docs: DataFrame, factory: Callable[[], Encoder] = HashingEncoder,
                 batch_rows: int = 256) -> DataFrame:
     """``(ord, vec ARRAY<FLOAT>)`` from an injected encoder over Arrow batches.

@@ -28,6 +28,30 @@ def tokens(docs: DataFrame, cjk: bool = False, keep_empty: bool = False) -> Data
     return docs.select("ord", explode(token_array("text", cjk)).alias("pos", "token"))
 
 
+def tokens_with(docs: DataFrame, segmenter_factory) -> DataFrame:
+    """V1 with an injected segmenter (e.g. a dictionary segmenter for Chinese).
+
+    ``segmenter_factory()`` is built once per Python worker and maps one
+    stripped text to its token list; runs over Arrow batches. ``(ord, pos, token)``.
+    """
+    import pandas as pd  # local: only needed on this path
+
+    cache: dict = {}
+
+    def run(it):
+        seg = cache.get("s") or cache.setdefault("s", segmenter_factory())
+        for pdf in it:
+            o, p, t = [], [], []
+            for ord_, text in zip(pdf["ord"].values, pdf["text"].values):
+                for i, tok in enumerate(seg((text or "").strip())):
+                    o.append(int(ord_))
+                    p.append(i)
+                    t.append(tok)
+            yield pd.DataFrame({"ord": o, "pos": p, "token": t})
+
+    return docs.select("ord", "text").mapInPandas(run, "ord bigint, pos int, token string")
+
+
 def token_freq(toks: DataFrame) -> DataFrame:
     """V2: ``(token, cnt)``; partial + final hash aggregation."""
     return toks.where(F.col("token").isNotNull()).groupBy("token") \

@@ -468,6 +468,45 @@ def q_online_vectors(spark, sf_dir):
     return _flat(_doc(online.read_online(spark, out).select("ord", "vec")))
 
 
+@register("label_single")
+def q_label_single(spark, sf_dir):
+    """L2-L4/L7 single-text form over the user turns of ``conversations``."""
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    keyed = conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ord"), "conv_id", "turn", "text")
+    out = tagging.label_each(keyed.select("ord", "text"))
+    return keyed.select("ord", "conv_id", "turn").join(out, "ord").drop("ord")
+
+
+@register("label_store_roundtrip")
+def q_label_store_roundtrip(spark, sf_dir):
+    """Aligned labels written as JSON lines keyed by (run_id, batch_id, idx), read back;
+    a second write of the same run adds nothing."""
+    path = scratch_path(spark, "labels-json")
+    aligned = _tagged(spark, sf_dir)["aligned"].select("ord", "batch_id", "idx", "label")
+    files.write_labels(aligned, path, "r1")
+    files.write_labels(aligned, path, "r1")
+    back = spark.read.schema("ord bigint, batch_id bigint, idx int, label string, run_id string").json(path)
+    return _doc(back.select("ord", "batch_id", "idx", "label"))
+
+
+@register("vector_table_roundtrip")
+def q_vector_table_roundtrip(spark, sf_dir):
+    """Sentence vectors written as one Parquet table (ARRAY<FLOAT>) and read back."""
+    docs, v, wv = _native_vectors(spark, sf_dir)
+    sv = vectors.sentence_vectors(docs, v, wv, WV_DIM)
+    path = scratch_path(spark, "vectors")
+    files.write_vectors(sv, path)
+    back = spark.read.parquet(path).select("ord", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
+    return _flat(_doc(back))
+
+
+@register("encoded_texts")
+def q_encoded_texts(spark, sf_dir):
+    """Injected encoder (default hashing encoder) over distinct texts, joined back."""
+    enc = vectors.encode_with(documents(spark, sf_dir))
+    return _flat(_doc(enc.select("ord", F.transform("vec", lambda x: x.cast("double")).alias("vec"))))
+
+
 # ---------------------------------------------------------------- end to end
 @register("tag_job_clusters")
 def q_tag_job_clusters(spark, sf_dir):

@@ -332,3 +332,11 @@ SELECT count(*) AS n_reviewed, count(*) FILTER (WHERE label = model_label) AS n_
          AS agreement
 FROM mg WHERE source = 'human'"""
 ORACLES["online_vectors"] = ORACLES["sentence_vectors"]
+
+ORACLES["label_single"] = """SELECT conv_id, turn,
+  'tone ' || (length(coalesce(text, '')) % 7) AS label, NULL::VARCHAR AS error
+FROM conversations WHERE role = 'user'"""
+ORACLES["label_store_roundtrip"] = f"WITH {TAG_CTE} SELECT ord AS doc_id, batch_id, idx, label FROM al"
+ORACLES["vector_table_roundtrip"] = f"""WITH {VEC_CTE}
+SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round((m / nr)::FLOAT::DOUBLE, 6) AS value
+FROM full_ JOIN nrm USING (ord)"""
