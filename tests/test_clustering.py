@@ -156,3 +156,27 @@ def test_colour_map(spark):
     pts = _points(spark, [(0, 0)] * 4, [5, 3, -1, 12])
     got = {r["cluster"]: r["color_idx"] for r in cluster.color_map(pts).collect()}
     assert got == {3: 0, 5: 1, 12: 2, -1: None}
+
+
+def test_kmeans_independent_of_input_order(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 3))
+    pts = _points(spark, x).select("id", "vec")
+    a = {r["id"]: r["cluster"] for r in cluster.kmeans(pts, k=3).assignments.collect()}
+    shuffled = pts.orderBy((pts.id * 7919) % 97).repartition(5)
+    b = {r["id"]: r["cluster"] for r in cluster.kmeans(shuffled, k=3).assignments.collect()}
+    assert a == b
+
+
+def test_projection_budget_keeps_every_cluster(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4))
+    y = np.array([0] * 280 + [1] * 15 + [-1] * 5)
+    pts = _points(spark, x, y)
+    full = cluster.projection_2d(pts)
+    assert full.count() == 300
+    few = cluster.projection_2d(pts, budget=60).collect()
+    by = {}
+    for r in few:
+        by[r["cluster"]] = by.get(r["cluster"], 0) + 1
+    assert by.get(1) == 15 and by.get(-1) == 5 and 5 <= by.get(0, 0) <= 45

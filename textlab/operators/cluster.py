@@ -169,11 +169,25 @@ def color_map(points: DataFrame, n_colors: int = 10) -> DataFrame:
     return colored.unionByName(noise)
 
 
-def projection_2d(points: DataFrame, n_colors: int = 10) -> DataFrame:
-    """G1: plot-ready ``(id, x, y, cluster, is_noise, color_idx)`` via PCA(2); no image drawn."""
+def projection_2d(points: DataFrame, n_colors: int = 10, budget: int | None = None,
+                  seed: int = 42) -> DataFrame:
+    """G1: plot-ready ``(id, x, y, cluster, is_noise, color_idx)`` via PCA(2); no image drawn.
+
+    ``budget`` (optional) caps the points drawn: every cluster keeps a seeded,
+    hash-based sample of about ``budget / n_clusters`` rows (all rows of a
+    smaller cluster), so a huge cluster cannot crowd out the others. Sampling
+    is the feature here (a picture), never used for the analysis itself.
+    """
     feats = _features(points)
     model = PCA(k=2, inputCol="features", outputCol="xy").fit(feats)
     xy = model.transform(feats).select("id", "cluster", vector_to_array("xy").alias("xy"))
+    if budget is not None:
+        sizes = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"))
+        k = max(1, sizes.count())   # number of clusters: a small action
+        per = float(budget) / k
+        frac = sizes.select("cluster", F.least(F.lit(1.0), F.lit(per) / F.col("n_c")).alias("f"))
+        u = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1000000)) / F.lit(1000000.0)
+        xy = xy.join(frac, "cluster").where(u < F.col("f")).drop("f")
     colors = color_map(points, n_colors)
     return xy.join(colors, "cluster", "left").select(
         "id", F.col("xy")[0].alias("x"), F.col("xy")[1].alias("y"), "cluster", "is_noise", "color_idx")
