@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, TagSettings
 from textlab.functions.text import strip_keep_null, strip_reasoning
-from textlab.operators.common import with_ordinal
+from textlab.operators.common import cut_lineage, with_ordinal
 
 # The label contract's generic polarity words (rejected labels).
 GENERIC_LABELS = ("positive", "negative", "neutral", "good review", "bad review")
@@ -274,7 +274,9 @@ def tag(docs: DataFrame, labeller: Labeller = rule_labeller,
     """L1-L7 chained: returns ``batched, prompts, replies, labels, quarantine, aligned``."""
     batched = assign_batches(docs, settings, dense)
     prompts = build_prompts(batched)
-    replies = call_labeller(prompts, labeller)
+    # replies are used twice (labels and errors): materialise them so every
+    # batch is sent to the labeller exactly once
+    replies = cut_lineage(call_labeller(prompts, labeller))
     labels, quarantine = parse_replies(replies, settings)
     aligned = align(batched, labels, replies)
     return {"batched": batched, "prompts": prompts, "replies": replies,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, Settings
 from textlab.operators import annotate, cluster, corpus, density, quality, tagging, vectors, vocab
-from textlab.operators.common import with_ordinal
+from textlab.operators.common import cut_lineage, with_ordinal
 from textlab.session import scratch_path
 
 
@@ -39,7 +39,7 @@ def label_texts(docs: DataFrame, labeller=tagging.rule_labeller, settings: Setti
     if store:
         replies = tagging.store_replies(lambda p: tagging.call_labeller(p, labeller), prompts, store)
     else:
-        replies = tagging.call_labeller(prompts, labeller)
+        replies = cut_lineage(tagging.call_labeller(prompts, labeller))   # one call per batch
     labels, _ = tagging.parse_replies(replies, settings.tags)
     aligned = tagging.align(batched, labels, replies)
     per_text = aligned.join(uniq.select("ord", "text_key"), "ord").select("text_key", "label", "error")
