@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, VocabSettings
 from textlab.functions.text import token_array
-from textlab.operators.common import broadcast_if_bounded, with_ordinal
+from textlab.operators.common import broadcast_if_bounded, cut_lineage, with_ordinal
 
 # bytes per vocabulary row in a broadcast (word + id + overhead), for the bound
 _VOCAB_ROW_BYTES = 96
@@ -65,6 +65,7 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
     occurrence ``(ord, pos)``; ids from 2; at most ``max_size`` rows including
     ``[PAD]``=0 and ``[UNK]``=1 (cnt NULL). The ranking is a distributed range
     sort with partition offsets, so no single task sees all distinct tokens.
+    The result is checkpointed (it is small and reused by every encoding join).
     """
     cap_pos = (1 << _POS_BITS) - 1
     first = F.shiftleft(F.col("ord").cast("bigint"), _POS_BITS) + F.least(F.col("pos"), F.lit(cap_pos))
@@ -81,7 +82,9 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
     specials = spark.createDataFrame(
         [(settings.pad_token, settings.pad_id, None), (settings.unk_token, settings.unk_id, None)],
         "word string, id bigint, cnt bigint")
-    return specials.unionByName(words)
+    # a fitted artifact (<= max_size rows) read by several later joins:
+    # materialise it once instead of re-deriving the ranking per reference
+    return cut_lineage(specials.unionByName(words))
 
 
 def id_to_word(vocab: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
