@@ -180,3 +180,22 @@ def test_projection_budget_keeps_every_cluster(spark):
     for r in few:
         by[r["cluster"]] = by.get(r["cluster"], 0) + 1
     assert by.get(1) == 15 and by.get(-1) == 5 and 5 <= by.get(0, 0) <= 45
+
+
+@pytest.mark.parametrize("seed,band", [(7, 45), (8, 60), (9, 1000)])
+def test_banded_leaves_match_reference(spark, seed, band):
+    import pandas as pd
+    rng = np.random.default_rng(seed)
+    n = 120
+    # random tree with repeated weights (ties exercise multiway levels)
+    u = np.arange(1, n)
+    v = np.array([rng.integers(0, i) for i in range(1, n)])
+    w = rng.integers(1, 25, size=n - 1).astype(float)
+    pdf = pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64), "w": w})
+    want = density.leaves_from_edges(pdf, 10)
+    edges = spark.createDataFrame(pdf)
+    got = density.leaf_clusters(edges, 10, band_edges=band).toPandas()
+    m = want.merge(got, on="id", suffixes=("_want", "_got"))
+    assert len(m) == n
+    assert (m["cluster_want"] == m["cluster_got"]).all()
+    assert (m["cluster_want"] >= 0).any()
