@@ -236,7 +236,7 @@ tk AS (SELECT ord, (pos // 8)::INTEGER AS sent_id, (pos % 8 + 1)::INTEGER AS wor
                WHEN (ord + pos) % 7 = 0 AND NOT (ord % 5 = 0 AND pos < 8) THEN 0
                ELSE pos % 8 END)::INTEGER AS head,
          CASE (length(w) + pos) % 4 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'nsubj:pass' ELSE 'dep' END AS deprel
-       FROM w WHERE pos < 64)"""
+       FROM w)"""
 
 from textlab.operators.annotate import ENTITY_PATTERNS  # noqa: E402
 

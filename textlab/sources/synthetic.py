@@ -15,20 +15,18 @@ from textlab.functions.text import LETTERS_PATTERN
 
 # Universal POS tags assigned by ``length(word) % 6``.
 UPOS_BY_LENGTH = ("NOUN", "VERB", "ADJ", "PROPN", "PRON", "DET")
-PARSE_MAX_WORDS = 64
 WORDS_PER_SENTENCE = 8
 
 
 def derived_parse(docs: DataFrame) -> DataFrame:
     """Parse table ``(ord, sent_id, word_id, text, upos, head, deprel)``.
 
-    Words are letter runs (first 64); sentences of 8 words; ``head`` points at
+    Words are the letter runs of the whole text; sentences of 8 words; ``head`` points at
     the previous word, some words are roots (``head=0``), and every fifth text's
     first sentence has no root at all.
     """
     words = docs.select("ord", F.posexplode(
         F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(LETTERS_PATTERN), 0)).alias("pos", "w"))
-    words = words.where(F.col("pos") < PARSE_MAX_WORDS)
     k = WORDS_PER_SENTENCE
     in_sent = F.pmod(F.col("pos"), F.lit(k))
     no_root = (F.pmod(F.col("ord"), F.lit(5)) == 0) & (F.col("pos") < k)
