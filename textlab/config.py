@@ -8,6 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The defaults below (50000-entry vocabulary with [PAD]=0 and
+# [UNK]=1, 64 tokens, 300-wide word vectors padded to 768, batches of 30,
+# 60 labels before clustering, k=5, seed 42, 50 reduced dimensions, density
+# sizes max(10, int(0.02 n)) and max(5, int(0.01 n)), at least 5 rows) must
+# equal the reproduced behaviour's for the same results.
+
 
 @dataclass(frozen=True)
 class VocabSettings:
