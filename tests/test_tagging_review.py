@@ -97,3 +97,25 @@ def test_corpus_registry_is_write_once(spark, docs):
     reg = spark.read.parquet(path)
     assert corpus.register_corpus(reg, fp, path) is False
     assert spark.read.parquet(path).count() == 1
+
+
+def test_out_of_range_index_is_quarantined(spark, docs):
+    d = docs([(i, "t") for i in range(3)])
+    batched = tagging.assign_batches(d)
+    replies = spark.createDataFrame([(0, "1: a\n7: ghost\n0: zero", None)], "batch_id bigint, reply string, error string")
+    labels, _ = tagging.parse_replies(replies)
+    bad = {r["idx"] for r in tagging.out_of_range(batched, labels).collect()}
+    assert bad == {0, 7}
+    got = {r["ord"]: r["label"] for r in tagging.align(batched, labels).collect()}
+    assert got == {0: "a", 1: None, 2: None}
+
+
+def test_single_text_labelling_strips_reasoning_and_records_errors(spark, docs):
+    d = docs([(0, "ab"), (1, "abc")])
+    got = {r["ord"]: r["label"] for r in tagging.label_each(d).collect()}
+    assert got == {0: "tone 2", 1: "tone 3"}
+
+    def broken(messages):
+        raise TimeoutError("slow")
+    rows = tagging.label_each(d, broken).collect()
+    assert all(r["label"] is None and "slow" in r["error"] for r in rows)

@@ -94,3 +94,27 @@ def test_cjk_tokenizer_splits_han(spark):
     docs = spark.createDataFrame([(0, "今天天气真好，we go")], "ord bigint, text string")
     toks = [r["token"] for r in vocab.tokens(docs, cjk=True).orderBy("pos").collect()]
     assert toks == ["今", "天", "天", "气", "真", "好", "，", "we", "go"]
+
+
+def test_word_vector_file_edge_cases(spark):
+    d = tempfile.mkdtemp(prefix="textlab-test-")
+    path = os.path.join(d, "vec.txt")
+    with open(path, "w") as f:
+        f.write("  \n2 3\nb 1 x\nb 1 2\nc 1 2 3\n  c 4 5  \n")
+    v = _vocab(spark, ["b", "c"])
+    got = {r["word"]: list(r["vec"]) for r in files.read_word_vectors(spark, path, v, dim=2).collect()}
+    # "b 1 x" is not a number row and is dropped; "2 3" is a header; width 3 dropped
+    assert got == {"b": [1.0, 2.0], "c": [4.0, 5.0]}
+    cov = vocab.coverage(v, files.read_word_vectors(spark, path, v, dim=2)).first()
+    assert (cov["found"], cov["needed"]) == (2, 4)
+
+
+def test_null_text_option(spark):
+    d = tempfile.mkdtemp(prefix="textlab-test-")
+    path = os.path.join(d, "in.csv")
+    with open(path, "w") as f:
+        f.write("id,text\n1,hello\n2,\n")
+    got = [r["text"] for r in files.read_texts(spark, path, null_text="nan").orderBy("ord").collect()]
+    assert got == ["hello", "nan"]
+    kept = [r["text"] for r in files.read_texts(spark, path).orderBy("ord").collect()]
+    assert kept == ["hello", None]

@@ -88,3 +88,16 @@ def test_strip_matches_python(docs):
     d = docs(list(enumerate(texts)))
     got = {r["ord"]: r["text"] for r in corpus.stripped(d).collect()}
     assert got == {i: t.strip() for i, t in enumerate(texts)}
+
+
+def test_as_docs_dense_renumbers_gaps(spark):
+    df = spark.createDataFrame([(50, "x"), (7, "y"), (1000, "z")], "doc_id bigint, body string")
+    got = {r["doc_id"]: (r["ord"], r["text"]) for r in corpus.as_docs(df, "doc_id", "body", dense=True).collect()}
+    assert got == {7: (0, "y"), 50: (1, "x"), 1000: (2, "z")}
+
+
+def test_min_freq_and_specials(docs):
+    d = docs([(0, "a a b [PAD]")])
+    s = VocabSettings(min_freq=2)
+    words = {r["word"]: r["id"] for r in vocab.build_vocab(vocab.tokens(d), s).collect()}
+    assert words == {"[PAD]": 0, "[UNK]": 1, "a": 2}
