@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Default entity patterns (valid in Java regex and RE2), tried
-# left to right at each position; the first that matches names the type.
+# left to right at each position; the first that matches names the type. The
+# e-mail pattern starts at a word boundary, so it is not retried inside words.
 ENTITY_PATTERNS = (
-    ("EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("URL", r"https?://[^\s]+"),
     ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
     ("NUMBER", r"[0-9]+(?:[.,][0-9]+)*"),

@@ -15,6 +15,7 @@ from textlab.functions import vectors as V
 from textlab.operators import (annotate, classify, cluster, corpus, density, quality, review, tagging,
                                vectors, vocab)
 from textlab.streaming import online
+from textlab.operators.common import cut_lineage
 from textlab.session import scratch_path
 from textlab.sources import files
 from textlab.sources import synthetic
@@ -234,8 +235,10 @@ def q_normalized_embeddings(spark, sf_dir):
 
 # ---------------------------------------------------------------- annotation
 def _parse(spark, sf_dir):
+    """Documents and their parse table; the parse (an annotator's output) is
+    materialised once, as a model step's output would be, and read by every branch."""
     docs = documents(spark, sf_dir)
-    return docs, synthetic.derived_parse(docs)
+    return docs, cut_lineage(synthetic.derived_parse(docs))
 
 
 @register("parse_tokens")
