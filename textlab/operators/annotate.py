@@ -104,19 +104,17 @@ def main_event(tokens: DataFrame) -> DataFrame:
 def per_text(tokens: DataFrame) -> DataFrame:
     """N2 + N4 (+N5) per text: ``(ord, subjects, keywords, main_event)``.
 
-    Words are de-duplicated on ``(ord, word)`` first (map-side combine), so a
-    huge text with many repeats never reaches one task as raw occurrences; the
-    lists then hold only the distinct words the record returns. The main event
-    is an algebraic ``min_by`` over the packed rank. Both aggregates are hash
+    ``collect_set`` de-duplicates map-side (partial aggregation), so a huge
+    text with many repeats never reaches one task as raw occurrences; the
+    lists hold only the distinct words the record returns. The main event is
+    an algebraic ``min_by`` over the packed rank. Both aggregates are hash
     partitioned on ``ord`` and joined without another exchange.
     """
     subj = F.col("deprel").startswith(SUBJECT_PREFIX)
     kw = F.col("upos").isin(*KEYWORD_TAGS) & (F.length("text") > 1)
-    words = tokens.where(subj | kw).groupBy("ord", "text").agg(
-        F.max(subj.cast("int")).alias("is_s"), F.max(kw.cast("int")).alias("is_k"))
-    lists = words.groupBy("ord").agg(
-        F.array_sort(F.collect_list(F.when(F.col("is_s") == 1, F.col("text")))).alias("subjects"),
-        F.array_sort(F.collect_list(F.when(F.col("is_k") == 1, F.col("text")))).alias("keywords"))
+    lists = tokens.where(subj | kw).groupBy("ord").agg(
+        F.array_sort(F.collect_set(F.when(subj, F.col("text")))).alias("subjects"),
+        F.array_sort(F.collect_set(F.when(kw, F.col("text")))).alias("keywords"))
     return lists.join(main_event(tokens), "ord", "full_outer")
 
 
