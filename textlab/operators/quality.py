@@ -72,7 +72,7 @@ def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2
                         F.col("cluster").cast("bigint").alias("cluster"))
     n = n_rows if n_rows is not None else pts.count()
     parts = blocked_cogroup(pts, pts, n_blocks_for(n, block_rows), _sil_partials,
-                            "id bigint, ref bigint, s double, c bigint")
+                            "id bigint, ref bigint, s double, c bigint", symmetric=True)
     # one shuffle on id serves both aggregations below
     per_ref = parts.repartition("id").groupBy("id", "ref").agg(
         F.sum("s").alias("s"), F.sum("c").alias("c"))
@@ -144,7 +144,7 @@ def evaluate(points: DataFrame, block_rows: int = 2048) -> DataFrame:
     # Davies-Bouldin: centre pairs handled block-wise, per-centre maxima only
     cent_tab = _centre_table(stats)
     worst = blocked_cogroup(cent_tab, cent_tab, n_blocks_for(k, block_rows), _db_partials,
-                            "cluster bigint, worst double, any_d boolean")
+                            "cluster bigint, worst double, any_d boolean", symmetric=True)
     db_row = worst.groupBy("cluster").agg(F.max("worst").alias("worst"),
                                           F.max(F.col("any_d").cast("int")).alias("any_d")) \
                   .agg(F.avg("worst").alias("db"), F.max("any_d").alias("any_d")).first()
