@@ -118,3 +118,19 @@ def test_null_text_option(spark):
     assert got == ["hello", "nan"]
     kept = [r["text"] for r in files.read_texts(spark, path).orderBy("ord").collect()]
     assert kept == ["hello", None]
+
+
+def test_injected_segmenter_and_single_encoding(spark):
+    docs = spark.createDataFrame([(0, " ab cd "), (1, "")], "ord bigint, text string")
+    toks = vocab.tokens_with(docs, lambda: (lambda t: [t[i:i + 2] for i in range(0, len(t), 3)]))
+    got = [(r["ord"], r["pos"], r["token"]) for r in toks.orderBy("ord", "pos").collect()]
+    assert got == [(0, 0, "ab"), (0, 1, "cd")]
+    one = vectors.encode_one(spark, "hello world").collect()
+    assert len(one) == 1 and len(one[0]["vec"]) == 64
+
+
+def test_gazetteer_entities(spark):
+    toks = spark.createDataFrame(F3, annotate.PARSE_SCHEMA)
+    gaz = spark.createDataFrame([("car", "VEHICLE"), ("run", "ACTION")], "phrase string, type string")
+    got = sorted((r["ord"], r["text"], r["type"]) for r in annotate.gazetteer_entities(toks, gaz).collect())
+    assert got == [(1, "run", "ACTION"), (3, "car", "VEHICLE")]

@@ -161,6 +161,7 @@ def parse_with(docs: DataFrame, parser_factory: Callable[[], Callable[[str], lis
                 for w in parse(t or ""):
                     rows.append((int(o), int(w["sent_id"]), int(w["word_id"]), w["text"],
                                  w["upos"], int(w["head"]), w["deprel"]))
-            yield pd.DataFrame(rows, columns=["ord", "sent_id", "word_id", "text", "upos", "head", "deprel"])
+            out = pd.DataFrame(rows, columns=["ord", "sent_id", "word_id", "text", "upos", "head", "deprel"])
+            yield out.astype({"ord": "int64", "sent_id": "int32", "word_id": "int32", "head": "int32"})
 
     return docs.select("ord", "text").mapInPandas(run, PARSE_SCHEMA)

@@ -49,7 +49,8 @@ def centroids(points: DataFrame) -> DataFrame:
 
 def _sil_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "ref": [], "s": [], "c": []})
+        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "ref": pd.Series([], dtype="int64"),
+                             "s": pd.Series([], dtype="float64"), "c": pd.Series([], dtype="int64")})
     a, b = stack(left["vec"]), stack(right["vec"])
     d = euclidean(a, b)
     d[left["id"].values[:, None] == right["id"].values[None, :]] = 0.0
@@ -93,7 +94,8 @@ def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2
 
 def _db_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     if left.empty or right.empty:
-        return pd.DataFrame({"cluster": [], "worst": [], "any_d": []})
+        return pd.DataFrame({"cluster": pd.Series([], dtype="int64"), "worst": pd.Series([], dtype="float64"),
+                             "any_d": pd.Series([], dtype="bool")})
     d = euclidean(stack(left["centre"]), stack(right["centre"]))
     same = left["cluster"].values[:, None] == right["cluster"].values[None, :]
     num = left["spread"].values[:, None] + right["spread"].values[None, :]

@@ -47,7 +47,8 @@ def tokens_with(docs: DataFrame, segmenter_factory) -> DataFrame:
                     o.append(int(ord_))
                     p.append(i)
                     t.append(tok)
-            yield pd.DataFrame({"ord": o, "pos": p, "token": t})
+            yield pd.DataFrame({"ord": pd.Series(o, dtype="int64"), "pos": pd.Series(p, dtype="int32"),
+                                "token": pd.Series(t, dtype="object")})
 
     return docs.select("ord", "text").mapInPandas(run, "ord bigint, pos int, token string")
 
