@@ -137,34 +137,34 @@ def in_order(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
         .withColumn(name, F.col("__start") + F.col("__place")).drop("__part", "__place", "__start")
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) for the ends of the links (a, b): root is the smallest node reachable.
-
-    Each round joins every node to the smallest node of its neighbourhood and
-    shortens the paths; rounds grow with the logarithm of the longest path.
-    Links of a node with very many are aggregated before they are shuffled.
-    Links are written after every round.
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for the ends of links (a, b): root is the smallest node reachable.
+
+    Alternating stars: every node links its larger neighbours to the smallest
+    node around it, then its smaller ones, until only stars around the roots
+    are left; rounds grow with the logarithm of the longest path. A node's
+    smallest neighbour is aggregated before the shuffle, and the links of a
+    node with very many don't meet in one task (see lookup). Every round is
+    written to the checkpoint folder.
     """
-    del nodes
     both = lambda e: e.select("a", "b").union(e.select(F.col("b"), F.col("a")))
-    links = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = lambda e: cut_lineage(
+        e.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
+    spread = F.xxhash64("a", "b")
+    links = cut_lineage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                         .where("a <> b").distinct())
-    while True:
-        total = links.count()
-        # every larger neighbour, and the node itself, links to the smallest node around
-        near = both(links).groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"),
-                                            F.count(F.lit(1)).alias("n"))
-        near = cut_lineage(near)
-        large = lookup(both(links), near, "a", "n", F.xxhash64("a", "b"), 2 * total) \
+    total = links.count()
+    while total:
+        near = least(both(links)).select("a", F.least("a", "low").alias("low"), "n")
+        large = lookup(both(links), near, "a", "n", spread, 2 * total) \
             .where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        own = near.where("low < a").select("a", F.col("low").alias("b"))
-        star = cut_lineage(large.union(own).where("a <> b").distinct())
-        # every node links all it is above to the smallest of them
-        low = cut_lineage(star.groupBy("a").agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n")))
-        small = lookup(star, low, "a", "n", F.xxhash64("a", "b"), star.count()) \
-            .select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        after = cut_lineage(small.union(low.select("a", F.col("low").alias("b"))).distinct())
-        same = after.count() == total and links.exceptAll(after).isEmpty()
+        star = cut_lineage(large.distinct())
+        near = least(star)
+        small = lookup(star, near, "a", "n", spread, total).where("b <> low") \
+            .select(F.col("b").alias("a"), F.col("low").alias("b"))
+        after = cut_lineage(small.union(near.select("a", F.col("low").alias("b"))).distinct())
+        before, total = total, after.count()
+        if before == total and links.exceptAll(after).isEmpty():
+            break
         links = after
-        if same:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))

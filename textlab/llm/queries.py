@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe
+from textlab.llm import bpe, mixing, simhash
+from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
 
@@ -31,8 +32,22 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.copies(docs).select("doc_id", "size", "source_size", "target",
+                                      (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, shingle=4, max_bits=4).select(
+        "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
-}
-
-ORACLES: dict[str, str] = {}
+    "op2_mixing": op2_mixing,
+    "op10_simhash": op10_simhash,
+}
\ No newline at end of file
