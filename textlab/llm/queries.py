@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, mixing, simhash
+from textlab.llm import bpe, mixing, sharding, simhash
 from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
@@ -39,6 +39,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; shards have near equal bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard(docs, 8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,5 +57,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
+    "op5_sharding": op5_sharding,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file
