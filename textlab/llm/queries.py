@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, mixing, sharding, simhash
+from textlab.llm import bpe, langid, mixing, quality, sharding, simhash
 from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
+#: Documents of this quality score or more are kept.
+THRESHOLD = 0.3
+
 
 def _tokenizer() -> tuple[str, str]:
     import public_tokenizers
@@ -39,6 +42,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    network = langid.learn(docs.select("doc_id", "text", "lang"))
+    return langid.predict(docs.select("doc_id", "text"), network).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document; shards have near equal bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,6 +58,15 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality.score(docs, model, drop_text=True).select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +77,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
+    "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file
