@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, langid, mixing, quality, sharding, simhash
+from textlab.llm import bpe, langid, mixing, quality, sharding, simhash, sketch, spans
 from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
@@ -42,6 +42,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def op3_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of repeated spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spans.dedup(docs)
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +64,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return sketch.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,8 +88,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
+    "op3_spans": op3_spans,
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
+    "op6_sketch": op6_sketch,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file
