@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import bpe, langid, mixing, quality, sharding, simhash, sketch, spans
+from textlab.llm import ann, bpe, langid, mixing, quality, sharding, simhash, sketch, spans
 from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
@@ -19,7 +19,7 @@ from textlab.llm.common import table
 THRESHOLD = 0.3
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -27,7 +27,7 @@ def _tokenizer() -> tuple[str, str]:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and their bytes back, as digests."""
-    path, pattern = _tokenizer()
+    path, pattern = tokenizer()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tokens = bpe.encode(docs, path, pattern, drop_text=True)
     return bpe.decode(tokens, path, pattern).select(
@@ -69,6 +69,11 @@ def op6_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th vector."""
+    return ann.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), top=20, every=20)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,6 +97,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language": op4_language,
     "op5_sharding": op5_sharding,
     "op6_sketch": op6_sketch,
+    "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file

@@ -136,6 +136,6 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     out = add_columns(marked, [text, "__spans"],
                       [T.StructField("__text", T.StringType()), T.StructField("n_sentences", T.IntegerType()),
                        T.StructField("n_removed", T.IntegerType())], make, [text, "__spans", "__row"])
-    rest = without(docs, ["n_sentences", "n_removed"]).columns
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in rest],
-                      "n_sentences", "n_removed")
+    counts = ["n_sentences", "n_removed"]
+    rest = without(docs, counts).columns
+    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in rest], *counts)
