@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import ann, bpe, langid, mixing, quality, sharding, simhash, sketch, spans
+from textlab.llm import ann, bpe, langid, lm, mixing, quality, sharding, simhash, sketch, spans
 from textlab.llm.oracles import ORACLES  # noqa: F401
 from textlab.llm.common import table
 
@@ -83,6 +83,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document under counts over all of them."""
+    return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,5 +104,6 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sketch": op6_sketch,
     "op7_nearest": op7_nearest,
     "op8_quality": op8_quality,
+    "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
 }
\ No newline at end of file
