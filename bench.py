@@ -29,6 +29,8 @@ HEADLINE = [
     "cluster_metrics",      # Q-1..Q-4 exact (blocked O(n^2) silhouette)
     "knn_graph",            # C6 exact
     "kmeans_assign",        # C3
+    "hdbscan_leaves",       # C6-C7
+    "tag_job_clusters",     # L1-L9, E1, C3-C9, Q-*
 ]
 
 

@@ -1,7 +1,11 @@
+import time
+
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from textlab.operators import cluster, density, quality
 
@@ -182,9 +186,74 @@ def test_projection_budget_keeps_every_cluster(spark):
     assert by.get(1) == 15 and by.get(-1) == 5 and 5 <= by.get(0, 0) <= 45
 
 
+def _leaves_by_copying(pdf: pd.DataFrame, mcs: int) -> pd.DataFrame:
+    """Leaf selection over MST edges ``(u, v, w)``; returns ``(id, cluster)``.
+
+    Edges are merged level by level (all edges of one weight at once, so equal
+    weights make one multiway merge). A level that joins two or more components
+    of size >= mcs makes each of them a leaf unless it already contains such a
+    merge; leaf members are the component's points at that moment.
+    """
+    if pdf.empty:
+        return pd.DataFrame({"id": np.array([], dtype=np.int64), "cluster": np.array([], dtype=np.int32)})
+    ids = np.unique(np.concatenate([pdf["u"].values, pdf["v"].values]).astype(np.int64))
+    pos = {int(x): i for i, x in enumerate(ids)}
+    n = len(ids)
+    parent = np.arange(n)
+    size = np.ones(n, dtype=np.int64)
+    inner = np.zeros(n, dtype=bool)
+    members: dict[int, list[int]] = {i: [i] for i in range(n)}
+
+    def find(x: int) -> int:
+        root = x
+        while parent[root] != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    leaves: list[list[int]] = []
+    e = pdf.sort_values(["w", "u", "v"], kind="stable")
+    us = [pos[int(x)] for x in e["u"].values]
+    vs = [pos[int(x)] for x in e["v"].values]
+    ws = e["w"].values
+    i = 0
+    while i < len(ws):
+        j = i
+        while j < len(ws) and ws[j] == ws[i]:
+            j += 1
+        pairs = [(find(us[t]), find(vs[t])) for t in range(i, j)]
+        olds = {r for p in pairs for r in p}
+        big = {r for r in olds if size[r] >= mcs}
+        snap = {r: list(members[r]) for r in big if not inner[r]}
+        was_inner = {r: bool(inner[r]) for r in olds}
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            if a == b:
+                continue
+            if size[a] < size[b]:
+                a, b = b, a
+            parent[b] = a
+            size[a] += size[b]
+            members[a].extend(members.pop(b))
+        groups: dict[int, list[int]] = {}
+        for r in olds:
+            groups.setdefault(find(r), []).append(r)
+        for root, rs in groups.items():
+            bigs = [r for r in rs if r in big]
+            split = len(bigs) >= 2
+            if split:
+                leaves.extend(snap[r] for r in bigs if r in snap)
+            inner[root] = split or any(was_inner[r] for r in rs)
+        i = j
+    label = np.full(n, -1, dtype=np.int64)
+    for li, mem in enumerate(sorted(leaves, key=lambda m: int(ids[min(m)]))):
+        label[np.asarray(mem, dtype=np.int64)] = li
+    return pd.DataFrame({"id": ids, "cluster": label.astype(np.int32)})
+
+
 @pytest.mark.parametrize("seed,band", [(7, 45), (8, 60), (9, 1000)])
 def test_banded_leaves_match_reference(spark, seed, band):
-    import pandas as pd
     rng = np.random.default_rng(seed)
     n = 120
     # random tree with repeated weights (ties exercise multiway levels)
@@ -192,10 +261,56 @@ def test_banded_leaves_match_reference(spark, seed, band):
     v = np.array([rng.integers(0, i) for i in range(1, n)])
     w = rng.integers(1, 25, size=n - 1).astype(float)
     pdf = pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64), "w": w})
-    want = density.leaves_from_edges(pdf, 10)
+    want = _leaves_by_copying(pdf, 10)
     edges = spark.createDataFrame(pdf)
     got = density.leaf_clusters(edges, 10, band_edges=band).toPandas()
     m = want.merge(got, on="id", suffixes=("_want", "_got"))
     assert len(m) == n
     assert (m["cluster_want"] == m["cluster_got"]).all()
     assert (m["cluster_want"] >= 0).any()
+
+
+def test_merge_tree_is_linear_on_a_chain():
+    n = 200_000
+    edges = pd.DataFrame({"lu": np.arange(n), "lv": np.arange(1, n + 1), "w": np.arange(n) / 7.0})
+    state = pd.DataFrame({"lab": np.arange(n + 1), "size": 1, "inner": False})
+    t = time.perf_counter()
+    out = density._merge_tree(edges, state, 10)
+    assert time.perf_counter() - t < 60 and (out["size"] == n + 1).all() and (out["leaf"] == -1).all()
+
+
+def test_weighted_density_equals_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    centres = np.array([[0, 0], [30, 0], [0, 40]])
+    x = np.round(np.concatenate([c + rng.normal(size=(12, 2)) for c in centres]), 3)
+    n = rng.integers(1, 4, len(x))
+    rows = np.repeat(np.arange(len(x)), n)
+    many = spark.createDataFrame([(i, [float(a) for a in x[r]]) for i, r in enumerate(rows)], "id long, vec array<double>")
+    few = spark.createDataFrame([(i, [float(a) for a in x[i]], int(n[i])) for i in range(len(x))],
+                                "id long, vec array<double>, n long")
+    core = {r["id"]: r["core"] for r in density.core_distances(many, 5).collect()}
+    weighted = {r["id"]: r["core"] for r in density.core_distances(few, 5, weight_col="n").collect()}
+    assert all(core[i] == pytest.approx(weighted[r]) for i, r in enumerate(rows))
+    a = {r["id"]: r["cluster"] for r in density.hdbscan(many).collect()}
+    b = {r["id"]: r["cluster"] for r in density.hdbscan(few, weight_col="n").collect()}
+    assert len(set(a.values()) - {-1}) == 3
+    assert [a[i] >= 0 for i in range(len(rows))] == [b[r] >= 0 for r in rows]
+    got = quality.evaluate(few.withColumn("cluster", F.floor(few.id / 12))).first()
+    want = quality.evaluate(many.join(spark.createDataFrame([(i, int(r) // 12) for i, r in enumerate(rows)],
+                                                            "id long, cluster long"), "id")).first()
+    assert got["n_samples"] == want["n_samples"] == len(rows)
+    for c in ("silhouette", "calinski", "davies_bouldin"):
+        assert got[c] == pytest.approx(want[c])
+
+
+def test_kmeans_does_not_depend_on_shuffle_partitions(spark):
+    rng = np.random.default_rng(4)
+    pts = _points(spark, rng.normal(size=(90, 3))).select("id", "vec")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("4", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r["id"]: r["cluster"] for r in cluster.kmeans(pts, k=4).assignments.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]

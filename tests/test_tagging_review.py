@@ -46,7 +46,7 @@ def test_f6_label_contract(spark):
 
 
 def test_failed_call_goes_to_error_column(docs):
-    def broken(batch_id, items):
+    def broken(batch_id, items, chat):
         raise RuntimeError("quota")
     d = docs([(i, "t") for i in range(3)])
     out = tagging.tag(d, broken)
@@ -74,7 +74,7 @@ def test_f10_review_overlay(spark):
 def test_reply_store_skips_done_batches(spark, docs):
     import tempfile
 
-    def counting(batch_id, items):
+    def counting(batch_id, items, chat):
         return "\n".join(f"{i}: ok" for i, _ in items)
 
     path = tempfile.mkdtemp(prefix="textlab-test-") + "/replies"
@@ -119,3 +119,49 @@ def test_single_text_labelling_strips_reasoning_and_records_errors(spark, docs):
         raise TimeoutError("slow")
     rows = tagging.label_each(d, broken).collect()
     assert all(r["label"] is None and "slow" in r["error"] for r in rows)
+
+
+def test_failed_calls_are_tried_again_and_replies_belong_to_their_text(spark, docs):
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="textlab-test-") + "/replies"
+    prompts = tagging.build_prompts(tagging.assign_batches(docs([(i, f"t{i}") for i in range(70)])))
+
+    def odd_fails(batch_id, items, chat):
+        if batch_id % 2:
+            raise TimeoutError("slow")
+        return "\n".join(f"{i}: first" for i, _ in items)
+
+    def works(batch_id, items, chat):
+        assert chat[-1]["content"].startswith(tagging.ITEMS_HEADER)
+        return "\n".join(f"{i}: second" for i, _ in items)
+
+    def run(labeller, p=prompts):
+        out = tagging.store_replies(lambda x: tagging.call_labeller(x, labeller, retries=0), p, path)
+        return {r["batch_id"]: (r["reply"] or "")[:8] for r in out.collect()}
+
+    assert run(odd_fails) == {0: "1: first", 1: "", 2: "1: first"}
+    assert run(works) == {0: "1: first", 1: "1: secon", 2: "1: first"}
+    other = tagging.build_prompts(tagging.assign_batches(docs([(i, f"u{i}") for i in range(30)])))
+    assert run(works, other) == {0: "1: secon"}
+
+
+def test_tag_job_keeps_every_text(spark, docs):
+    from textlab.plans import pipeline
+
+    job = pipeline.run_tag_job(docs([(i, "word " * (i % 9 + 1)) for i in range(130)]), algo="both")
+    assert job.status == "clustered"
+    rows = job.clusters.collect()
+    assert len(rows) == 2 * 130 and {r["algo"] for r in rows} == {"kmeans", "hdbscan"}
+    unlabelled = {r["ord"] for r in job.labels.collect() if r["label"] is None}
+    assert {r["ord"] for r in rows if r["algo"] == "kmeans" and r["cluster"] is None} == unlabelled
+    labelled = 130 - len(unlabelled)
+    assert {r["n_samples"] for r in job.metrics.collect()} == {labelled}
+
+
+def test_gate_skips_below_sixty_labels(spark):
+    from textlab.plans import pipeline
+
+    rows = lambda n: spark.createDataFrame([(i, f"l{i % 7}") for i in range(n)], "ord long, label string")
+    assert pipeline.cluster_labels(rows(59), "kmeans")[0] == "skipped"
+    assert pipeline.cluster_labels(rows(60), "kmeans")[0] == "clustered"

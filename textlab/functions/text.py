@@ -26,13 +26,6 @@ CJK_WORD_PATTERN = r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+|[^ \t\n\x0B\f\r\p{L}\
 LETTERS_PATTERN = r"\p{L}+"
 
 
-def as_text(c: Column | str, null_text: str | None = None) -> Column:
-    """Stringify a value. NULL stays NULL unless ``null_text`` is given."""
-    col = F.col(c) if isinstance(c, str) else c
-    s = col.cast("string")
-    return s if null_text is None else F.coalesce(s, F.lit(null_text))
-
-
 def strip_text(c: Column | str) -> Column:
     """Python ``str(x).strip()`` with None -> '' (Unicode whitespace both ends)."""
     col = F.col(c) if isinstance(c, str) else c
@@ -55,19 +48,3 @@ def strip_reasoning(c: Column | str, flag: str = "</think>") -> Column:
     col = F.col(c) if isinstance(c, str) else c
     parts = F.split(col, "\\Q" + flag + "\\E", -1)   # literal, not a regex
     return F.when(F.size(parts) > 1, F.element_at(parts, 2)).otherwise(col)
-
-
-def before_first(c: Column, sep: str) -> Column:
-    return F.substring_index(c, sep, 1)
-
-
-def after_first(c: Column, sep: str) -> Column:
-    """Text after the first ``sep``; NULL when ``sep`` is absent."""
-    pos = F.instr(c, sep)
-    return F.when(pos > 0, c.substr(pos + F.lit(len(sep)), F.length(c) + F.lit(1)))
-
-
-def word_count(c: Column) -> Column:
-    """Number of whitespace-separated words of a stripped label."""
-    s = strip_keep_null(c)
-    return F.when(s == "", F.lit(0)).otherwise(F.size(F.split(s, r"\s+")))

@@ -43,16 +43,3 @@ def pad_or_cut(v: Column | str, width: int, dtype: str = "float") -> Column:
 def sq_dist(a: Column | str, b: Column | str) -> Column:
     diffs = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")))
     return F.aggregate(diffs, F.lit(0.0).cast("double"), lambda acc, d: acc + d * d)
-
-
-def dist(a: Column | str, b: Column | str) -> Column:
-    return F.sqrt(sq_dist(a, b))
-
-
-def dot(a: Column | str, b: Column | str) -> Column:
-    prods = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, p: acc + p)
-
-
-def vec_add(a: Column | str, b: Column | str) -> Column:
-    return F.zip_with(_c(a), _c(b), lambda x, y: x + y)

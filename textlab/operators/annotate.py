@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlab.operators.vectors import per_worker
+
 # Default entity patterns (valid in Java regex and RE2), tried
 # left to right at each position; the first that matches names the type. The
 # e-mail pattern starts at a word boundary, so it is not retried inside words.
@@ -151,10 +153,8 @@ def parse_with(docs: DataFrame, parser_factory: Callable[[], Callable[[str], lis
     mapping one text to word dicts with ``sent_id, word_id, text, upos, head,
     deprel``.
     """
-    cache: dict[str, Callable] = {}
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parse = cache.get("p") or cache.setdefault("p", parser_factory())
+        parse = per_worker(parser_factory)
         for pdf in it:
             rows = []
             for o, t in zip(pdf["ord"].values, pdf["text"].values):

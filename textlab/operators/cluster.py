@@ -64,18 +64,18 @@ class KMeansResult:
 
 def kmeans(points: DataFrame, k: int | None = None, settings: ClusterSettings = DEFAULTS.cluster,
            weight_col: str | None = None, n_rows: int | None = None,
-           max_iter: int = 20) -> KMeansResult | None:
+           max_iter: int = 20, partitions: int = 64) -> KMeansResult | None:
     """Spark ML k-means (k-means|| init, Lloyd), seed 42; None when k < 2.
 
-    Input is range-partitioned on ``id`` to a fixed partition count first, so
-    the seeded initialisation does not depend on the upstream layout.
+    Input is dealt by a hash of ``id`` to ``partitions`` and sorted there, so the
+    seeded initialisation depends neither on the upstream layout nor on the
+    session's number of shuffle partitions (raise ``partitions`` with the data).
     """
     n = n_rows if n_rows is not None else points.count()
     kk = clamp_k(k, n, settings)
     if kk is None:
         return None
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    feats = _features(points.repartitionByRange(parts, "id").sortWithinPartitions("id")).cache()
+    feats = _features(points.repartition(partitions, "id").sortWithinPartitions("id")).cache()
     est = KMeans(k=kk, seed=settings.seed, maxIter=max_iter, featuresCol="features",
                  predictionCol="cluster")
     if weight_col:
@@ -100,13 +100,13 @@ def nearest_centre(points: DataFrame, centres: DataFrame, out: str = "center") -
     is size-checked and shipped once per task, and distances are computed per
     Arrow batch in numpy - no join, no pairs table.
     """
+    size = centres.agg(F.sum(F.size("centre").cast("bigint") * 8)).first()[0] or 0
+    if size > CENTRE_BYTES_LIMIT:   # measured before anything is collected
+        raise ValueError("centre matrix too large to ship to tasks; cluster with fewer centres")
     rows = centres.select(F.col("cluster").cast("long").alias("c"), V.to_double("centre").alias("v")) \
                   .orderBy("c").collect()
     if not rows:
         return points.select("id", F.lit(None).cast("int").alias(out))
-    dim = len(rows[0]["v"])
-    if len(rows) * dim * 8 > CENTRE_BYTES_LIMIT:
-        raise ValueError("centre matrix too large to ship to tasks; cluster with fewer centres")
     ids = np.array([r["c"] for r in rows], dtype=np.int64)
     mat = np.array([r["v"] for r in rows], dtype=np.float64)
     bc = points.sparkSession.sparkContext.broadcast((ids, mat))

@@ -58,3 +58,47 @@ def with_ordinal(df: DataFrame, order_cols: list[Column | str], name: str = "rn"
     out = tagged.join(broadcast_if_bounded(offsets, n, 16), "_pid")
     return out.withColumn(name, (F.col("_off") + F.col("_local") + F.lit(1)).cast("bigint")) \
               .drop("_pid", "_local", "_off")
+
+
+def broadcast_measured(df: DataFrame, limit: int = BROADCAST_BYTES_LIMIT) -> DataFrame:
+    """Broadcast hint after measuring ``df`` (rows and bytes of its strings and arrays).
+
+    For materialised frames only: it runs one small aggregate over them.
+    """
+    sizes = [F.octet_length(F.col(f"`{c}`")) if t == "string" else F.size(F.col(f"`{c}`")) * 8
+             for c, t in df.dtypes if t == "string" or t.startswith("array")]
+    row = F.lit(48 + 16 * len(df.columns))
+    for x in sizes:
+        row = row + F.coalesce(x, F.lit(0))
+    total = df.agg(F.sum(row.cast("bigint"))).first()[0] or 0
+    return F.broadcast(df) if total <= limit else df
+
+
+# A key with more than 1/HOT_PARTS of the rows (and over HOT_ROWS) is hot.
+HOT_PARTS, HOT_ROWS = 1000, 10_000
+
+
+def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column,
+           total: int) -> DataFrame:
+    """``left`` with the columns of ``right`` for its key; NULL where there is none.
+
+    ``right`` has one row per key and says in ``weight`` how many rows of
+    ``left`` have it, ``total`` how many there are in all. A key with more than
+    total / HOT_PARTS of them is hot; fewer than HOT_PARTS keys can be, so those are
+    broadcast and their rows are dealt by ``spread`` (same type as the key)
+    instead of the key: no task gets all rows of a hot key.
+    """
+    most = max(HOT_ROWS, (total or 0) // HOT_PARTS)
+    values = [c for c in right.columns if c not in (key, weight)]
+    hot = right.where(F.col(weight) > most).select(
+        F.col(key), *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hot"))
+    cold = right.where(F.col(weight) <= most).select(
+        F.col(key).alias("__key"), *[F.col(c).alias(f"__cold_{c}") for c in values],
+        F.lit(False).alias("__is_hot"))
+    marked = left.join(F.broadcast(hot), key, "left") \
+        .withColumn("__is_hot", F.col("__hot").isNotNull()) \
+        .withColumn("__key", F.when(F.col("__is_hot"), spread).otherwise(F.col(key)))
+    found = marked.join(cold, ["__key", "__is_hot"], "left")
+    return found.select(*[F.col(f"`{c}`") for c in left.columns],
+                        *[F.when(F.col("__is_hot"), F.col(f"__hot_{c}"))
+                          .otherwise(F.col(f"__cold_{c}")).alias(c) for c in values])

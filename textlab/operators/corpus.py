@@ -46,9 +46,11 @@ def fingerprint(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
     row digest = md5(ord ':' md5(text)); level 1 folds ``fanout`` consecutive
     rows (by ``ord``) into md5 of their concatenated digests, level 2 folds
     ``fanout`` level-1 digests the same way, level 3 folds the level-2 digests.
-    No group holds more than ``fanout`` digests for corpora up to fanout^3
-    rows (2.8e14 at the default), so the corpus is never gathered in one task;
-    ``["a\\nb"]`` and ``["a","b"]`` differ. One row: ``fingerprint, n_docs``.
+    Groups are formed by value of ``ord``, so sparse ids make small groups;
+    levels are added until one group is left (twice the digits of the largest
+    id at most). No group holds more than ``fanout`` digests, so the corpus is never
+    gathered in one task; ``["a\\nb"]`` and ``["a","b"]`` differ. One row:
+    ``fingerprint, n_docs``.
     """
     rows = docs.select(
         F.col("ord"),
@@ -56,11 +58,17 @@ def fingerprint(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
                        F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("d"),
         F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("b1"),
     )
-    level1 = rows.groupBy("b1").agg(_ordered_md5("ord", "d").alias("d1"), F.count(F.lit(1)).alias("n"))
-    level2 = level1.withColumn("b2", F.floor(F.col("b1") / F.lit(fanout)).cast("bigint")) \
-                   .groupBy("b2").agg(_ordered_md5("b1", "d1").alias("d2"), F.sum("n").alias("n"))
-    return level2.agg(_ordered_md5("b2", "d2").alias("fingerprint"),
-                      F.sum("n").cast("bigint").alias("n_docs"))
+    levels = rows.groupBy("b1").agg(_ordered_md5("ord", "d").alias("d"), F.count(F.lit(1)).alias("n")) \
+                 .withColumnRenamed("b1", "b")
+    low, high = docs.agg(F.min("ord"), F.max("ord")).first()
+    span = max(abs(high or 0), abs(low or 0)) // fanout
+    deep = 1
+    while deep < 2 or span // fanout >= fanout:   # the last fold gets at most about fanout digests
+        up = F.floor(F.col("b") / F.lit(fanout)).cast("bigint")
+        levels = levels.withColumn("up", up).groupBy("up").agg(
+            _ordered_md5("b", "d").alias("d"), F.sum("n").alias("n")).withColumnRenamed("up", "b")
+        deep, span = deep + 1, span // fanout
+    return levels.agg(_ordered_md5("b", "d").alias("fingerprint"), F.sum("n").cast("bigint").alias("n_docs"))
 
 
 def text_key(text_col: str = "text"):

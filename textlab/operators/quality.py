@@ -1,4 +1,7 @@
-"""Cluster quality metrics (Q-1..Q-4), exact, on ``points(id, vec, cluster)``.
+"""Cluster quality metrics (Q-1..Q-4), exact, on ``points(id, vec, cluster[, n])``.
+
+``n`` (default 1) is how many equal rows a point stands for; every count, mean
+and sum counts it, so the scores are those of the repeated rows.
 
 Noise rows (cluster = -1) are dropped first; the three scores are NULL when
 fewer than two clusters remain or when every remaining row is its own cluster
@@ -23,28 +26,34 @@ from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
 from textlab.operators.blocks import (blocked_cogroup, euclidean, n_blocks_for, stack)
+from textlab.operators.common import cut_lineage
 
 METRIC_SCHEMA = ("n_samples bigint, n_in_clusters bigint, n_clusters bigint, "
                  "silhouette double, calinski double, davies_bouldin double")
 
 
+def _n(points: DataFrame) -> F.Column:
+    return F.col("n").cast("bigint") if "n" in points.columns else F.lit(1).cast("bigint")
+
+
 def counts(points: DataFrame) -> DataFrame:
     """Q-1: ``n_samples, n_in_clusters, n_clusters`` (exact distinct)."""
     inside = F.col("cluster") != -1
+    n = _n(points)
     return points.agg(
-        F.count(F.lit(1)).alias("n_samples"),
-        F.count(F.when(inside, 1)).alias("n_in_clusters"),
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("n_samples"),
+        F.coalesce(F.sum(F.when(inside, n)), F.lit(0)).cast("bigint").alias("n_in_clusters"),
         F.countDistinct(F.when(inside, F.col("cluster"))).alias("n_clusters"),
     )
 
 
 def centroids(points: DataFrame) -> DataFrame:
     """``(cluster, centre ARRAY<DOUBLE>, n BIGINT)`` via the JVM Summarizer."""
-    summ = Summarizer.metrics("mean", "count")
+    n = _n(points)
     agg = points.groupBy("cluster").agg(
-        summ.summary(array_to_vector(V.to_double("vec"))).alias("s"))
-    return agg.select("cluster", vector_to_array(F.col("s.mean")).alias("centre"),
-                      F.col("s.count").alias("n"))
+        Summarizer.metrics("mean").summary(array_to_vector(V.to_double("vec")), n.cast("double")).alias("s"),
+        F.sum(n).alias("n"))
+    return agg.select("cluster", vector_to_array(F.col("s.mean")).alias("centre"), "n")
 
 
 def _sil_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -56,8 +65,8 @@ def _sil_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     d[left["id"].values[:, None] == right["id"].values[None, :]] = 0.0
     codes, uniq = pd.factorize(right["cluster"].values)
     onehot = np.zeros((len(right), len(uniq)))
-    onehot[np.arange(len(right)), codes] = 1.0
-    sums, cnt = d @ onehot, onehot.sum(0)
+    onehot[np.arange(len(right)), codes] = right["n"].values
+    sums, cnt = d @ onehot, onehot.sum(0).astype(np.int64)
     n_l, k = len(left), len(uniq)
     return pd.DataFrame({
         "id": np.repeat(left["id"].values, k),
@@ -70,16 +79,17 @@ def _sil_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2048) -> DataFrame:
     """Q-2: one row ``silhouette``; exact Euclidean mean silhouette."""
     pts = points.select(F.col("id").cast("bigint").alias("id"), "vec",
-                        F.col("cluster").cast("bigint").alias("cluster"))
+                        F.col("cluster").cast("bigint").alias("cluster"), _n(points).alias("n"))
     n = n_rows if n_rows is not None else pts.count()
     parts = blocked_cogroup(pts, pts, n_blocks_for(n, block_rows), _sil_partials,
                             "id bigint, ref bigint, s double, c bigint", symmetric=True)
     # one shuffle on id serves both aggregations below
     per_ref = parts.repartition("id").groupBy("id", "ref").agg(
         F.sum("s").alias("s"), F.sum("c").alias("c"))
-    own = pts.select("id", F.col("cluster").alias("own"))
+    own = pts.select("id", F.col("cluster").alias("own"), F.col("n").alias("weight"))
     j = per_ref.join(own, "id")
     per_row = j.groupBy("id").agg(
+        F.max("weight").alias("weight"),
         F.max(F.when(F.col("ref") == F.col("own"), F.col("c"))).alias("own_n"),
         F.max(F.when((F.col("ref") == F.col("own")) & (F.col("c") > 1),
                      F.col("s") / (F.col("c") - 1))).alias("a"),
@@ -89,7 +99,7 @@ def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2
     s = (F.when(F.col("own_n") <= 1, F.lit(0.0))
           .when(m == 0, F.lit(0.0))
           .otherwise((F.col("b") - F.col("a")) / m))
-    return per_row.agg(F.avg(s).alias("silhouette"))
+    return per_row.agg((F.sum(s * F.col("weight")) / F.sum("weight")).alias("silhouette"))
 
 
 def _db_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -125,14 +135,16 @@ def evaluate(points: DataFrame, block_rows: int = 2048) -> DataFrame:
 
     inside = points.where(F.col("cluster") != -1).select(
         F.col("id").cast("bigint").alias("id"), V.to_double("vec").alias("vec"),
-        F.col("cluster").cast("bigint").alias("cluster"))
+        F.col("cluster").cast("bigint").alias("cluster"), _n(points).alias("n"))
+    inside = cut_lineage(inside)   # read by every score below
     cents = centroids(inside)
     # equi-join on the cluster key; k rows on the small side (AQE broadcasts it
     # at runtime when it fits, else sort-merge)
     per_point = inside.join(cents.select("cluster", "centre"), "cluster").select(
-        "cluster", V.sq_dist("vec", "centre").alias("sq"))
+        "cluster", inside["n"].alias("m"), V.sq_dist("vec", "centre").alias("sq"))
     per_cluster = per_point.groupBy("cluster").agg(
-        F.sum("sq").alias("w"), F.avg(F.sqrt("sq")).alias("spread"))
+        F.sum(F.col("sq") * F.col("m")).alias("w"),
+        (F.sum(F.sqrt("sq") * F.col("m")) / F.sum("m")).alias("spread"))
     stats = cents.join(per_cluster, "cluster").cache()
 
     # Calinski-Harabasz: overall mean is d numbers (bounded by the dimension)
@@ -153,6 +165,6 @@ def evaluate(points: DataFrame, block_rows: int = 2048) -> DataFrame:
     max_spread = stats.agg(F.max("spread")).first()[0]
     davies = 0.0 if (max_spread == 0 or not db_row["any_d"]) else db_row["db"]
 
-    sil = silhouette(inside, n_in, block_rows).first()["silhouette"]
+    sil = silhouette(inside, None, block_rows).first()["silhouette"]
     stats.unpersist()
     return spark.createDataFrame([(n_samples, n_in, k, sil, calinski, davies)], METRIC_SCHEMA)

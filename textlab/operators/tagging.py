@@ -12,6 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +23,17 @@ from textlab.operators.common import cut_lineage, with_ordinal
 # The label contract's generic polarity words (rejected labels).
 GENERIC_LABELS = ("positive", "negative", "neutral", "good review", "bad review")
 
-# Our prompt wording (the contract: one label, 1-5 words, no generic words).
+# The label contract in our words, from the values that ``validate`` checks.
 SYSTEM_PROMPT = (
-    "You label texts with the feeling they express. For each text give one short "
-    "label of one to five words naming its main emotion or attitude and how strong "
-    "it is. Do not answer with a bare polarity such as positive, negative, neutral, "
-    "good review or bad review. Give no explanation. Answer in the language of the text."
+    f"Name the feeling in each text with a label of at most {DEFAULTS.tags.max_label_words} words that says "
+    "which emotion it is and how strong. Write the label in the text's own language and nothing else. "
+    f"These say too little: {', '.join(GENERIC_LABELS)}."
 )
 FORMAT_PROMPT = "Answer with one line per text, exactly in the form\n<number>: <label>"
 ITEMS_HEADER = "Texts to label:\n"
 
-Labeller = Callable[[int, list[tuple[int, str]]], str]
+# (batch id, [(index, text)], chat messages) -> reply
+Labeller = Callable[[int, list[tuple[int, str]], list[dict]], str]
 
 
 # ---------------------------------------------------------------- L1
@@ -89,7 +90,7 @@ def single_prompt(text: str) -> list[dict]:
 
 
 # ---------------------------------------------------------------- L3
-def rule_labeller(batch_id: int, items: list[tuple[int, str]]) -> str:
+def rule_labeller(batch_id: int, items: list[tuple[int, str]], chat: list[dict]) -> str:
     """Deterministic stand-in labeller (not a sentiment model).
 
     Answers in the reply format with a few realistic defects: an index it
@@ -112,21 +113,28 @@ def rule_labeller(batch_id: int, items: list[tuple[int, str]]) -> str:
 
 
 def call_labeller(prompts: DataFrame, labeller: Labeller = rule_labeller,
-                  retries: int = 2, backoff_s: float = 0.0) -> DataFrame:
+                  retries: int = 2, backoff_s: float = 0.0, pause_s: float = 0.0) -> DataFrame:
     """L3 + L7: ``(batch_id, reply, error)`` - one labeller call per batch row.
 
-    Runs as ``mapInPandas`` over Arrow batches of prompt rows; a failing call is
+    The labeller gets the batch's texts and the chat messages made of its
+    prompt. Runs as ``mapInPandas`` over Arrow batches of prompt rows; a failing call is
     retried, then recorded in ``error`` with a NULL reply (never as a label).
+    ``pause_s`` is the least time between two calls of a task (rate limit: with
+    t tasks at once, at most t / pause_s calls a second).
     """
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = [0.0]
         for pdf in it:
             replies, errors = [], []
-            for bid, items in zip(pdf["batch_id"].values, pdf["items"].values):
+            for bid, items, prompt in zip(pdf["batch_id"].values, pdf["items"].values, pdf["prompt"].values):
                 pairs = [(int(x["idx"]), x["text"]) for x in items]
                 reply, err = None, None
                 for attempt in range(retries + 1):
+                    if pause_s:
+                        time.sleep(max(0.0, last[0] + pause_s - time.monotonic()))
+                        last[0] = time.monotonic()
                     try:
-                        reply, err = labeller(int(bid), pairs), None
+                        reply, err = labeller(int(bid), pairs, messages(prompt)), None
                         break
                     except Exception as e:  # noqa: BLE001 - recorded, not raised
                         err = f"{type(e).__name__}: {e}"
@@ -136,7 +144,7 @@ def call_labeller(prompts: DataFrame, labeller: Labeller = rule_labeller,
                 errors.append(err)
             yield pd.DataFrame({"batch_id": pdf["batch_id"].values, "reply": replies, "error": errors})
 
-    return prompts.select("batch_id", "items").mapInPandas(
+    return prompts.select("batch_id", "items", "prompt").mapInPandas(
         run, "batch_id bigint, reply string, error string")
 
 
@@ -160,11 +168,9 @@ def label_each(texts: DataFrame, labeller: SingleLabeller = rule_single_labeller
     call leaves the label NULL and fills ``error`` (never an apology as label).
     Runs as ``mapInPandas`` over Arrow batches; texts are independent rows.
     """
-    flag = settings.reasoning_flag
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            labels, errors = [], []
+            replies, errors = [], []
             for t in pdf["text"].values:
                 reply, err = None, None
                 for _ in range(retries + 1):
@@ -173,32 +179,56 @@ def label_each(texts: DataFrame, labeller: SingleLabeller = rule_single_labeller
                         break
                     except Exception as e:  # noqa: BLE001 - recorded, not raised
                         err = f"{type(e).__name__}: {e}"
-                if reply is not None:
-                    parts = reply.split(flag)
-                    reply = parts[1] if len(parts) > 1 else parts[0]
-                labels.append(reply)
+                replies.append(reply)
                 errors.append(err)
-            yield pd.DataFrame({"ord": pdf["ord"].values, "label": labels, "error": errors})
+            yield pd.DataFrame({"ord": pdf["ord"].values, "reply": replies, "error": errors})
+
+    out = texts.select("ord", "text").mapInPandas(run, "ord bigint, reply string, error string")
+    return out.select("ord", strip_reasoning("reply", settings.reasoning_flag).alias("label"), "error")
+
+
+REPLY_SCHEMA = "prompt_key string, reply string, error string, run bigint"
 
-    return texts.select("ord", "text").mapInPandas(run, "ord bigint, label string, error string")
+
+def prompt_key(prompt: str = "prompt") -> F.Column:
+    """A reply belongs to what was asked, not to a position: the md5 of the prompt."""
+    return F.md5(F.col(prompt))
+
+
+def read_store(spark, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A stored table, or an empty one where nothing has been written; other errors are raised."""
+    try:
+        return spark.read.format(fmt).schema(schema).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def store_replies(replies_to_run: Callable[[DataFrame], DataFrame], prompts: DataFrame,
                   path: str) -> DataFrame:
-    """Idempotent reply store keyed by ``batch_id``.
+    """Reply store keyed by the prompt's content; ``(batch_id, reply, error)`` of ``prompts``.
 
-    Only batches absent from ``path`` are sent to the labeller (left anti join);
-    results are appended, so a rerun after a failure repeats no paid call.
+    Only prompts without a successful reply under ``path`` are sent to the
+    labeller (left anti join), so a rerun repeats no paid call, failed calls
+    are tried again, and another corpus on the same path gets no stale reply.
+    Equal prompts are sent once.
     """
     spark = prompts.sparkSession
-    try:
-        done = spark.read.parquet(path).select("batch_id")
-        todo = prompts.join(done, "batch_id", "left_anti")
-    except Exception:  # noqa: BLE001 - nothing stored yet
-        todo = prompts
-    new = replies_to_run(todo)
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    keyed = prompts.withColumn("prompt_key", prompt_key())
+    stored = read_store(spark, path, REPLY_SCHEMA)
+    done = stored.where(F.col("error").isNull()).select("prompt_key").distinct()
+    last = stored.agg(F.max("run")).first()[0] or 0
+    todo = keyed.join(done, "prompt_key", "left_anti")
+    once = todo.groupBy("prompt_key").agg(F.min("batch_id").alias("batch_id"))
+    new = replies_to_run(todo.join(once.select("batch_id"), "batch_id", "left_semi"))
+    new.join(once, "batch_id").select("prompt_key", "reply", "error", F.lit(last + 1).cast("bigint").alias("run")) \
+       .write.mode("append").parquet(path)
+    # of a prompt's rows the successful one, else the latest failure
+    order = F.struct(F.col("error").isNull().alias("ok"), F.col("run"))
+    best = spark.read.schema(REPLY_SCHEMA).parquet(path).groupBy("prompt_key").agg(
+        F.max_by(F.struct("reply", "error"), order).alias("r"))
+    return keyed.select("batch_id", "prompt_key").join(best, "prompt_key").select("batch_id", "r.reply", "r.error")
 
 
 # ---------------------------------------------------------------- L4 / L5

@@ -8,10 +8,12 @@ pooling -> L2 norm, all JVM-side. Injected encoders (E1) run in
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ from textlab.operators.common import broadcast_if_bounded
 from textlab.operators.vocab import token_ids
 
 NOISE_SCALE = 0.01
+# The vocabulary's vectors as doubles: 50,000 x 300 dims is 123 MB a copy.
+POOL_BROADCAST_BYTES = 160 * 1024 * 1024
 
 
 def _seeded_noise(word: str, dim: int) -> F.Column:
@@ -63,16 +67,18 @@ def mean_pool(ids: DataFrame, table: DataFrame, dim: int,
     """``(ord, vec ARRAY<DOUBLE>, n_tokens)`` - mean of token vectors over non-pad positions.
 
     ``ids(ord, pos, id)`` may hold one NULL row per empty text, which pools to
-    the zero vector (denominator ``max(1, n)``). Per-text collection is bounded
-    by ``max_length``; the vector table is broadcast when its proven size fits.
+    the zero vector. The vector table (at most ``max_size`` rows of ``dim``
+    floats) is broadcast when that bound fits, so tokens are not shuffled by
+    id. Sums are aggregated before the shuffle: one d-vector per text and task.
     """
-    side = broadcast_if_bounded(table, settings.max_size, dim * 8 + 48)
-    j = ids.join(side, "id", "left")
-    per = j.groupBy("ord").agg(F.collect_list("vec").alias("vs"),
+    side = table.select("id", array_to_vector("vec").alias("features"))
+    j = ids.join(broadcast_if_bounded(side, settings.max_size, dim * 8 + 64, POOL_BROADCAST_BYTES), "id", "left")
+    summ = Summarizer.metrics("sum", "count")
+    zero = array_to_vector(V.zeros(dim, "double"))
+    per = j.groupBy("ord").agg(summ.summary(F.coalesce("features", zero)).alias("s"),
                                F.count("id").alias("n_tokens"))
-    total = F.aggregate("vs", V.zeros(dim, "double"), lambda acc, v: V.vec_add(acc, v))
     n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
-    return per.select("ord", F.transform(total, lambda x: x / n).alias("vec"),
+    return per.select("ord", F.transform(vector_to_array(F.col("s.sum")), lambda x: x / n).alias("vec"),
                       F.col("n_tokens").cast("int").alias("n_tokens"))
 
 
@@ -81,8 +87,16 @@ def sentence_vectors(docs: DataFrame, vocab: DataFrame, word_vectors: DataFrame,
                      vec_settings: VectorSettings = DEFAULTS.vectors,
                      fill: str = "zero", normalize: bool = True) -> DataFrame:
     """Texts -> ``(ord, vec ARRAY<DOUBLE>)`` unpadded; pad with :func:`at_edge`."""
+    table = vector_table(vocab, word_vectors, dim, fill, vocab_settings)
+    return sentence_vectors_from(docs, vocab, table, dim, vocab_settings, vec_settings, normalize)
+
+
+def sentence_vectors_from(docs: DataFrame, vocab: DataFrame, table: DataFrame, dim: int,
+                          vocab_settings: VocabSettings = DEFAULTS.vocab,
+                          vec_settings: VectorSettings = DEFAULTS.vectors, normalize: bool = True) -> DataFrame:
+    """E7 over a vector table that is already built (streams build it once)."""
     tid = token_ids(docs, vocab, vocab_settings).select("ord", "pos", "id")
-    pooled = mean_pool(tid, vector_table(vocab, word_vectors, dim, fill, vocab_settings), dim, vocab_settings)
+    pooled = mean_pool(tid, table, dim, vocab_settings)
     vec = V.l2_normalize("vec", vec_settings.norm_eps) if normalize else F.col("vec")
     return pooled.select("ord", vec.alias("vec"), "n_tokens")
 
@@ -110,9 +124,9 @@ class HashingEncoder:
     """
 
     def __init__(self, dim: int = 64, max_tokens: int = 64):
-        import regex
         self.dim, self.max_tokens = dim, max_tokens
-        self._re = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
+        # letters and digits in a run, any other mark alone (underscore is such a mark)
+        self._re = re.compile(r"[^\W_]+|[^\w\s]|_")
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
@@ -127,7 +141,21 @@ class HashingEncoder:
         return (out / norms).astype(np.float32)
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_BUILT: dict[str, object] = {}
+
+
+def per_worker(factory: Callable[[], object]) -> object:
+    """What ``factory`` builds, built once in this Python worker.
+
+    The key is the factory's importable name; one without such a name (a
+    lambda, a closure) is keyed by its pickled content.
+    """
+    name = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', '')}"
+    if "<" in name or name.startswith("__main__") or not getattr(factory, "__qualname__", ""):
+        name = hashlib.md5(cloudpickle.dumps(factory)).hexdigest()
+    if name not in _BUILT:
+        _BUILT[name] = factory()
+    return _BUILT[name]
 
 
 def encode_one(spark, text: str, factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
@@ -142,12 +170,8 @@ def encode_with(docs: DataFrame, factory: Callable[[], Encoder] = HashingEncoder
     Distinct texts are encoded once (P2) and joined back; the encoder is built
     once per Python worker and fed ``batch_rows`` texts per call.
     """
-    key = id(factory)
-
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _ENCODERS.get(key)
-        if enc is None:
-            enc = _ENCODERS[key] = factory()
+        enc = per_worker(factory)
         for pdf in it:
             for s in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[s:s + batch_rows]

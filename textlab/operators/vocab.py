@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, VocabSettings
 from textlab.functions.text import token_array
-from textlab.operators.common import broadcast_if_bounded, cut_lineage, with_ordinal
+from textlab.operators.common import broadcast_measured, cut_lineage, with_ordinal
 
-# bytes per vocabulary row in a broadcast (word + id + overhead), for the bound
-_VOCAB_ROW_BYTES = 96
-# First occurrence packed as ord * 2^24 + pos in one BIGINT, so the per-token
-# minimum stays on the fast hash-aggregate path (a struct minimum does not).
-# Exact for ord < 2^39 and pos < 2^24 tokens per text; beyond, ties fall back
-# to the token text.
-_POS_BITS = 24
+# A first occurrence (ord, pos) as one decimal: exact for any 64-bit ord and any
+# int pos, and (unlike a struct) a minimum that stays on the hash aggregate.
+_POSITIONS = 1 << 31
 
 
-def tokens(docs: DataFrame, cjk: bool = False, keep_empty: bool = False) -> DataFrame:
-    """V1: ``(ord, pos INT, token)`` in text order; pos from 0.
+def tokens(docs: DataFrame, cjk: bool = False, keep_empty: bool = False, first: int | None = None) -> DataFrame:
+    """V1: ``(ord, pos INT, token)`` in text order; pos from 0; with ``first``, that many of a text.
 
     ``keep_empty`` keeps one row with NULL pos/token for texts without tokens,
     so later per-text aggregates need no join back to ``docs``.
     """
     explode = F.posexplode_outer if keep_empty else F.posexplode
-    return docs.select("ord", explode(token_array("text", cjk)).alias("pos", "token"))
+    found = token_array("text", cjk)
+    if first is not None:
+        found = F.slice(found, 1, first)
+    return docs.select("ord", explode(found).alias("pos", "token"))
 
 
 def tokens_with(docs: DataFrame, segmenter_factory) -> DataFrame:
@@ -36,10 +35,10 @@ def tokens_with(docs: DataFrame, segmenter_factory) -> DataFrame:
     """
     import pandas as pd  # local: only needed on this path
 
-    cache: dict = {}
+    from textlab.operators.vectors import per_worker
 
     def run(it):
-        seg = cache.get("s") or cache.setdefault("s", segmenter_factory())
+        seg = per_worker(segmenter_factory)
         for pdf in it:
             o, p, t = [], [], []
             for ord_, text in zip(pdf["ord"].values, pdf["text"].values):
@@ -68,8 +67,8 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
     sort with partition offsets, so no single task sees all distinct tokens.
     The result is checkpointed (it is small and reused by every encoding join).
     """
-    cap_pos = (1 << _POS_BITS) - 1
-    first = F.shiftleft(F.col("ord").cast("bigint"), _POS_BITS) + F.least(F.col("pos"), F.lit(cap_pos))
+    first = (F.col("ord").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(11,0)")
+             + F.col("pos").cast("decimal(11,0)")).cast("decimal(38,0)")
     stats = toks.where(F.col("token").isNotNull()).groupBy("token").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min(first).alias("first"),
@@ -91,12 +90,12 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
 def id_to_word(vocab: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """V4: decode ids to words (inverse vocabulary) by an equi-join on ``id``."""
     inv = vocab.select(F.col("id").alias(id_col), "word")
-    return ids.join(broadcast_if_bounded(inv, DEFAULTS.vocab.max_size, _VOCAB_ROW_BYTES), id_col, "left")
+    return ids.join(broadcast_measured(inv), id_col, "left")
 
 
-def _vocab_side(vocab: DataFrame, settings: VocabSettings) -> DataFrame:
+def _vocab_side(vocab: DataFrame) -> DataFrame:
     side = vocab.where(F.col("id") >= 2).select(F.col("word").alias("token"), F.col("id").cast("int").alias("id"))
-    return broadcast_if_bounded(side, settings.max_size, _VOCAB_ROW_BYTES)
+    return broadcast_measured(side)
 
 
 def token_ids(docs: DataFrame, vocab: DataFrame, settings: VocabSettings = DEFAULTS.vocab,
@@ -104,11 +103,10 @@ def token_ids(docs: DataFrame, vocab: DataFrame, settings: VocabSettings = DEFAU
     """Token rows truncated to ``max_length`` with their id (unknown -> ``unk_id``).
 
     ``(ord, pos, token, id)``; texts with no tokens give one row with NULLs.
-    The truncation filter sits before the (broadcast) vocabulary join.
+    Only the kept tokens are exploded, before the vocabulary join.
     """
-    toks = tokens(docs, cjk=cjk, keep_empty=True)
-    toks = toks.where(F.col("pos").isNull() | (F.col("pos") < settings.max_length))
-    joined = toks.join(_vocab_side(vocab, settings), "token", "left")
+    toks = tokens(docs, cjk=cjk, keep_empty=True, first=settings.max_length)
+    joined = toks.join(_vocab_side(vocab), "token", "left")
     return joined.withColumn(
         "id", F.when(F.col("pos").isNotNull(), F.coalesce(F.col("id"), F.lit(settings.unk_id))))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
@@ -144,8 +144,46 @@ def q_label_batches(spark, sf_dir):
 
 @register("label_prompts")
 def q_label_prompts(spark, sf_dir):
-    """L2."""
-    return _tagged(spark, sf_dir)["prompts"].select("batch_id", "n_texts", "prompt")
+    """L2: prompts alone, no labeller."""
+    b = tagging.assign_batches(documents(spark, sf_dir), dense=False)
+    return tagging.build_prompts(b).select("batch_id", "n_texts", "prompt")
+
+
+def _failing_every_third(batch_id, items, chat):
+    if batch_id % 3 == 0:
+        raise TimeoutError("no answer")
+    return tagging.rule_labeller(batch_id, items, chat)
+
+
+@register("label_failures")
+def q_label_failures(spark, sf_dir):
+    """Calls of every third batch fail; no label is made up for their texts."""
+    t = tagging.tag(documents(spark, sf_dir), _failing_every_third, dense=False)["aligned"]
+    return _doc(t.select("ord", "batch_id", "label", "error"))
+
+
+@register("label_retry")
+def q_label_retry(spark, sf_dir):
+    """A second run on the same store asks again for what failed, and for nothing else."""
+    prompts = tagging.build_prompts(tagging.assign_batches(documents(spark, sf_dir), dense=False))
+    path = scratch_path(spark, "retry")
+    call = lambda f: lambda p: tagging.call_labeller(p, f, retries=0)
+    tagging.store_replies(call(_failing_every_third), prompts, path)
+    tagging.store_replies(call(lambda b, i, c: "again"), prompts, path)
+    runs = spark.read.parquet(path).groupBy("prompt_key").agg(
+        F.max("run").alias("runs"), F.count(F.when(F.col("error").isNotNull(), 1)).alias("n_failed"))
+    keyed = prompts.select("batch_id", tagging.prompt_key().alias("prompt_key"))
+    return keyed.join(runs, "prompt_key").select("batch_id", "runs", "n_failed")
+
+
+@register("label_array")
+def q_label_array(spark, sf_dir):
+    """The languages of the documents as one JSON array, read back in order."""
+    path = scratch_path(spark, "label-array")
+    langs = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.to_json(F.array_sort(F.collect_list(F.concat_ws(" ", "lang", "n")))).alias("value"))
+    langs.coalesce(1).write.text(path)
+    return files.read_label_array(spark, path)
 
 
 @register("label_replies")
@@ -353,6 +391,15 @@ def q_hdbscan(spark, sf_dir):
     return density.hdbscan(red)
 
 
+@register("hdbscan_planted")
+def q_hdbscan_planted(spark, sf_dir):
+    """C6/C7 on planted points: the rows of a label form a lattice six wide, far from the others."""
+    own = Window.partitionBy("cluster").orderBy("id")
+    pts = embeddings(spark, sf_dir).withColumn("i", F.row_number().over(own) - 1)
+    xy = F.array(F.col("cluster") * 100000.0 + F.col("i") % 6, F.floor(F.col("i") / 6).cast("double"))
+    return density.hdbscan(pts.select("id", xy.alias("vec")))
+
+
 @register("cluster_attach")
 def q_cluster_attach(spark, sf_dir):
     """Every document with the cluster of its vector (NULL without one)."""
@@ -377,7 +424,7 @@ def q_projection_2d(spark, sf_dir):
 # ---------------------------------------------------------------- sources
 @register("csv_roundtrip")
 def q_csv_roundtrip(spark, sf_dir):
-    """Documents written as CSV (quoted newlines) and read back in file order."""
+    """S3: documents written as CSV (quoted newlines) and read back in file order."""
     path = scratch_path(spark, "docs-csv") + ".csv"
     src = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     src.orderBy("doc_id").write.option("header", True).option("escape", '"').csv(path)
@@ -385,6 +432,16 @@ def q_csv_roundtrip(spark, sf_dir):
     return back.select(F.col("ord").alias("doc_id"), "text", "lang")
 
 
+@register("csv_texts")
+def q_csv_texts(spark, sf_dir):
+    """The text column alone of a CSV, numbered in file order."""
+    path = scratch_path(spark, "texts-csv") + ".csv"
+    src = table(spark, sf_dir, "documents").select("lang", "text", "doc_id")
+    src.orderBy("doc_id").write.option("header", True).option("escape", '"').csv(path)
+    back = files.read_texts(spark, path, "text")
+    return back.select(F.col("ord").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
 @register("word_vector_file")
 def q_word_vector_file(spark, sf_dir):
     """Derived word vectors written as a word-vector text file and read back
@@ -473,8 +530,8 @@ def q_online_vectors(spark, sf_dir):
 
 @register("label_single")
 def q_label_single(spark, sf_dir):
-    """L2-L4/L7 single-text form over the user turns of ``conversations``."""
-    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    """L2-L4/L7 single-text form over every turn of ``conversations``."""
+    conv = table(spark, sf_dir, "conversations")
     keyed = conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ord"), "conv_id", "turn", "text")
     out = tagging.label_each(keyed.select("ord", "text"))
     return keyed.select("ord", "conv_id", "turn").join(out, "ord").drop("ord")
@@ -521,5 +578,15 @@ def q_tag_job_clusters(spark, sf_dir):
     return job.clusters.withColumnRenamed("ord", "doc_id")
 
 
+@register("tag_job_coverage")
+def q_tag_job_coverage(spark, sf_dir):
+    """C9/Q-1: each algorithm has a row for every text, NULL where it has no label, and scores all labels."""
+    from textlab.plans import pipeline
+    job = pipeline.run_tag_job(documents(spark, sf_dir), algo="both")
+    rows = job.clusters.groupBy("algo").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("cluster").alias("n_clustered"))
+    return rows.join(job.metrics.select("algo", "n_samples"), "algo")
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

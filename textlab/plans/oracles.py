@@ -307,6 +307,21 @@ FROM p"""
 
 # ---------------------------------------------------------------- sources
 ORACLES["csv_roundtrip"] = """SELECT doc_id, text, lang FROM documents"""
+ORACLES["csv_texts"] = """SELECT doc_id, md5(text) AS text_md5 FROM documents"""
+ORACLES["label_array"] = """WITH n AS (SELECT lang || ' ' || count(*) AS label FROM documents GROUP BY lang)
+SELECT row_number() OVER (ORDER BY label) - 1 AS ord, label FROM n"""
+ORACLES["label_failures"] = f"""WITH {TAG_CTE}
+SELECT ord AS doc_id, batch_id, CASE WHEN batch_id % 3 <> 0 THEN label END AS label,
+       CASE WHEN batch_id % 3 = 0 THEN 'TimeoutError: no answer' END AS error FROM al"""
+ORACLES["label_retry"] = f"""WITH {TAG_CTE}
+SELECT batch_id, CASE WHEN batch_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS runs,
+       CASE WHEN batch_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_failed FROM r"""
+ORACLES["hdbscan_planted"] = """WITH m AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings)
+SELECT vec_id AS id, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS cluster FROM m"""
+ORACLES["tag_job_coverage"] = """WITH u AS (SELECT min(doc_id) AS rep, count(*) AS n FROM documents GROUP BY coalesce(text, '')),
+num AS (SELECT n, (row_number() OVER (ORDER BY rep) - 1) % 30 + 1 AS idx FROM u),
+t AS (SELECT sum(n)::BIGINT AS n_rows, (sum(n) FILTER (WHERE idx % 11 <> 0 AND idx % 13 <> 0))::BIGINT AS n_labelled FROM num)
+SELECT algo, n_rows, n_labelled AS n_clustered, n_labelled AS n_samples FROM t, (VALUES ('kmeans'), ('hdbscan')) a(algo)"""
 ORACLES["word_vector_file"] = f"""WITH {VEC_CTE}
 SELECT word, j::INTEGER AS j, round(x, 6) AS value FROM wv"""
 
@@ -335,7 +350,7 @@ ORACLES["online_vectors"] = ORACLES["sentence_vectors"]
 
 ORACLES["label_single"] = """SELECT conv_id, turn,
   'tone ' || (length(coalesce(text, '')) % 7) AS label, NULL::VARCHAR AS error
-FROM conversations WHERE role = 'user'"""
+FROM conversations"""
 ORACLES["label_store_roundtrip"] = f"WITH {TAG_CTE} SELECT ord AS doc_id, batch_id, idx, label FROM al"
 ORACLES["vector_table_roundtrip"] = f"""WITH {VEC_CTE}
 SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round((m / nr)::FLOAT::DOUBLE, 6) AS value

@@ -2,10 +2,10 @@
 the text-analysis and texts-to-vectors jobs.
 
 Work that depends only on a text runs once per distinct text (P2) and is
-joined back by key; clustering runs on distinct labels (weighted by their
-frequency). Paid or slow stages (labeller, encoder) are materialised by
-writing Parquet under the shared checkpoint folder, so a retry never repeats
-them; everything else is lazy DataFrame code.
+joined back by key; clustering and its scores run on distinct labels, each
+counted as often as it occurs. Results of slow stages (labeller, encoder) are
+written once under the shared checkpoint folder; replies also go to a folder
+that the caller names, which later runs reuse.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, Settings
 from textlab.operators import annotate, cluster, corpus, density, quality, tagging, vectors, vocab
-from textlab.operators.common import cut_lineage, with_ordinal
+from textlab.operators.common import cut_lineage, lookup, with_ordinal
 from textlab.session import scratch_path
 
 
@@ -26,13 +26,18 @@ class TagJob:
     status: str                 # "clustered" | "skipped"
     n_samples: int
     labels: DataFrame           # (ord, label, error)
-    clusters: DataFrame | None  # (algo, ord, cluster)
+    clusters: DataFrame | None  # (algo, ord, cluster): every text, NULL without a label
     metrics: DataFrame | None   # (algo, space, n_samples, ..., davies_bouldin)
+    quarantine: DataFrame       # (batch_id, idx, line, reason): reply lines that name no text
 
 
 def label_texts(docs: DataFrame, labeller=tagging.rule_labeller, settings: Settings = DEFAULTS,
-                store: str | None = None) -> DataFrame:
-    """L1-L7 on distinct texts, joined back to every row: ``(ord, label, error)``."""
+                store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """L1-L7 on distinct texts, joined back to every row: ``(ord, label, error)``, and the quarantine.
+
+    With ``store`` (a folder that outlives the run) replies are kept by the
+    content of their prompt, so a rerun or another run repeats no successful call.
+    """
     uniq = corpus.distinct_texts(docs).select(F.col("rep_ord").alias("ord"), "text", "text_key")
     batched = tagging.assign_batches(uniq.select("ord", "text"), settings.tags, dense=False)
     prompts = tagging.build_prompts(batched)
@@ -40,70 +45,98 @@ def label_texts(docs: DataFrame, labeller=tagging.rule_labeller, settings: Setti
         replies = tagging.store_replies(lambda p: tagging.call_labeller(p, labeller), prompts, store)
     else:
         replies = cut_lineage(tagging.call_labeller(prompts, labeller))   # one call per batch
-    labels, _ = tagging.parse_replies(replies, settings.tags)
+    labels, bad = tagging.parse_replies(replies, settings.tags)
+    quarantine = bad.select("batch_id", F.lit(None).cast("int").alias("idx"), "line", "reason").unionByName(
+        tagging.out_of_range(batched, labels).select("batch_id", "idx", F.col("label").alias("line"), "reason"))
     aligned = tagging.align(batched, labels, replies)
     per_text = aligned.join(uniq.select("ord", "text_key"), "ord").select("text_key", "label", "error")
-    return corpus.join_back(docs.select("ord", "text"), per_text, ["label", "error"]) \
-                 .select("ord", "label", "error")
+    labelled = corpus.join_back(docs.select("ord", "text"), per_text, ["label", "error"]) \
+                     .select("ord", "label", "error")
+    return labelled, quarantine
 
 
-def run_tag_job(docs: DataFrame, algo: str | None = None, k: int | None = None,
-                labeller=tagging.rule_labeller, encoder=vectors.HashingEncoder,
-                settings: Settings = DEFAULTS, materialise: bool = True) -> TagJob:
-    """The tag job: label, gate (C1), encode distinct labels (E1), cluster (C3/C7),
-    score (Q-*), attach clusters to every text (C9)."""
-    spark = docs.sparkSession
+@dataclass
+class Clustering:
+    assignments: dict[str, DataFrame]   # algo -> (id, cluster)
+    metrics: DataFrame | None
+
+
+def fit_predict(points: DataFrame, algo: str | None = None, k: int | None = None,
+                settings: Settings = DEFAULTS) -> Clustering:
+    """Cluster given vectors ``points(id, vec[, n])`` (C3, C5-C7) and score the result (Q-*).
+
+    ``n`` says how many rows a point stands for (default 1); both algorithms
+    and all scores count it, so the result is that of the repeated rows.
+    """
     algos = cluster.resolve_algo(algo, settings.cluster)
-    labels = label_texts(docs, labeller, settings,
-                         store=scratch_path(spark, "replies") if materialise else None)
-    if materialise:
-        path = scratch_path(spark, "labels")
-        labels.write.parquet(path)
-        labels = spark.read.parquet(path)
-    n_samples = docs.count()
-    labelled = labels.where(F.col("label").isNotNull())
-    n_labels = labelled.count()
-    if cluster.gate(n_labels, settings.tags) == "skipped":
-        return TagJob("skipped", n_samples, labels, None, None)
+    if "n" not in points.columns:
+        points = points.withColumn("n", F.lit(1).cast("bigint"))
+    n_points, n_rows = points.agg(F.count(F.lit(1)), F.sum("n")).first()
+    assigned, metrics = {}, None
+
+    def scored(df, name, space):
+        nonlocal metrics
+        m = quality.evaluate(df).withColumn("algo", F.lit(name)).withColumn("space", F.lit(space))
+        metrics = m if metrics is None else metrics.unionByName(m)
 
-    freq = tagging.label_freq(labelled)
-    # distinct labels get a dense id (distributed ordinal over the label text)
-    keyed = with_ordinal(freq, ["label"], name="rn").select(
-        (F.col("rn") - 1).alias("ord"), F.col("label").alias("text"), "n")
-    enc = vectors.encode_with(keyed.select("ord", "text"), encoder)
-    points = keyed.join(enc, "ord").select(F.col("ord").alias("id"), "vec", "n", F.col("text").alias("label"))
-    if materialise:
-        path = scratch_path(spark, "label-vectors")
-        points.write.parquet(path)
-        points = spark.read.parquet(path)
-    n_points = points.count()
-
-    assigned, metrics = [], []
     if "kmeans" in algos:
         res = cluster.kmeans(points.select("id", "vec", "n"), k, settings.cluster, weight_col="n",
                              n_rows=n_points)
         if res is not None:
-            assigned.append(res.assignments.withColumn("algo", F.lit("kmeans")))
-            m = quality.evaluate(points.select("id", "vec").join(res.assignments, "id"))
-            metrics.append(m.withColumn("algo", F.lit("kmeans")).withColumn("space", F.lit("original")))
+            assigned["kmeans"] = cut_lineage(res.assignments)
+            scored(points.select("id", "vec", "n").join(assigned["kmeans"], "id"), "kmeans", "original")
     if "hdbscan" in algos:
-        red, used = cluster.reduce_dims(points.select("id", "vec"), None, settings.cluster, n_points)
-        lab = density.hdbscan(red, settings.cluster)
-        assigned.append(lab.withColumn("algo", F.lit("hdbscan")))
-        m = quality.evaluate(red.join(lab, "id"))
-        metrics.append(m.withColumn("algo", F.lit("hdbscan")).withColumn("space", F.lit(f"reduced_{used}")))
-
-    by_label = None
-    for a in assigned:
-        part = a.join(points.select("id", "label"), "id").select("algo", "label", "cluster")
-        by_label = part if by_label is None else by_label.unionByName(part)
+        red, used = cluster.reduce_dims(points.select("id", "vec", "n"), None, settings.cluster, n_points)
+        red = cut_lineage(red)
+        assigned["hdbscan"] = cut_lineage(density.hdbscan(red, settings.cluster, weight_col="n"))
+        scored(red.join(assigned["hdbscan"], "id"), "hdbscan", f"reduced_{used}")
+    return Clustering(assigned, metrics)
+
+
+def cluster_labels(labels: DataFrame, algo: str | None = None, k: int | None = None,
+                   encoder=vectors.HashingEncoder, settings: Settings = DEFAULTS) -> tuple[str, DataFrame | None, DataFrame | None]:
+    """Stored labels ``(ord, label)`` -> gate (C1), encode (E1), cluster, attach (C9), score (Q-*).
+
+    Returns status, ``(algo, ord, cluster)`` for every row of ``labels`` (NULL
+    where the label is NULL) and the metrics.
+    """
+    freq = cut_lineage(tagging.label_freq(labels.where(F.col("label").isNotNull())))
+    n_labels, n_points = freq.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if cluster.gate(n_labels, settings.tags) == "skipped":
+        return "skipped", None, None
+    # distinct labels get a dense id (distributed ordinal over the label text)
+    keyed = with_ordinal(freq, ["label"], name="rn").select(
+        (F.col("rn") - 1).alias("ord"), F.col("label").alias("text"), "n")
+    enc = vectors.encode_with(keyed.select("ord", "text"), encoder)
+    points = cut_lineage(keyed.join(enc, "ord").select(F.col("ord").alias("id"), "vec", "n", F.col("text").alias("label")))
+    found = fit_predict(points.select("id", "vec", "n"), algo, k, settings)
     clusters = None
-    if by_label is not None:
-        clusters = labels.select("ord", "label").join(by_label, "label").select("algo", "ord", "cluster")
-    all_metrics = None
-    for m in metrics:
-        all_metrics = m if all_metrics is None else all_metrics.unionByName(m)
-    return TagJob("clustered", n_samples, labels, clusters, all_metrics)
+    for name, assignment in found.assignments.items():
+        per = cut_lineage(assignment.join(points.select("id", "label", "n"), "id").select("label", "n", "cluster"))
+        # a label may belong to most rows: hot labels are broadcast, not shuffled to one task
+        part = lookup(labels.select("ord", "label"), per, "label", "n",
+                      F.concat(F.lit("#"), F.col("ord").cast("string")), n_labels) \
+            .select(F.lit(name).alias("algo"), "ord", "cluster")
+        clusters = part if clusters is None else clusters.unionByName(part)
+    return "clustered", clusters, found.metrics
+
+
+def run_tag_job(docs: DataFrame, algo: str | None = None, k: int | None = None,
+                labeller=tagging.rule_labeller, encoder=vectors.HashingEncoder,
+                settings: Settings = DEFAULTS, store: str | None = None) -> TagJob:
+    """The tag job: label, then :func:`cluster_labels`; labels are written once.
+
+    ``store`` names a folder for replies that later runs reuse.
+    """
+    spark = docs.sparkSession
+    cluster.resolve_algo(algo, settings.cluster)
+    labels, quarantine = label_texts(docs, labeller, settings, store=store)
+    path = scratch_path(spark, "labels")
+    labels.write.parquet(path)
+    labels = spark.read.schema(labels.schema).parquet(path)
+    n_samples = labels.count()
+    status, clusters, metrics = cluster_labels(labels, algo, k, encoder, settings)
+    return TagJob(status, n_samples, labels, clusters, metrics, quarantine)
 
 
 def analyze_texts(docs: DataFrame, parse: DataFrame) -> DataFrame:

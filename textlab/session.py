@@ -80,8 +80,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - key absent
             named = None
     if not named:
-        # Only reached when nothing is configured (tests, single machine).
-        named = tempfile.mkdtemp(prefix="textlab-ckpt-")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="textlab-ckpt-")  # one machine: tests, local runs
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 

@@ -4,21 +4,33 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.functions.text import PY_WHITESPACE
-from textlab.operators.common import broadcast_if_bounded, with_ordinal
+from textlab.operators.common import broadcast_measured, cut_lineage
+from textlab.operators.tagging import read_store
 
 _WS_CLASS = "[" + "".join(f"\\u{ord(c):04x}" for c in PY_WHITESPACE) + "]"
 
 
 def _order_key(df: DataFrame) -> DataFrame:
-    """File order: (file name, position inside the file) -> dense 0-based ``ord``."""
-    keyed = df.select("*", F.input_file_name().alias("_file"),
-                      F.monotonically_increasing_id().alias("_pos"))
-    ranked = with_ordinal(keyed, ["_file", "_pos"], name="_rn")
-    return ranked.withColumn("ord", F.col("_rn") - 1).drop("_rn", "_file", "_pos")
+    """File order (file name, position in the file) as a dense 0-based ``ord``.
+
+    Rows stay where they are read: a first scan counts the rows of each file
+    split, the splits' starts (one row per split) are broadcast, and a row's
+    ``ord`` is its split's start plus its place there. No text is shuffled.
+    """
+    placed = df.select("*", F.input_file_name().alias("_file"),
+                       F.expr("input_file_block_start()").alias("_block"),
+                       F.monotonically_increasing_id().alias("_pos"))
+    splits = placed.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut_lineage(splits.select("_file", "_block", "_first",
+                                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return placed.join(broadcast_measured(starts), ["_file", "_block"]) \
+        .withColumn("ord", F.col("_start") + F.col("_pos") - F.col("_first")) \
+        .drop("_file", "_block", "_pos", "_first", "_start")
 
 
 def read_table(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -57,25 +69,25 @@ def read_texts(spark: SparkSession, path: str, column: str = "text", keep_all: b
     return _order_key(out)
 
 
-def read_word_vectors(spark: SparkSession, path: str, vocab: DataFrame, dim: int = 300,
-                      max_vocab: int = 50000) -> DataFrame:
+def read_word_vectors(spark: SparkSession, path: str, vocab: DataFrame, dim: int = 300) -> DataFrame:
     """``(word, vec ARRAY<FLOAT>)`` for vocabulary words from a word-vector text file.
 
     Lines are stripped; blank lines and a two-integer header are skipped; rows
     whose width is not ``dim`` are dropped; only vocabulary words are kept
-    (left semi join, the vocabulary broadcast on its size cap); when a word
-    repeats, the last line wins.
+    (left semi join, the vocabulary broadcast if its measured size allows);
+    when a word repeats, the last line wins. Bytes that aren't UTF-8 are dropped.
     """
+    value = F.translate(F.make_valid_utf8("value"), "\ufffd", "")
     lines = spark.read.text(path).select(
         F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).alias("line_no"),
-        F.trim(F.col("value"), F.lit(PY_WHITESPACE)).alias("line"))
+        F.trim(value, F.lit(PY_WHITESPACE)).alias("line"))
     parts = lines.where(F.col("line") != "").select("line_no", F.split("line", _WS_CLASS + "+").alias("p"))
     is_header = (F.size("p") == 2) & F.element_at("p", 1).rlike("^[+-]?[0-9]+$") & \
         F.element_at("p", 2).rlike("^[+-]?[0-9]+$")
     rows = parts.where(~is_header).select(
         "line_no", F.element_at("p", 1).alias("word"), F.slice("p", 2, 1 << 30).alias("v"))
     rows = rows.where(F.size("v") == dim)
-    words = broadcast_if_bounded(vocab.select("word"), max_vocab, 96)
+    words = broadcast_measured(vocab.select("word"))
     rows = rows.join(words, "word", "left_semi")
     vec = F.transform("v", lambda x: x.try_cast("float"))
     rows = rows.select("word", "line_no", vec.alias("vec")).where(
@@ -92,14 +104,11 @@ def write_vectors(vecs: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_labels(aligned: DataFrame, path: str, run_id: str) -> None:
     """Labels as JSON lines keyed by ``(run_id, batch_id, idx)``; batches already
     present under ``path`` for this run are skipped (left anti join)."""
-    spark = aligned.sparkSession
     new = aligned.withColumn("run_id", F.lit(run_id))
-    try:
-        done = spark.read.json(path).where(F.col("run_id") == run_id).select("batch_id").distinct()
-        new = new.join(done, "batch_id", "left_anti")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        pass
-    new.write.mode("append").json(path)
+    schema = new.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    done = read_store(aligned.sparkSession, path, schema, "json") \
+        .where(F.col("run_id") == run_id).select("batch_id").distinct()
+    new.join(done, "batch_id", "left_anti").write.mode("append").json(path)
 
 
 def read_label_array(spark: SparkSession, path: str) -> DataFrame:

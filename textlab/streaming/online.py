@@ -13,24 +13,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.operators import vectors
+from textlab.operators import classify, cluster, vectors
+from textlab.operators.common import cut_lineage
 from textlab.session import scratch_path
 
 
-def score_batch(batch: DataFrame, vocab: DataFrame, word_vectors: DataFrame, dim: int) -> DataFrame:
-    """The per-micro-batch transform: ``(ord, vec, n_tokens)``."""
-    return vectors.sentence_vectors(batch, vocab, word_vectors, dim)
+def score_batch(batch: DataFrame, vocab: DataFrame, table: DataFrame, dim: int,
+                polarity=None, centres: DataFrame | None = None) -> DataFrame:
+    """The per-micro-batch transform: ``(ord, vec, n_tokens[, prediction, p_positive, polarity][, center])``."""
+    out = vectors.sentence_vectors_from(batch, vocab, table, dim)
+    if polarity is not None:
+        out = out.join(classify.score(polarity, classify.hashed_features(batch)), "ord")
+    if centres is not None:
+        near = cluster.nearest_centre(out.select(F.col("ord").alias("id"), "vec"), centres)
+        out = out.join(near.withColumnRenamed("id", "ord"), "ord")
+    return out
 
 
 def run_online(spark: SparkSession, source: str, schema: str, key: str, text: str,
                vocab: DataFrame, word_vectors: DataFrame, dim: int,
                out_path: str | None = None, checkpoint: str | None = None,
-               glob: str | None = None) -> str:
+               glob: str | None = None, max_files: int | None = None, polarity=None,
+               centres: DataFrame | None = None) -> str:
     """Process everything available in the folder ``source`` (trigger ``availableNow``),
-    optionally only files matching ``glob``; returns the sink path."""
+    optionally only files matching ``glob`` and ``max_files`` a micro-batch; returns the sink path.
+
+    The vector table is built once, before the first micro-batch. With a fitted
+    ``polarity`` rows also get ``polarity, p_positive``, with ``centres`` the ``center``.
+    """
+    table = cut_lineage(vectors.vector_table(vocab, word_vectors, dim))
     out_path = out_path or scratch_path(spark, "online-out")
     checkpoint = checkpoint or scratch_path(spark, "online-ckpt")
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source) \
@@ -38,7 +54,7 @@ def run_online(spark: SparkSession, source: str, schema: str, key: str, text: st
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # one folder per micro-batch, overwritten on retry: exactly-once output
-        score_batch(batch, vocab, word_vectors, dim) \
+        score_batch(batch, vocab, table, dim, polarity, centres) \
             .write.mode("overwrite").parquet(f"{out_path}/data/batch_id={batch_id}")
 
     q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \
