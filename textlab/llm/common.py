@@ -21,13 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from textlab.operators.common import cut_lineage
+from textlab.operators.common import cut_lineage, lookup
 from textlab.session import scratch_path
 
 #: White space that separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A key that holds over 1/HOT_PARTS of all rows (and over HOT_ROWS) is hot.
-HOT_PARTS, HOT_ROWS = 1000, 10_000
 #: Most bytes that a checked broadcast may have.
 BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch that are worked on at a time.
@@ -92,32 +90,6 @@ def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column,
-           total: int) -> DataFrame:
-    """left with the columns of right that belong to its key; null where none does.
-
-    ``right`` has one row a key and says in ``weight`` how many rows of ``left``
-    have the key, ``total`` how many there are. A key with more than
-    total/HOT_PARTS of them is hot; there are fewer than HOT_PARTS of those, so
-    they are broadcast, and their rows are dealt out by ``spread`` (of the key's
-    type) instead of the key. No task gets all rows of a hot key.
-    """
-    most = max(HOT_ROWS, total // HOT_PARTS)
-    values = [c for c in right.columns if c not in (key, weight)]
-    hot = right.where(F.col(weight) > most).select(
-        F.col(key), *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hot"))
-    cold = right.where(F.col(weight) <= most).select(
-        F.col(key).alias("__key"), *[F.col(c).alias(f"__cold_{c}") for c in values],
-        F.lit(False).alias("__is_hot"))
-    marked = left.join(F.broadcast(hot), key, "left") \
-        .withColumn("__is_hot", F.col("__hot").isNotNull()) \
-        .withColumn("__key", F.when(F.col("__is_hot"), spread).otherwise(F.col(key)))
-    found = marked.join(cold, ["__key", "__is_hot"], "left")
-    return found.select(*[F.col(f"`{c}`") for c in left.columns],
-                        *[F.when(F.col("__is_hot"), F.col(f"__hot_{c}"))
-                          .otherwise(F.col(f"__cold_{c}")).alias(c) for c in values])
-
-
 def in_order(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """df, written once, with its dense number from 0 in ``order`` as ``name``.
 
@@ -168,3 +140,16 @@ def components(links: DataFrame) -> DataFrame:
             break
         links = after
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def sample_of_each(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Of each value of group the rows (about) of the smallest hash of key, at most ``most``.
+
+    A hash threshold of twice the share needed comes first, so a value that
+    holds most rows sends no more than about 2*most of them to its task.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.pmod(F.xxhash64(key), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = rows.join(F.broadcast(sizes), group).where(share <= F.lit(2.0 * most) / F.col("__n")).drop("__n")
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 30)), key))
+    return few.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank")

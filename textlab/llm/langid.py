@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import add_columns, utf8_slices
+from textlab.llm.common import add_columns, sample_of_each, utf8_slices
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 PER_LANG, LANGS, PER_TEXT = 800, 8, 3
@@ -146,12 +146,10 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """A network fitted on the sample of the rows that aren't held out; None if there are none."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).rlike(r"\p{L}")
                       & ~held_out(F.col(doc_id)))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id))
     known = rows.agg(F.count_distinct(lang)).first()[0]
     each = max(1, min(PER_LANG, SAMPLE // max(1, known)))
-    # which rows first, by id alone; the window's group limit drops the others before the shuffle
-    chosen = rows.select(lang, doc_id).withColumn("rank", rank).where(F.col("rank") <= each).drop("rank")
-    chosen = chosen.distinct().limit(max(SAMPLE, known))
+    # which rows first, by id alone
+    chosen = sample_of_each(rows.select(lang, doc_id), lang, doc_id, each).distinct().limit(max(SAMPLE, known))
     sample = rows.join(F.broadcast(chosen), [lang, doc_id], "left_semi").select(lang, doc_id, text)
 
     def make():

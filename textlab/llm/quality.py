@@ -26,11 +26,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import add_columns
+from textlab.llm.common import add_columns, sample_of_each
 
 PER_LABEL, RANK, NEIGHBOURS = 2000, 48, 7
 #: A neighbour's vote weighs its cosine to this power.
@@ -119,8 +119,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model of the labelled rows that aren't held out."""
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))) \
         .groupBy(doc_id).agg(F.min(label).alias("__label"))
-    rank = F.row_number().over(Window.partitionBy("__label").orderBy(F.xxhash64(doc_id), doc_id))
-    chosen = known.withColumn("__rank", rank).where(F.col("__rank") <= PER_LABEL).drop("__rank").limit(2 * PER_LABEL)
+    chosen = sample_of_each(known, "__label", doc_id, PER_LABEL).limit(2 * PER_LABEL)
 
     def make():
         def work(column):
