@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.operators.vectors import per_worker
@@ -55,14 +55,24 @@ def entities(docs: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
                      F.col("e.text").alias("text"), F.col("e.type").alias("type"))
 
 
-def gazetteer_entities(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """N1 (lookup): single-word gazetteer ``(phrase, type)`` matched against parse tokens.
+def gazetteer_entities(tokens: DataFrame, gazetteer: DataFrame, max_words: int = 5) -> DataFrame:
+    """N1 (lookup): gazetteer ``(phrase, type)`` matched against runs of parse tokens of a sentence.
 
-    ``(ord, sent_id, word_id, text, type)``; the gazetteer is joined by key
-    (AQE broadcasts it when small).
+    Phrases have up to ``max_words`` words, joined by single spaces; every
+    occurrence counts, overlapping ones too. ``(ord, sent_id, word_id, text,
+    type)`` with the first word's id. A window over a sentence makes the runs;
+    the gazetteer is joined by key (AQE broadcasts it when small).
     """
+    sentence = Window.partitionBy("ord", "sent_id").orderBy("word_id")
+    after = [F.lead("text", i).over(sentence) for i in range(1, max_words)]
+    rows = tokens.select("ord", "sent_id", "word_id", "text", *[a.alias(f"_w{i}") for i, a in enumerate(after, 1)])
+    run, phrases = F.col("text"), [F.col("text")]
+    for i in range(1, max_words):
+        run = F.concat(run, F.lit(" "), F.col(f"_w{i}"))   # NULL beyond the sentence
+        phrases.append(run)
+    runs = rows.select("ord", "sent_id", "word_id", F.explode(F.array_compact(F.array(*phrases))).alias("text"))
     g = gazetteer.select(F.col("phrase").alias("text"), "type")
-    return tokens.join(g, "text").select("ord", "sent_id", "word_id", "text", "type")
+    return runs.join(g, "text").select("ord", "sent_id", "word_id", "text", "type")
 
 
 def subjects(tokens: DataFrame) -> DataFrame:
@@ -104,38 +114,53 @@ def main_event(tokens: DataFrame) -> DataFrame:
 
 
 def per_text(tokens: DataFrame) -> DataFrame:
-    """N2 + N4 (+N5) per text: ``(ord, subjects, keywords, main_event)``.
+    """N2-N5 per text: ``(ord, subjects, keywords, main_event, adj_pairs)``.
 
-    ``collect_set`` de-duplicates map-side (partial aggregation), so a huge
-    text with many repeats never reaches one task as raw occurrences; the
-    lists hold only the distinct words the record returns. The main event is
-    an algebraic ``min_by`` over the packed rank. Both aggregates are hash
-    partitioned on ``ord`` and joined without another exchange.
+    The parse is exchanged once, by ``ord``; both aggregates use that. First
+    each sentence gives its words and pairs an adjective with its head (so a
+    head is looked up among one sentence's words only), then each text joins
+    its sentences' lists, which its own words bound.
     """
     subj = F.col("deprel").startswith(SUBJECT_PREFIX)
     kw = F.col("upos").isin(*KEYWORD_TAGS) & (F.length("text") > 1)
-    lists = tokens.where(subj | kw).groupBy("ord").agg(
-        F.array_sort(F.collect_set(F.when(subj, F.col("text")))).alias("subjects"),
-        F.array_sort(F.collect_set(F.when(kw, F.col("text")))).alias("keywords"))
-    return lists.join(main_event(tokens), "ord", "full_outer")
-
-
-def analyze(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    adj = (F.col("upos") == "ADJ") & (F.col("head") != 0)
+    root = F.when(F.col("head") == 0, F.struct(_event_rank().alias("rank"), "text"))
+    sentences = tokens.repartition("ord").groupBy("ord", "sent_id").agg(
+        F.collect_set(F.when(subj, F.col("text"))).alias("subjects"),
+        F.collect_set(F.when(kw, F.col("text"))).alias("keywords"),
+        F.min(root).alias("root"),
+        F.array_sort(F.collect_list(F.when(adj, F.struct("word_id", F.col("text").alias("adjective"), "head")))).alias("adjs"),
+        F.map_from_entries(F.collect_list(F.when(F.col("upos").isin(*HEAD_TAGS), F.struct("word_id", "text")))).alias("heads"))
+    pairs = F.transform("adjs", lambda x: F.struct(x["adjective"].alias("adjective"),
+                                                   F.try_element_at(F.col("heads"), x["head"]).alias("subject")))
+    sentences = sentences.select("ord", "sent_id", "subjects", "keywords", "root",
+                                 F.filter(pairs, lambda p: p["subject"].isNotNull()).alias("pairs"))
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    agg = sentences.groupBy("ord").agg(
+        every("subjects"), every("keywords"), F.min("root").alias("root"),
+        F.array_sort(F.collect_list(F.struct("sent_id", "pairs"))).alias("p"))
+    return agg.select("ord", "subjects", "keywords", F.col("root.text").alias("main_event"),
+                      F.flatten(F.transform("p", lambda x: x["pairs"])).alias("adj_pairs"))
+
+
+def analyze(docs: DataFrame, tokens: DataFrame, ents: DataFrame | None = None) -> DataFrame:
     """One record per text: ``ord, text, entities, subjects, adj_pairs, main_event, keywords``.
 
-    Entities are computed inline from the text; subjects, keywords and the
-    main event come from one aggregate of the parse table; pairs from the
-    self-join. Lists are sorted (subjects, keywords by code point) or kept in
+    With ``ents(ord, ent_ord, text, type)`` the parser's entities are taken,
+    else those of the patterns, inline. The rest comes from one aggregate of
+    the parse table. Lists are sorted (subjects, keywords by code point) or kept in
     text order (entities, pairs); texts without tokens get empty lists and a
     NULL event. All joins are on ``ord`` and share its hash partitioning.
     """
-    agg = per_text(tokens)
-    p = adj_pairs(tokens).groupBy("ord").agg(
-        F.array_sort(F.collect_list(F.struct("sent_id", "word_id", "adjective", "subject"))).alias("p"))
-    p = p.select("ord", F.transform("p", lambda x: F.struct(x["adjective"].alias("adjective"),
-                                                            x["subject"].alias("subject"))).alias("adj_pairs"))
-    out = docs.select("ord", "text", entity_array(F.col("text")).alias("entities"))
-    out = out.join(agg, "ord", "left").join(p, "ord", "left")
+    kind = "array<struct<text:string,type:string>>"
+    if ents is None:
+        out = docs.select("ord", "text", entity_array(F.col("text")).alias("entities"))
+    else:
+        found = ents.groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("ent_ord", "text", "type"))).alias("e"))
+        found = found.select("ord", F.transform("e", lambda x: F.struct(x["text"].alias("text"), x["type"].alias("type"))).alias("e"))
+        out = docs.select("ord", "text").join(found, "ord", "left") \
+                  .select("ord", "text", F.coalesce("e", F.array().cast(kind)).alias("entities"))
+    out = out.join(per_text(tokens), "ord", "left")
     empty = F.array()
     return out.select(
         "ord", "text", "entities",

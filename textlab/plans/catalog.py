@@ -247,6 +247,19 @@ def q_sentence_vectors(spark, sf_dir):
     return _flat(_doc(sv))
 
 
+@register("sentence_vectors_300")
+def q_sentence_vectors_300(spark, sf_dir):
+    """E2/E7 at the default width: the first and last two of 300 components
+    (each times 0.987654321, so that none lies halfway between two roundings)."""
+    docs = documents(spark, sf_dir)
+    v = vocab.build_vocab(vocab.tokens(docs))
+    wv = synthetic.derived_word_vectors(v.where(F.col("id") >= 2), 300)
+    sv = vectors.sentence_vectors(docs, v, wv, 300, normalize=False)
+    keep = F.filter(F.transform("vec", lambda x, i: F.struct(i.alias("j"), x.alias("value"))),
+                    lambda s: (s["j"] < 2) | (s["j"] > 297))
+    return _doc(sv.select("ord", F.inline(keep))).select("doc_id", "j", F.round(F.col("value") * 0.987654321, 6).alias("value"))
+
+
 @register("vector_coverage")
 def q_vector_coverage(spark, sf_dir):
     """V6."""
@@ -329,6 +342,29 @@ def q_text_analysis(spark, sf_dir):
         "main_event", F.array_join("keywords", "|").alias("keywords")))
 
 
+@register("parser_entities")
+def q_parser_entities(spark, sf_dir):
+    """N1/N6 with the parser's entities: the proper nouns of the parse."""
+    docs, toks = _parse(spark, sf_dir)
+    order = Window.partitionBy("ord").orderBy("sent_id", "word_id")
+    ents = toks.where(F.col("upos") == "PROPN").select(
+        "ord", F.row_number().over(order).alias("ent_ord"), "text", F.lit("NAME").alias("type"))
+    a = annotate.analyze(docs, toks, ents)
+    return _doc(a.select("ord", F.size("entities").alias("n_entities"),
+                         F.array_join(F.transform("entities", lambda x: x["text"]), "|").alias("entities")))
+
+
+@register("gazetteer_entities")
+def q_gazetteer_entities(spark, sf_dir):
+    """N1 lookup: every PROPN-NOUN pair of neighbours in the first sentences is a phrase to find again."""
+    _, toks = _parse(spark, sf_dir)
+    first = toks.where("sent_id = 0")
+    gaz = first.where("upos = 'PROPN'").alias("a").join(first.where("upos = 'NOUN'").alias("b"), F.expr(
+        "a.ord = b.ord and a.word_id + 1 = b.word_id")).select(
+        F.concat_ws(" ", "a.text", "b.text").alias("phrase"), F.lit("PAIR").alias("type")).distinct()
+    return _doc(annotate.gazetteer_entities(toks, gaz))
+
+
 # ---------------------------------------------------------------- clustering
 def _label_centres(spark, sf_dir):
     return quality.centroids(embeddings(spark, sf_dir).where(F.col("cluster") != -1))
@@ -588,5 +624,15 @@ def q_tag_job_coverage(spark, sf_dir):
     return rows.join(job.metrics.select("algo", "n_samples"), "algo")
 
 
+@register("kmeans_nearest")
+def q_kmeans_nearest(spark, sf_dir):
+    """C3/C4 invariant: rows whose k-means cluster isn't that of their nearest centre (none)."""
+    pts = embeddings(spark, sf_dir).select("id", "vec")
+    res = cluster.kmeans(pts)
+    near = cluster.nearest_centre(pts, cluster.centres_from_model(spark, res.model))
+    both = res.assignments.join(near, "id")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("cluster") != F.col("center"), 1)).alias("n_wrong"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -212,6 +212,20 @@ nrm AS (SELECT ord, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM full_ GROUP BY
 ORACLES["sentence_vectors"] = f"""WITH {VEC_CTE}
 SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round(m / nr, 6) AS value FROM full_ JOIN nrm USING (ord)"""
 
+ORACLES["sentence_vectors_300"] = f"""WITH {VEC_CTE.replace(
+    "SELECT range AS j FROM range(8)", "SELECT range AS j FROM range(300) WHERE range < 2 OR range > 297")}
+SELECT ord AS doc_id, j::INTEGER AS j, round(m * 0.987654321, 6) AS value FROM full_"""
+ORACLES["encoded_texts"] = f"""WITH {TOKENS_CTE},
+h AS (SELECT ord, md5(token) AS h FROM t WHERE pos < 64),
+n AS (SELECT ord, count(*) AS n FROM h GROUP BY ord),
+b AS (SELECT ord, ('0x' || substr(h, 1, 2))::INTEGER % 64 AS j,
+             sum(CASE WHEN ('0x' || substr(h, 15, 2))::INTEGER >= 128 THEN -1.0 ELSE 1.0 END) AS s FROM h GROUP BY 1, 2),
+v AS (SELECT b.ord, b.j, s / n AS x FROM b JOIN n USING (ord)),
+r AS (SELECT ord, greatest(sqrt(sum(x * x)), 1e-12) AS r FROM v GROUP BY ord)
+SELECT d.doc_id, jj.j::INTEGER AS j, round(coalesce(x / r, 0)::FLOAT::DOUBLE, 6) AS value
+FROM documents d CROSS JOIN (SELECT range AS j FROM range(64)) jj
+LEFT JOIN v ON v.ord = d.doc_id AND v.j = jj.j LEFT JOIN r ON r.ord = d.doc_id"""
+ORACLES["kmeans_nearest"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_wrong FROM embeddings"
 ORACLES["vector_coverage"] = f"""WITH {VEC_CTE},
 f AS (SELECT count(DISTINCT word) AS found FROM wv)
 SELECT f.found, (SELECT count(*) FROM v) AS needed,
@@ -273,6 +287,17 @@ SELECT d.doc_id, coalesce(e.n, 0) AS n_entities, coalesce(e.s, '') AS entities,
 FROM documents d LEFT JOIN e ON e.ord = d.doc_id LEFT JOIN s ON s.ord = d.doc_id
 LEFT JOIN p ON p.ord = d.doc_id LEFT JOIN k ON k.ord = d.doc_id LEFT JOIN ev ON ev.ord = d.doc_id"""
 
+ORACLES["parser_entities"] = f"""WITH {PARSE_CTE},
+e AS (SELECT ord, count(*)::INTEGER AS n, string_agg(text, '|' ORDER BY sent_id, word_id) AS s
+      FROM tk WHERE upos = 'PROPN' GROUP BY ord)
+SELECT d.doc_id, coalesce(e.n, 0) AS n_entities, coalesce(e.s, '') AS entities
+FROM documents d LEFT JOIN e ON e.ord = d.doc_id"""
+ORACLES["gazetteer_entities"] = f"""WITH {PARSE_CTE},
+pr AS (SELECT a.ord, a.sent_id, a.word_id, a.upos || b.upos AS tags, a.text || ' ' || b.text AS text
+       FROM tk a JOIN tk b ON a.ord = b.ord AND a.sent_id = b.sent_id AND b.word_id = a.word_id + 1),
+g AS (SELECT DISTINCT text FROM pr WHERE sent_id = 0 AND tags = 'PROPNNOUN')
+SELECT ord AS doc_id, sent_id, word_id, text, 'PAIR' AS type FROM pr JOIN g USING (text)"""
+
 # ---------------------------------------------------------------- clustering
 CENTRES_CTE = """e AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT id, cluster, unnest(generate_series(1, len(v))) AS j, unnest(v) AS x FROM e WHERE cluster <> -1),
