@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.text import strip_text
-from textlab.operators.common import with_ordinal
+from textlab.operators.common import lookup, with_ordinal
 
 # Rows folded into one digest per level of the fingerprint tree. A group holds
 # at most this many 32-character digests (about 2 MB), whatever the corpus size.
@@ -89,10 +89,19 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def join_back(docs: DataFrame, per_text: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach results computed once per distinct text to every row with that text."""
+def join_back(docs: DataFrame, per_text: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
+    """Attach results computed once per distinct text to every row with that text.
+
+    ``weight`` names the column of ``per_text`` (a materialised frame) with the
+    number of copies: a text that many rows share is then broadcast instead of
+    sending all its rows to one task.
+    """
     keyed = docs.withColumn("text_key", text_key())
-    return keyed.join(per_text.select("text_key", *cols), "text_key", "left").drop("text_key")
+    if weight is None:
+        return keyed.join(per_text.select("text_key", *cols), "text_key", "left").drop("text_key")
+    total = per_text.agg(F.sum(weight)).first()[0]
+    return lookup(keyed, per_text.select("text_key", *cols, weight), "text_key", weight,
+                  F.concat(F.lit("#"), F.col("ord").cast("string")), total).drop("text_key")
 
 
 def register_corpus(registry: DataFrame | None, fp: DataFrame, path: str) -> bool:

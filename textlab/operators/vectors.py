@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from textlab.config import DEFAULTS, VectorSettings, VocabSettings
 from textlab.functions import vectors as V
 from textlab.operators import corpus
-from textlab.operators.common import broadcast_if_bounded
+from textlab.operators.common import broadcast_if_bounded, cut_lineage
 from textlab.operators.vocab import token_ids
 
 NOISE_SCALE = 0.01
@@ -176,9 +176,10 @@ def encode_with(docs: DataFrame, factory: Callable[[], Encoder] = HashingEncoder
             for s in range(0, len(pdf), batch_rows):
                 part = pdf.iloc[s:s + batch_rows]
                 mat = enc(part["text"].tolist())
-                yield pd.DataFrame({"text_key": part["text_key"].values,
+                yield pd.DataFrame({"text_key": part["text_key"].values, "n_copies": part["n_copies"].values,
                                     "vec": [row.astype(np.float32) for row in mat]})
 
-    uniq = corpus.distinct_texts(docs).select("text_key", "text")
-    encoded = uniq.mapInPandas(run, "text_key string, vec array<float>")
-    return corpus.join_back(docs.select("ord", "text"), encoded, ["vec"]).select("ord", "vec")
+    uniq = corpus.distinct_texts(docs).select("text_key", "text", "n_copies")
+    # written once: the join back reads it more than once
+    encoded = cut_lineage(uniq.mapInPandas(run, "text_key string, n_copies bigint, vec array<float>"))
+    return corpus.join_back(docs.select("ord", "text"), encoded, ["vec"], "n_copies").select("ord", "vec")

@@ -38,7 +38,7 @@ def label_texts(docs: DataFrame, labeller=tagging.rule_labeller, settings: Setti
     With ``store`` (a folder that outlives the run) replies are kept by the
     content of their prompt, so a rerun or another run repeats no successful call.
     """
-    uniq = corpus.distinct_texts(docs).select(F.col("rep_ord").alias("ord"), "text", "text_key")
+    uniq = corpus.distinct_texts(docs).select(F.col("rep_ord").alias("ord"), "text", "text_key", "n_copies")
     batched = tagging.assign_batches(uniq.select("ord", "text"), settings.tags, dense=False)
     prompts = tagging.build_prompts(batched)
     if store:
@@ -49,8 +49,9 @@ def label_texts(docs: DataFrame, labeller=tagging.rule_labeller, settings: Setti
     quarantine = bad.select("batch_id", F.lit(None).cast("int").alias("idx"), "line", "reason").unionByName(
         tagging.out_of_range(batched, labels).select("batch_id", "idx", F.col("label").alias("line"), "reason"))
     aligned = tagging.align(batched, labels, replies)
-    per_text = aligned.join(uniq.select("ord", "text_key"), "ord").select("text_key", "label", "error")
-    labelled = corpus.join_back(docs.select("ord", "text"), per_text, ["label", "error"]) \
+    per_text = cut_lineage(aligned.join(uniq.select("ord", "text_key", "n_copies"), "ord")
+                           .select("text_key", "label", "error", "n_copies"))
+    labelled = corpus.join_back(docs.select("ord", "text"), per_text, ["label", "error"], "n_copies") \
                      .select("ord", "label", "error")
     return labelled, quarantine
 
