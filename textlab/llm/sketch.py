@@ -64,23 +64,23 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     by (id, hash); from there each sends its beginning and its sketch to the
     document before it.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("id"), whole.alias("text")).select(
-        "id", "text", F.coalesce("id", F.lit(0)).alias("key"),
-        F.xxhash64(F.col("id").isNull(), F.col("text")).alias("hash"))
-    known = base.groupBy("id", "key", "hash", F.length("text").alias("n")).agg(F.lit(1).alias("one"))
-    order = in_order(known.drop("one"), [F.col("id").desc_nulls_last(), F.col("hash")], "at")
+    keys = ["key", "none", "hash"]  # of a row: its id (null: 0 and none), and its text's hash
+    base = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(doc_id), F.lit(0)).alias("key"),
+                       F.col(doc_id).isNull().alias("none")).withColumn("hash", F.xxhash64("text"))
+    known = base.groupBy(*keys, F.length("text").alias("n")).agg(F.lit(1).alias("one"))
+    order = in_order(known.drop("one"), [F.col("none"), F.col("key").desc(), F.col("hash")], "at")
     count = order.count()
-    after = order.select(F.pmod(F.col("at") + 1, F.lit(max(1, count))).alias("at"), F.col("key").alias("to_key"),
-                         F.col("hash").alias("to_hash"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    route = order.join(after, "at").select("key", "hash", "to_key", "to_hash", "half")
-    dealt = base.repartition("key", "hash")
-    once = F.row_number().over(Window.partitionBy("key", "hash").orderBy("hash"))
-    sender = dealt.join(route, ["key", "hash"]).withColumn("copy", once).where("copy = 1")
+    after = order.select(F.pmod(F.col("at") + 1, F.lit(max(1, count))).alias("at"),
+                         *[F.col(k).alias(f"to_{k}") for k in keys], F.floor(F.col("n") / 2).cast("int").alias("half"))
+    route = order.join(after, "at").select(*keys, *[f"to_{k}" for k in keys], "half")
+    # both joins read these columns by these keys, so the texts are shuffled once
+    dealt = base.repartition(*keys)
+    once = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+    sender = dealt.join(route, keys).withColumn("copy", once).where("copy = 1")
     sent = with_sketch(sender, "text", "next").select(
-        F.col("to_key").alias("key"), F.col("to_hash").alias("hash"),
-        F.expr("substring(text, 1, half)").alias("head"), "next")
-    return with_sketch(dealt.join(sent, ["key", "hash"]).drop("key", "hash"), "text", "sketch")
+        *[F.col(f"to_{k}").alias(k) for k in keys], F.expr("substring(text, 1, half)").alias("head"), "next")
+    whole = dealt.join(sent, keys).withColumn("id", F.when(~F.col("none"), F.col("key")))
+    return with_sketch(whole.drop(*keys), "text", "sketch")
 
 
 def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
