@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from textlab.plans import catalog  # noqa: E402
-from textlab.session import build_session  # noqa: E402
+from textlab.session import build_session, drop_scratch  # noqa: E402
 
 HEADLINE = [
     "vocab_top",            # V1-V3: tokenise, count, distributed ranking
@@ -49,6 +49,7 @@ def main() -> None:
         t0 = time.perf_counter()
         catalog.REGISTRY[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        drop_scratch(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds",

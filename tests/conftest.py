@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from textlab.session import build_session  # noqa: E402
+from textlab.session import build_session, drop_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(master="local[4]", shuffle_partitions=4, driver_memory="4g")
     yield s
+    drop_scratch(s)
     s.stop()
 
 

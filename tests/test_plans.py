@@ -64,3 +64,45 @@ def test_metrics_unchanged_by_relabelling(spark):
     b = quality.evaluate(spark.createDataFrame(relab, s)).first()
     for k in ("silhouette", "calinski", "davies_bouldin"):
         assert a[k] == pytest.approx(b[k], rel=1e-12)
+
+
+def test_pooling_at_full_width_broadcasts_the_vectors(spark):
+    df = catalog.REGISTRY["sentence_vectors_300"](spark, SMOKE)
+    df.write.format("noop").mode("overwrite").save()
+    plan = _plan(df)
+    assert "collect_list(vec" not in plan
+    for line in plan.splitlines():   # no token-sized exchange by id or token, but for vocabulary-sized sides
+        if "Exchange hashpartitioning(ord" in line:
+            break
+    else:
+        raise AssertionError(plan)
+    assert "SortMergeJoin [id" not in plan.split("Exchange hashpartitioning(ord")[1].split("BroadcastExchange")[0]
+
+
+def test_file_order_shuffles_no_text(spark, tmp_path):
+    from textlab.sources import files
+
+    rows = [(f"t{i}\nline, {i}",) for i in range(500)]
+    spark.createDataFrame(rows, "text string").repartition(3).sortWithinPartitions("text") \
+        .write.option("header", True).option("escape", '"').csv(f"{tmp_path}/t.csv")
+    df = files.read_texts(spark, f"{tmp_path}/t.csv")
+    assert sorted(r["ord"] for r in df.collect()) == list(range(500))
+    assert "Exchange hashpartitioning" not in _plan(df) and "rangepartitioning" not in _plan(df)
+
+
+def test_parse_is_exchanged_once(spark):
+    df = catalog.REGISTRY["text_analysis"](spark, SMOKE)
+    df.write.format("noop").mode("overwrite").save()
+    assert _plan(df).split("== Initial Plan ==")[0].count("Exchange hashpartitioning(ord") <= 2
+
+
+def test_ids_of_64_bits_and_far_positions_keep_the_order(spark):
+    from textlab.operators import corpus, vocab
+
+    big = (1 << 62) + 5
+    toks = spark.createDataFrame([(big, (1 << 25) + 1, "late"), (big, (1 << 25), "early"), (big + 1, 0, "next")],
+                                 "ord long, pos int, token string")
+    got = {r["word"]: r["id"] for r in vocab.build_vocab(toks).collect()}
+    assert (got["early"], got["late"], got["next"]) == (2, 3, 4)
+    sparse = spark.createDataFrame([(i << 40, "t") for i in range(50)], "ord long, text string")
+    assert corpus.fingerprint(sparse).first()["n_docs"] == 50

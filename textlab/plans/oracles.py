@@ -1,19 +1,19 @@
 """DuckDB SQL equivalents of the registered queries (same column names/types).
 
 Views ``documents``, ``embeddings``, ``labels`` ... are registered by the
-caller. Text rules (tokenizer pattern, whitespace set) come from the same
-constants the Spark side uses.
+caller. Every pattern, list and number is written out here, not taken from
+the code that the queries check.
 """
 
 from __future__ import annotations
 
-from textlab.config import DEFAULTS
-from textlab.functions.text import PY_WHITESPACE, WORD_PATTERN
-
-WS = "(" + " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE) + ")"
-PAT = WORD_PATTERN.replace("'", "''")
-L = DEFAULTS.vocab.max_length
-CAP = DEFAULTS.vocab.max_size - 2
+# Code points of white space; a token; tokens of a text; words of a vocabulary.
+_SPACES = (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
+           8201, 8202, 8232, 8233, 8239, 8287, 12288)
+WS = "(" + " || ".join(f"chr({c})" for c in _SPACES) + ")"
+PAT = r"[\p{L}\p{N}]+|[^ \t\n\x0B\f\r\p{L}\p{N}]"
+L = 64
+CAP = 49998
 
 TOKENS_CTE = f"""
 d AS (SELECT doc_id AS ord,
@@ -125,7 +125,7 @@ ORACLES["cluster_metrics_noise"] = _metrics_sql(
 ORACLES["cluster_sizes"] = "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1"
 
 # ---------------------------------------------------------------- tagging
-from textlab.operators.tagging import GENERIC_LABELS, ITEMS_HEADER  # noqa: E402
+ITEMS_HEADER = "Texts to label:\n"
 
 
 def _sql_str(s: str) -> str:
@@ -172,7 +172,7 @@ ORACLES["label_parse"] = f"WITH {TAG_CTE} SELECT batch_id, idx, label FROM lab"
 ORACLES["label_quarantine"] = f"""WITH {TAG_CTE}
 SELECT batch_id, line_no, line, 'bad_index' AS reason FROM p WHERE idx IS NULL"""
 ORACLES["label_align"] = f"WITH {TAG_CTE} SELECT ord AS doc_id, batch_id, idx, label, error FROM al"
-_GEN = ", ".join("'" + g + "'" for g in GENERIC_LABELS)
+_GEN = "'positive', 'negative', 'neutral', 'good review', 'bad review'"
 ORACLES["label_validate"] = f"""WITH {TAG_CTE},
 v AS (SELECT ord, label, trim(label, {WS}) AS lab FROM al WHERE label IS NOT NULL),
 w AS (SELECT ord, label, lab,
@@ -252,7 +252,12 @@ tk AS (SELECT ord, (pos // 8)::INTEGER AS sent_id, (pos % 8 + 1)::INTEGER AS wor
          CASE (length(w) + pos) % 4 WHEN 0 THEN 'nsubj' WHEN 1 THEN 'nsubj:pass' ELSE 'dep' END AS deprel
        FROM w)"""
 
-from textlab.operators.annotate import ENTITY_PATTERNS  # noqa: E402
+ENTITY_PATTERNS = (
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("URL", r"https?://[^\s]+"),
+    ("DATE", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"),
+    ("NUMBER", r"[0-9]+(?:[.,][0-9]+)*"),
+)
 
 _ENT_ALL = "|".join(f"({p})" for _, p in ENTITY_PATTERNS).replace("'", "''")
 _ENT_KIND = "CASE " + " ".join(

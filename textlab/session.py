@@ -41,6 +41,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -90,4 +91,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/textlab-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/textlab-{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this driver wrote with :func:`scratch_path`.
+
+    For the end of a job: frames that read them must not be used afterwards.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
