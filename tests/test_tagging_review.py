@@ -165,3 +165,17 @@ def test_gate_skips_below_sixty_labels(spark):
     rows = lambda n: spark.createDataFrame([(i, f"l{i % 7}") for i in range(n)], "ord long, label string")
     assert pipeline.cluster_labels(rows(59), "kmeans")[0] == "skipped"
     assert pipeline.cluster_labels(rows(60), "kmeans")[0] == "clustered"
+
+
+def test_a_registered_corpus_is_not_labelled_again(spark, docs, tmp_path):
+    from textlab.plans import pipeline
+
+    def broken(batch_id, items, chat):
+        raise RuntimeError("not to be called")
+
+    d, folder = docs([(i, f"text {i % 50}") for i in range(70)]), str(tmp_path)
+    first = pipeline.run_tag_job(d, algo="kmeans", k=2, registry=folder)
+    again = pipeline.run_tag_job(d, algo="kmeans", k=2, labeller=broken, registry=folder)
+    assert sorted(map(str, first.labels.collect())) == sorted(map(str, again.labels.collect()))
+    other = pipeline.run_tag_job(docs([(0, "new")]), algo="kmeans", labeller=broken, registry=folder)
+    assert "not to be called" in other.labels.first()["error"]

@@ -45,6 +45,11 @@ def gate(n_labels: int, settings=DEFAULTS.tags) -> str:
     return "clustered" if n_labels >= settings.min_labels_to_cluster else "skipped"
 
 
+def gate_status(n_labels: F.Column, settings=DEFAULTS.tags) -> F.Column:
+    """C1 over a column of label counts."""
+    return F.when(n_labels >= settings.min_labels_to_cluster, "clustered").otherwise("skipped")
+
+
 def cluster_sizes(points: DataFrame) -> DataFrame:
     """``(cluster, n)``; noise (-1) is a row like any other."""
     return points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -634,5 +636,28 @@ def q_kmeans_nearest(spark, sf_dir):
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("cluster") != F.col("center"), 1)).alias("n_wrong"))
 
 
+@register("cluster_gate")
+def q_cluster_gate(spark, sf_dir):
+    """C1 for the documents of every language, source and both."""
+    n = table(spark, sf_dir, "documents").cube("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("status", cluster.gate_status(F.col("n")))
+
+
+@register("pca_correlation")
+def q_pca_correlation(spark, sf_dir):
+    """C5 invariant: reduced components don't correlate (largest of two, to 5 places: 0)."""
+    red, used = cluster.reduce_dims(embeddings(spark, sf_dir).select("id", "vec"))
+    m = Correlation.corr(red.select(array_to_vector("vec").alias("features")), "features").first()[0].toArray()
+    largest = max((abs(m[i][j]) for i in range(used) for j in range(i)), default=0.0)
+    return spark.createDataFrame([(used, float(round(largest, 5)))], "used int, largest double")
+
+
+@register("polarity_totals")
+def q_polarity_totals(spark, sf_dir):
+    """A1: every labelled text is scored once; its totals by label."""
+    return classify.confusion(_polarity(spark, sf_dir), _quality_labels(spark, sf_dir)) \
+        .groupBy("label").agg(F.sum("n").alias("n"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -225,6 +225,11 @@ r AS (SELECT ord, greatest(sqrt(sum(x * x)), 1e-12) AS r FROM v GROUP BY ord)
 SELECT d.doc_id, jj.j::INTEGER AS j, round(coalesce(x / r, 0)::FLOAT::DOUBLE, 6) AS value
 FROM documents d CROSS JOIN (SELECT range AS j FROM range(64)) jj
 LEFT JOIN v ON v.ord = d.doc_id AND v.j = jj.j LEFT JOIN r ON r.ord = d.doc_id"""
+ORACLES["cluster_gate"] = """SELECT lang, source, count(*) AS n,
+       CASE WHEN count(*) >= 60 THEN 'clustered' ELSE 'skipped' END AS status FROM documents GROUP BY CUBE (lang, source)"""
+ORACLES["pca_correlation"] = """SELECT least(50, max(len(embedding)), count(*) - 1)::INTEGER AS used, 0.0::DOUBLE AS largest
+FROM embeddings"""
+ORACLES["polarity_totals"] = """SELECT quality AS label, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality"""
 ORACLES["kmeans_nearest"] = "SELECT count(*) AS n_rows, 0::BIGINT AS n_wrong FROM embeddings"
 ORACLES["vector_coverage"] = f"""WITH {VEC_CTE},
 f AS (SELECT count(DISTINCT word) AS found FROM wv)

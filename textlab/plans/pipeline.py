@@ -124,17 +124,32 @@ def cluster_labels(labels: DataFrame, algo: str | None = None, k: int | None = N
 
 def run_tag_job(docs: DataFrame, algo: str | None = None, k: int | None = None,
                 labeller=tagging.rule_labeller, encoder=vectors.HashingEncoder,
-                settings: Settings = DEFAULTS, store: str | None = None) -> TagJob:
+                settings: Settings = DEFAULTS, store: str | None = None,
+                registry: str | None = None) -> TagJob:
     """The tag job: label, then :func:`cluster_labels`; labels are written once.
 
-    ``store`` names a folder for replies that later runs reuse.
+    ``store`` names a folder for replies that later runs reuse. With
+    ``registry`` (a folder) the labels of a corpus are kept under its
+    fingerprint (P1, P2): a corpus that has been labelled there whole, without
+    a failed call, is not labelled again.
     """
     spark = docs.sparkSession
     cluster.resolve_algo(algo, settings.cluster)
-    labels, quarantine = label_texts(docs, labeller, settings, store=store)
-    path = scratch_path(spark, "labels")
-    labels.write.parquet(path)
-    labels = spark.read.schema(labels.schema).parquet(path)
+    path, kept = scratch_path(spark, "labels"), scratch_path(spark, "quarantine")
+    known = False
+    if registry:
+        fp = cut_lineage(corpus.fingerprint(docs))
+        table = tagging.read_store(spark, f"{registry}/corpora", "fingerprint string, n_docs bigint, registered_at timestamp")
+        known = not table.join(fp.select("fingerprint"), "fingerprint").isEmpty()
+        path, kept = (f"{registry}/{name}/{fp.first()['fingerprint']}" for name in ("labels", "quarantine"))
+    if not known:
+        labels, quarantine = label_texts(docs, labeller, settings, store=store)
+        labels.write.mode("overwrite").parquet(path)
+        quarantine.write.mode("overwrite").parquet(kept)
+    labels = spark.read.schema("ord bigint, label string, error string").parquet(path)
+    quarantine = spark.read.schema("batch_id bigint, idx int, line string, reason string").parquet(kept)
+    if registry and not known and labels.where(F.col("error").isNotNull()).isEmpty():
+        corpus.register_corpus(table, fp, f"{registry}/corpora")   # only once its labels are there
     n_samples = labels.count()
     status, clusters, metrics = cluster_labels(labels, algo, k, encoder, settings)
     return TagJob(status, n_samples, labels, clusters, metrics, quarantine)
