@@ -30,7 +30,6 @@ candidates if there are fewer than asked for. No rows give no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa

@@ -25,7 +25,6 @@ others share the rest. No rows give no rows.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,21 +79,14 @@ def difference(sizes: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def _split(shards: int, key: str):
-    """Items of one or more buckets (bucket, key, size) with the part of their bucket."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(frames), ignore_index=True).sort_values(["size", key], ascending=[False, True])
-        f["part"] = difference(f["size"].to_numpy(), shards)
-        yield f[["bucket", key, "size", "part"]]
-    return run
+def _bucketed(items: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """items (key, size) with bucket and part: the shard of each in its bucket's own partition."""
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["size", "key"], ascending=[False, True])
+        return f.assign(part=difference(f["size"].to_numpy(), shards))
 
-
-def _bucketed(items: DataFrame, buckets: int, shards: int, key: str) -> DataFrame:
-    """items (key, size) with bucket and part; a bucket is one group of bounded size."""
-    dealt = items.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), key, F.col("size").cast("long"))
-    split = _split(shards, key)
-    return dealt.groupBy("bucket").applyInPandas(
-        lambda f: next(split(iter([f]))), f"bucket long, `{key}` string, size long, part long")
+    dealt = items.select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), "key", F.col("size").cast("long"))
+    return dealt.groupBy("bucket").applyInPandas(run, "bucket long, key string, size long, part long")
 
 
 def assign(groups: DataFrame, shards: int, fine: int = FINE, bucket: int = BUCKET) -> DataFrame:
@@ -110,14 +102,14 @@ def assign(groups: DataFrame, shards: int, fine: int = FINE, bucket: int = BUCKE
     rest = marked.where("not single").select("key", "size")
     levels = []
     while (left := rest.count()) > 0:
-        parted = cut_lineage(_bucketed(rest, max(1, left // bucket), shards, "key")
+        parted = cut_lineage(_bucketed(rest, max(1, left // bucket), shards)
                              .withColumn("up", F.concat_ws(":", F.lit(len(levels)), "bucket", "part")))
         levels.append(parted.select("key", "up"))
         rest = cut_lineage(parted.groupBy(F.col("up").alias("key")).agg(F.sum("size").alias("size")))
         if left // bucket * shards <= fine:
             top = top.union(rest)
             break
-    final = cut_lineage(_bucketed(top, 1, shards, "key").select("key", F.col("part").cast("int").alias("shard")))
+    final = cut_lineage(_bucketed(top, 1, shards).select("key", F.col("part").cast("int").alias("shard")))
     for down in reversed(levels):  # a part's shard is that of its members
         members = down.join(final.select(F.col("key").alias("up"), "shard"), "up").select("key", "shard")
         final = final.union(members)
