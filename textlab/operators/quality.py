@@ -8,8 +8,7 @@ fewer than two clusters remain or when every remaining row is its own cluster
 (the scores are undefined for ``n_clusters > n - 1``).
 
 * silhouette: plain Euclidean, mean over rows, a singleton cluster scores 0;
-  blocked pairwise partial sums per (row, cluster) - O(n^2) compute, O(n*k*B)
-  shuffle, no row pairs materialised.
+  O(n^2) compute, all rows streamed past each block, one row out per block.
 * Calinski-Harabasz: B (n-k) / (W (k-1)), 1.0 when W = 0.
 * Davies-Bouldin: mean over clusters of max_j (s_i + s_j) / d_ij; 0 when all
   spreads or all centre distances are 0; a zero centre distance contributes 0.
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators.blocks import (blocked_cogroup, euclidean, n_blocks_for, stack)
+from textlab.operators.blocks import blocked_cogroup, euclidean, n_blocks_for, stack, streamed_blocks
 from textlab.operators.common import cut_lineage
 
 METRIC_SCHEMA = ("n_samples bigint, n_in_clusters bigint, n_clusters bigint, "
@@ -56,50 +55,58 @@ def centroids(points: DataFrame) -> DataFrame:
     return agg.select("cluster", vector_to_array(F.col("s.mean")).alias("centre"), "n")
 
 
-def _sil_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": pd.Series([], dtype="int64"), "ref": pd.Series([], dtype="int64"),
-                             "s": pd.Series([], dtype="float64"), "c": pd.Series([], dtype="int64")})
-    a, b = stack(left["vec"]), stack(right["vec"])
-    d = euclidean(a, b)
-    d[left["id"].values[:, None] == right["id"].values[None, :]] = 0.0
-    codes, uniq = pd.factorize(right["cluster"].values)
-    onehot = np.zeros((len(right), len(uniq)))
-    onehot[np.arange(len(right)), codes] = right["n"].values
-    sums, cnt = d @ onehot, onehot.sum(0).astype(np.int64)
-    n_l, k = len(left), len(uniq)
-    return pd.DataFrame({
-        "id": np.repeat(left["id"].values, k),
-        "ref": np.tile(np.asarray(uniq), n_l).astype(np.int64),
-        "s": sums.ravel(),
-        "c": np.tile(cnt, n_l).astype(np.int64),
-    })
-
-
-def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2048) -> DataFrame:
-    """Q-2: one row ``silhouette``; exact Euclidean mean silhouette."""
-    pts = points.select(F.col("id").cast("bigint").alias("id"), "vec",
+# Sums by cluster that a task holds for its left block.
+SUM_CELLS = 4_000_000
+
+
+def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2048,
+               n_clusters: int | None = None) -> DataFrame:
+    """Q-2: one row ``silhouette``; exact Euclidean mean silhouette.
+
+    All rows are streamed past each left block, which keeps one sum of
+    distances per row and cluster; a block gives one row. Blocks get smaller as
+    clusters get more, so that the sums stay bounded.
+    """
+    pts = points.select(F.col("id").cast("bigint").alias("id"), V.to_double("vec").alias("vec"),
                         F.col("cluster").cast("bigint").alias("cluster"), _n(points).alias("n"))
-    n = n_rows if n_rows is not None else pts.count()
-    parts = blocked_cogroup(pts, pts, n_blocks_for(n, block_rows), _sil_partials,
-                            "id bigint, ref bigint, s double, c bigint", symmetric=True)
-    # one shuffle on id serves both aggregations below
-    per_ref = parts.repartition("id").groupBy("id", "ref").agg(
-        F.sum("s").alias("s"), F.sum("c").alias("c"))
-    own = pts.select("id", F.col("cluster").alias("own"), F.col("n").alias("weight"))
-    j = per_ref.join(own, "id")
-    per_row = j.groupBy("id").agg(
-        F.max("weight").alias("weight"),
-        F.max(F.when(F.col("ref") == F.col("own"), F.col("c"))).alias("own_n"),
-        F.max(F.when((F.col("ref") == F.col("own")) & (F.col("c") > 1),
-                     F.col("s") / (F.col("c") - 1))).alias("a"),
-        F.min(F.when(F.col("ref") != F.col("own"), F.col("s") / F.col("c"))).alias("b"),
-    )
-    m = F.greatest("a", "b")
-    s = (F.when(F.col("own_n") <= 1, F.lit(0.0))
-          .when(m == 0, F.lit(0.0))
-          .otherwise((F.col("b") - F.col("a")) / m))
-    return per_row.agg((F.sum(s * F.col("weight")) / F.sum("weight")).alias("silhouette"))
+    if n_rows is None or n_clusters is None:
+        n_rows, n_clusters = pts.agg(F.count(F.lit(1)), F.countDistinct("cluster")).first()
+
+    def prepare(left: pd.DataFrame) -> dict:
+        return {"id": left["id"].values, "x": stack(left["vec"]), "cluster": left["cluster"].values,
+                "n": left["n"].values}
+
+    def merge(block: dict, state, right: pd.DataFrame):
+        known, sums, count = state or ({}, np.zeros((len(block["id"]), 0)), np.zeros(0))
+        codes, uniq = pd.factorize(right["cluster"].values)
+        new = [c for c in uniq.tolist() if c not in known]
+        known |= {c: len(known) + i for i, c in enumerate(new)}
+        sums = np.concatenate([sums, np.zeros((len(sums), len(new)))], axis=1)
+        count = np.concatenate([count, np.zeros(len(new))])
+        d = euclidean(block["x"], stack(right["vec"]))
+        d[block["id"][:, None] == right["id"].values[None, :]] = 0.0
+        hot = np.zeros((len(right), len(uniq)))
+        hot[np.arange(len(right)), codes] = right["n"].values
+        at = [known[c] for c in uniq.tolist()]
+        sums[:, at] += d @ hot
+        count[at] += hot.sum(axis=0)
+        return known, sums, count
+
+    def emit(block: dict, state) -> pd.DataFrame:
+        known, sums, count = state
+        own = np.array([known[c] for c in block["cluster"].tolist()])
+        rows = np.arange(len(own))
+        a = sums[rows, own] / np.maximum(1, count[own] - 1)
+        mean = sums / count
+        mean[rows, own] = np.inf
+        b = mean.min(axis=1)
+        top = np.maximum(a, b)
+        s = np.where((count[own] <= 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
+        return pd.DataFrame({"s": [float((s * block["n"]).sum())], "n": [int(block["n"].sum())]})
+
+    size = max(64, min(block_rows, SUM_CELLS // max(1, n_clusters)))
+    parts = streamed_blocks(pts, n_rows, size, prepare, merge, emit, "s double, n bigint")
+    return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def _db_partials(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
