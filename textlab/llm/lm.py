@@ -40,7 +40,7 @@ from textlab.llm.common import utf8_slices, written
 LEAST, BACKOFF = 2, 0.4
 HOT, SAMPLE = 20_000, 8_000
 #: Bytes of text in a block; tokens in a partition; bytes hashed at a time.
-BLOCK, PART, CHUNK = 8 << 20, 2_000_000, 1 << 20
+BLOCK, PART, CHUNK = 8 << 20, 1_000_000, 1 << 20
 START, END = 1, 2
 _BASE = 0x9E3779B97F4A7C15 | 1
 _LOWER = np.arange(256, dtype=np.uint8)
