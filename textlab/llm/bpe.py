@@ -34,7 +34,7 @@ NONE = np.int32(2**31 - 1)
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128)
 LONG = BUCKETS[-1]
 #: Words that a worker keeps; beyond, it starts anew.
-PIECES = 400_000
+PIECES = 50_000
 #: Marks that are a piece of their own after letters.
 STOPS = tuple(",.;:!?")
 #: Cells of a matrix that are merged at a time.
@@ -98,8 +98,8 @@ class Bpe:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items()
                  for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, c = np.array(pairs, np.int64).reshape(-1, 3).T
-        self.pairs = {(x, y): z for x, y, z in pairs}
         self.table = Table(a, b, c.astype(np.int32))
+        self.pairs: dict[int, int] | None = None  # for long pieces, made when one is met
         self.forget()
 
     def forget(self) -> None:
@@ -148,11 +148,14 @@ class Bpe:
 
     def merge_long(self, piece: bytes) -> np.ndarray:
         """The same merges for one long piece: a heap of pairs over a linked list."""
+        if self.pairs is None:
+            own = self.table.keys[self.table.values != NONE].tolist()
+            self.pairs = dict(zip(own, self.table.values[self.table.values != NONE].tolist(), strict=True))
         ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n, pairs = len(ids), self.pairs
+        n, pair = len(ids), lambda x, y: self.pairs.get(x << 32 | y)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1)
-                if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+                if (r := pair(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, a, b = heapq.heappop(heap)
@@ -163,11 +166,11 @@ class Bpe:
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (x := pairs.get((r, ids[after[i]]))) is not None:
+                if (x := pair(r, ids[after[i]])) is not None:
                     heapq.heappush(heap, (x, i, r, ids[after[i]]))
             if before[i] >= 0:
                 k = before[i]
-                if (x := pairs.get((ids[k], r))) is not None:
+                if (x := pair(ids[k], r)) is not None:
                     heapq.heappush(heap, (x, k, ids[k], r))
         return np.array([x for x in ids if x >= 0], np.int32)
 

@@ -12,6 +12,9 @@ Conventions used by every operator
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -29,7 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most bytes that a checked broadcast may have.
 BROADCAST_BYTES = 32 << 20
 #: Rows of an Arrow batch that are worked on at a time.
-SLICE = 256
+SLICE = 64
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +79,19 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: Sequence[T.StructF
                 arrays = [a if a.type == f.type else a.cast(f.type)
                           for a, f in zip([*old, *new], arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give memory that is no longer used back to the system: idle Python workers live on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and its n+1 offsets; null: empty."""
     column = column.fill_null("").cast(pa.large_string())

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import add_columns, components, lookup, written
+from textlab.llm.common import add_columns, components, lookup, tidy, written
 
 #: Groups of segments; a choice of GROUPS - max_bits of them makes a cell.
 GROUPS = 8
@@ -176,6 +176,7 @@ def links(distinct: DataFrame, max_bits: int, name: str = "fingerprint") -> Data
             held = [[choice[cut:], cell[cut:], fps[cut:]]]
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        tidy()
 
     return dealt.mapInArrow(run, "a long, b long")
 

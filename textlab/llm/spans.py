@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import SLICE, add_columns, lookup, without, written
+from textlab.llm.common import SLICE, add_columns, lookup, tidy, without, written
 
 SENTENCES, WORDS, LONG, CUT = 2, 20, 24, 6
 _SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?\n。！？]+\s*|\Z)")
@@ -92,6 +92,7 @@ def all_spans(rows: DataFrame) -> DataFrame:
                     [pa.array(h, pa.int64()), pa.array(ids, pa.int64()), pa.array(row, pa.int64()),
                      pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(np.concatenate(first))],
                     ["hash", "id", "row", "place", "sentences", "first"])
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
