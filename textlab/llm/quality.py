@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import add_columns, sample_of_each
+from textlab.llm.common import add_columns, sample_of_each, tidy
 
 PER_LABEL, RANK, NEIGHBOURS = 2000, 48, 7
 #: A neighbour's vote weighs its cosine to this power.
@@ -77,27 +77,31 @@ class Model:
     """Projection into the latent space, and the labelled vectors there."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray, seed: int = 7):
+        """x: the sample's terms; it is weighted in place, so that the driver holds it once."""
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
-        weighted = x * self.idf
+        self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 1
+        x *= self.idf
         self.projection = np.zeros((x.shape[1], 1), np.float32)
         if len(x):
             # truncated SVD by a random start and two rounds of subspace iteration
             rank = min(RANK, *x.shape)
             basis = np.random.default_rng(seed).normal(size=(x.shape[1], rank + 8)).astype(np.float32)
             for _ in range(3):
-                left, _ = np.linalg.qr(weighted @ basis)
-                basis, _ = np.linalg.qr(weighted.T @ left)
-            _, _, right = np.linalg.svd(weighted @ basis, full_matrices=False)
+                left, _ = np.linalg.qr(x @ basis)
+                basis, _ = np.linalg.qr(x.T @ left)
+            _, _, right = np.linalg.svd(x @ basis, full_matrices=False)
             self.projection = np.ascontiguousarray((basis @ right[:rank].T).astype(np.float32))
-        self.vectors = self.place(x)
+        self.vectors = self.unit(x @ self.projection)
 
-    def place(self, x: np.ndarray) -> np.ndarray:
-        v = (x * self.idf) @ self.projection
+    @staticmethod
+    def unit(v: np.ndarray) -> np.ndarray:
         n = np.linalg.norm(v, axis=1, keepdims=True)
         return v / np.where(n > 0, n, 1)
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        return self.unit((x * self.idf) @ self.projection)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(x), self.prior)
@@ -134,7 +138,12 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, r in enumerate(rows):
         x[i] = np.frombuffer(zlib.decompress(r["terms"]), np.float16)
-    return Model(x, np.array([r["label"] for r in rows], np.float32))
+    labels_ = np.array([r["label"] for r in rows], np.float32)
+    del rows
+    model = Model(x, labels_)
+    del x
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score", drop_text: bool = False) -> DataFrame:
