@@ -76,3 +76,32 @@ def test_odd_rows(spark):
     assert all((r["text"] is None) == (r["doc_id"] == 1 or (r["doc_id"] is None and r["lang"] is None)) for r in got)
     assert {len(r["text"]) for r in got if r["doc_id"] == 7} == {0, 25}  # a copy of document 6 goes whole
     assert spans.dedup(empty_docs(spark)).count() == 0
+
+
+def random_text(rng, alphabet, length, ends, space):
+    p = rng.choice([0, 0, 0.02, 0.06, 0.1, 0.3])
+    return space.join("".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 9) if space else 1))
+                      + (rng.choice(ends) if rng.random() < p else "") for _ in range(length))
+
+
+def test_every_passage_of_over_50_words_holds_a_span():
+    rng = random.Random(7)
+    for alphabet, length, ends, space in (("abcdefghij", 51, ".!\n", " "),
+                                          ([chr(0x4E00 + i) for i in range(400)], 102, "。！", ""),
+                                          ([chr(0xE01 + i) for i in range(40)], 306, "\n", "")):
+        for _ in range(300):
+            passage = random_text(rng, alphabet, length, ends, space)
+            a, b = (space.join([random_text(rng, alphabet, rng.randrange(length), ends, space), passage,
+                                random_text(rng, alphabet, rng.randrange(length), ends, space)]) for _ in range(2))
+            assert "".join(spans.sentences(a)) == a
+            assert set(spans.spans(a)[0].tolist()) & set(spans.spans(b)[0].tolist())
+
+
+def test_passage_of_ten_chinese_sentences(spark):
+    rng = random.Random(4)
+    sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(rng.randrange(10, 20))) + "。"
+    passage = "".join(sentence() for _ in range(10))
+    rows = [(i, "".join(sentence() for _ in range(4)) + passage + "".join(sentence() for _ in range(4))) for i in range(3)]
+    got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == rows[0][1]
+    assert all(got[i]["text"] == rows[i][1].replace(passage, "") for i in (1, 2))

@@ -1,11 +1,18 @@
 """Substring deduplication by sliding sentence spans (operator 3).
 
 A text is cut into sentences (at full stops, question and exclamation marks
-and line ends; a sentence of over LONG words is cut on after words chosen by
-their hash, so that a passage is cut alike wherever it stands). From every
-sentence begins a span: the shortest run of at least SENTENCES sentences with
-at least WORDS words. Spans are hashed; of equal spans the first stays, by
-document id and place, and the sentences of every other one are removed.
+and line ends). A sentence of over LONG words is cut on where the hash of the
+words before the cut is the least of a window of WINDOW words, so a passage is
+cut alike wherever it stands. From every sentence begins a span: the shortest
+run of at least SENTENCES sentences with at least WORDS words. Spans are
+hashed; of equal spans the first stays, by document id and place, and the
+sentences of every other one are removed.
+
+In scripts without spaces every character is a unit: 2 of Chinese or Japanese
+count as a word, 6 of Thai, Lao, Khmer, Burmese or Tibetan. A passage that two
+texts share loses at most 95 parts (PARTS make a word) before the first cut
+that both texts have and LONG words after the last, so with over 50 words,
+punctuated or not, it holds a whole span.
 
 Counts come first, aggregated before the shuffle; spans found once go no
 further. Spans that very many documents share are broadcast (see lookup). A
@@ -31,37 +38,93 @@ from pyspark.sql import types as T
 
 from textlab.llm.common import SLICE, add_columns, lookup, tidy, without, written
 
-SENTENCES, WORDS, LONG, CUT = 2, 20, 24, 6
+SENTENCES, WORDS, LONG, WINDOW = 2, 20, 15, 14
+#: Parts of a word, of a Chinese or Japanese character and of one of the other scripts without spaces.
+PARTS, IDEOGRAPH, LETTER = 6, 3, 1
+#: Parts that the hash of a place reads.
+GRAM = 2 * PARTS
 _SENTENCE = re.compile(r"[^.!?\n。！？]*(?:[.!?\n。！？]+\s*|\Z)")
 _WORD = re.compile(r"\s*\S+\s*|\s+")
+_IDEOGRAPHS = "\u2e80-\u2fdf\u3001-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua4cf\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff"
+_LETTERS = "\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf"
+_UNSPACED = re.compile(f"[{_IDEOGRAPHS}{_LETTERS}]")
+_UNIT = re.compile(rf"\s*(?:([{_IDEOGRAPHS}])|([{_LETTERS}])|[^\s{_IDEOGRAPHS}{_LETTERS}]+)\s*|\s+")
 _LAST = (1 << 63) - 1
 
 
+def units(s: str) -> tuple[list[str], list[int]]:
+    """Words (characters in scripts without spaces) of a sentence with the space around them, and their parts."""
+    if s.isascii() or not _UNSPACED.search(s):
+        found = _WORD.findall(s)
+        return found, [PARTS] * len(found)
+    found = list(_UNIT.finditer(s))
+    return [m.group() for m in found], [IDEOGRAPH if m.group(1) else LETTER if m.group(2) else PARTS for m in found]
+
+
+def size(s: str) -> int:
+    """Parts of a sentence, at least those of a word."""
+    if s.isascii() or not _UNSPACED.search(s):
+        return PARTS * max(1, len(s.split()))
+    return max(PARTS, sum(units(s)[1]))
+
+
+def cuts(found: list[str], parts: list[int]) -> list[int]:
+    """Units after which a long sentence is cut: of each window of WINDOW words the one of the least hash (the last
+    of equal ones). The hash reads the units of the last GRAM parts."""
+    low = [w.strip().lower() for w in found]
+    digest = xxhash.xxh32_intdigest
+    if min(parts) == PARTS:
+        h, at, window = [digest(low[0]), *[digest(f"{a} {b}") for a, b in zip(low, low[1:])]], None, WINDOW
+    else:  # a place for each part; only the last of a unit can be chosen
+        h, at, window = [], [], WINDOW * PARTS
+        for i, n in enumerate(parts):
+            j, room = i, GRAM - n
+            while j and parts[j - 1] <= room:
+                j -= 1
+                room -= parts[j]
+            h += [1 << 32] * (n - 1) + [digest(" ".join(low[j:i + 1]))]
+            at += [i] * n
+    out, least = [], -1
+    for end in range(window - 1, len(h)):
+        begin = end - window + 1
+        if least < begin:
+            m = min(h[begin:end + 1])
+            least = end
+            while h[least] != m:
+                least -= 1
+        elif h[end] <= m:
+            m, least = h[end], end
+        else:
+            continue
+        out.append(least)
+    return out if at is None else [at[x] for x in out]
+
+
 def sentences(text: str) -> list[str]:
     """Sentences one after another; together they are the text."""
     out = []
     for s in _SENTENCE.findall(text):
-        if len(s) <= 2 * LONG or len(s.split()) <= LONG:
+        if len(s) <= 2 * LONG or size(s) <= LONG * PARTS:
             if s:
                 out.append(s)
             continue
-        held = []
-        for w in _WORD.findall(s):
-            held.append(w)
-            if xxhash.xxh32_intdigest(w.strip().lower()) % CUT == 0:
-                out.append("".join(held))
-                held = []
-        if held:
-            out.append("".join(held))
+        found, parts = units(s)
+        begin = 0
+        for i in cuts(found, parts):
+            out.append("".join(found[begin:i + 1]))
+            begin = i + 1
+        if begin < len(found):
+            out.append("".join(found[begin:]))
     return out
 
 
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first sentence and number of sentences of each span of a text."""
-    words = [s.lower().split() for s in sentences(text)]
-    count = np.cumsum(np.maximum(1, np.fromiter(map(len, words), np.int64, len(words)))) if words else np.zeros(0, np.int64)
+    cut = sentences(text)
+    words = [s.lower().split() for s in cut]
+    count = np.cumsum(np.fromiter(map(size, cut), np.int64, len(cut)))
     before = np.concatenate([[0], count[:-1]]) if len(count) else count
-    last = np.maximum(np.searchsorted(count, before + WORDS), np.arange(len(count)) + SENTENCES - 1)
+    last = np.maximum(np.searchsorted(count, before + WORDS * PARTS), np.arange(len(count)) + SENTENCES - 1)
     begin = np.flatnonzero(last < len(count))
     if not len(begin):
         return np.zeros(0, np.int64), begin, begin
