@@ -87,3 +87,28 @@ def test_odd_rows(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(i for i in ids if i is not None) == sorted({1, 4, 6, 7, 8, 9}) and ids.count(None) == 1
     assert simhash.near_duplicates(empty_docs(spark)).count() == 0 and simhash.keep_one(empty_docs(spark)).count() == 0
+
+
+def test_one_row_of_each_component(spark):
+    rng = np.random.default_rng(6)
+    new = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))
+    a, b, c, d = new(), new(), new(), new()
+    apart = np.array([slow_fingerprint(t) for t in (a, b, c, d)], np.uint64)
+    assert all(np.bitwise_count(apart[i] ^ apart[i + 1:]).min() > 4 for i in range(3))
+
+    def kept(rows):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted(tuple(r) for r in simhash.keep_one(docs).collect())
+
+    # one id that is the smallest of several components
+    assert kept([(5, a), (9, a), (5, b), (12, b)]) == sorted([(5, a), (5, b)])
+    assert kept([(0, a), (0, b), (0, c), (0, c), (7, d)]) == sorted([(0, a), (0, b), (0, c), (7, d)])
+    # a component of several fingerprints, of which no row has an id
+    words, near = a.split(), None
+    for i in range(60):
+        for x in range(20):
+            t = " ".join([*words[:i], f"v{x}", *words[i + 1:]])
+            if 0 < int(np.bitwise_count(np.uint64(slow_fingerprint(t)) ^ apart[0])) <= 4:
+                near = t
+    assert near
+    assert len(kept([(None, a), (None, near), (None, near)])) == 1

@@ -182,7 +182,8 @@ def links(distinct: DataFrame, max_bits: int, name: str = "fingerprint") -> Data
 
 
 def classes(rows: DataFrame, max_bits: int = 4, name: str = "fingerprint", doc_id: str = "doc_id") -> DataFrame:
-    """rows (written ones) with ``component_id``: the smallest id that links lead to.
+    """rows (written ones) with ``component_id``: the smallest id that links lead to, and ``root``: the
+    smallest fingerprint of the component, which tells components of one smallest id apart.
 
     Rows of one fingerprint are collapsed, so the links and components are
     found between distinct fingerprints.
@@ -194,7 +195,7 @@ def classes(rows: DataFrame, max_bits: int = 4, name: str = "fingerprint", doc_i
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("m"))
     total = distinct.agg(F.sum("n"), F.count(F.lit(1))).first()
     known = written(lookup(rooted.select(name, "n", "root"), least, "root", "m", F.xxhash64(name), total[1])
-                    .select(name, "n", "component_id"), "classes")
+                    .select(name, "n", "component_id", "root"), "classes")
     return lookup(rows, known, name, "n", F.xxhash64(F.col(doc_id), F.col(name)), total[0] or 0)
 
 
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     max_bits: int = 4) -> DataFrame:
     """A row for each document: its id, fingerprint and component_id."""
     rows = fingerprints(docs.select(doc_id, text), text, shingle, drop_text=True)
-    return classes(written(rows, "simhash"), max_bits, doc_id=doc_id)
+    return classes(written(rows, "simhash"), max_bits, doc_id=doc_id).drop("root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
@@ -212,11 +213,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     hashed = docs.select(doc_id, text).withColumn("__text", F.xxhash64(text))
     rows = written(fingerprints(hashed, text, shingle, drop_text=True), "simhash")
     found = classes(rows, max_bits, doc_id=doc_id)
-    # a row of the smallest id; where no row of the component has one, of its smallest text hash
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))) \
-        .groupBy(F.col(doc_id).alias("__id"), F.when(F.col(doc_id).isNull(), F.col("fingerprint")).alias("__fp")) \
-        .agg(F.min("__text").alias("__text"))
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__text").alias("hash")))
+    kept = found.groupBy("root").agg(first.alias("first")).select(
+        F.col("first.id").alias("__id"), F.col("first.hash").alias("__text"))
     mine = docs.withColumn("__text", F.xxhash64(text))
-    return mine.join(kept.select("__id", "__text"),
+    return mine.join(kept,
                      mine[doc_id].eqNullSafe(kept["__id"]) & (mine["__text"] == kept["__text"]), "left_semi") \
         .dropDuplicates([doc_id, "__text"]).drop("__text")
