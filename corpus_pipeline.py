@@ -48,9 +48,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids (little-endian unsigned 32-bit numbers) and how many they are."""
+    """Documents with their token ids (little-endian unsigned 32-bit numbers) and how many they are; the text
+    returned is what the ids decode to."""
     ship_package(spark)
-    return bpe.encode(docs, *tokenizer())
+    back = bpe.encode(docs.withColumn("__null", F.col("text").isNull()), *tokenizer(), drop_text=True,
+                      decoded="__text")
+    text = F.when(~F.col("__null"), F.col("__text").cast("string")).alias("text")
+    kept = [c for c in docs.columns if c == "text" or c in back.columns and c not in ("ids", "n_tokens")]
+    return back.select(*[text if c == "text" else F.col(f"`{c}`") for c in kept], "ids", "n_tokens")
 
 
 STAGES = [("quality classifier", good), ("SimHash near-dedup", distinct), ("substring dedup", without_repeats),

@@ -2,6 +2,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from helpers import SMALL, empty_docs, odd_docs, rows_of
+from pyspark.sql import functions as F
 
 from test_simhash import slow_classes, slow_fingerprint
 from test_spans import brute
@@ -52,3 +53,15 @@ def test_odd_and_empty_tables(spark, tmp_path):
         out = corpus_pipeline.run(spark, sf)
         assert [c for c in docs.columns if c != "ids"] == [c for c in out.columns if c not in ("ids", "n_tokens")]
         assert (out.count() > 0) == (name == "odd")
+
+
+def test_text_of_the_last_stage_is_decoded_from_its_ids(spark, monkeypatch):
+    docs = odd_docs(spark)
+    out = corpus_pipeline.encoded(spark, docs, SMALL)
+    assert "__text" not in out.columns
+    key = lambda rows: sorted((r["doc_id"] or 0, r["text"] is None, r["text"] or "") for r in rows)
+    assert key(out.collect()) == key(docs.collect())
+    # with other decoded bytes the text is another one
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **b: encode(*a, **b).withColumn("__text", F.lit(b"other")))
+    assert {r["text"] for r in corpus_pipeline.encoded(spark, docs, SMALL).collect()} == {None, "other"}

@@ -297,8 +297,10 @@ def load(ranks_file: bytes, pattern: str) -> Bpe:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
-           ids: str = "ids", n_tokens: str = "n_tokens", drop_text: bool = False) -> DataFrame:
-    """docs with its token ids and their number.
+           ids: str = "ids", n_tokens: str = "n_tokens", drop_text: bool = False,
+           decoded: str | None = None) -> DataFrame:
+    """docs with its token ids and their number, and as ``decoded`` (if named) the bytes that the ids stand for:
+    in the same worker, as a second one a task would hold the vocabulary again.
 
     ``ids`` is binary: little-endian unsigned 32-bit numbers, as token files
     have them. The driver reads the vocabulary (a file of a megabyte or so)
@@ -311,12 +313,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
         def work(column):
             found = bpe.encode(column.fill_null("").to_pylist())
-            return [pa.array([x.astype("<u4").tobytes() for x in found], pa.binary()),
-                    pa.array([len(x) for x in found], pa.int64())]
+            packed = [x.astype("<u4").tobytes() for x in found]
+            out = [pa.array(packed, pa.binary()), pa.array([len(x) for x in found], pa.int64())]
+            if decoded:
+                out.append(pa.array([bpe.decode(np.frombuffer(x, "<u4")) for x in packed], pa.binary()))
+            return out
         return work
 
-    return add_columns(docs, [text], [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())],
-                       make, [text] if drop_text else [])
+    fields = [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType()),
+              *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
+    return add_columns(docs, [text], fields, make, [text] if drop_text else [])
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids: str = "ids",
