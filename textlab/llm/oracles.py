@@ -35,4 +35,34 @@ taken AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, source FROM taken
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": OP2}
+OP12 = r"""
+WITH letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper, 'abcdefghijklmnopqrstuvwxyz' AS lower),
+d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), upper, lower), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents, letters),
+b AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), upper, lower),
+                                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark, letters),
+windows AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS words
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+found AS (
+    SELECT r, i, size, item_id
+    FROM (SELECT r, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+          FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i
+                FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size))
+    JOIN windows USING (size, words)),
+hits AS (
+    SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(i, i + size)) AS place
+                                               FROM (SELECT DISTINCT r, i, size FROM found)) GROUP BY r),
+named AS (
+    SELECT r, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(named.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": OP2, "op12_decontaminate": OP12}

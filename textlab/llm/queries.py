@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.llm import ann, bpe, langid, lm, mixing, quality, sharding, simhash, sketch, spans
-from textlab.llm.oracles import ORACLES  # noqa: F401
+from textlab.llm import (ann, bpe, decontaminate, langid, lm, mixing, quality, runs, sharding, simhash, sketch, spans,
+                         whitening)
 from textlab.llm.common import table
+from textlab.llm.oracles import ORACLES  # noqa: F401
 
 #: Documents of this quality score or more are kept.
 THRESHOLD = 0.3
@@ -95,6 +96,39 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, repeats planted by a hash of the id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    planted = runs.with_repeats(docs, "text", F.crc32(F.col("doc_id").cast("string")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = F.col("best")
+    return runs.detect(planted, drop_text=True).withColumn("best", runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark items share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), drop_text=True)
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    parts = F.arrays_zip("whitened", "explained")
+    return rows.select("vec_id", "n", "deviation", "identity_error", F.posexplode(parts).alias("pos", "part")).select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("part.whitened").alias("whitened"),
+        F.col("part.explained").alias("explained"), "identity_error")
+
+
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_mixing": op2_mixing,
@@ -106,4 +140,7 @@ REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_lm": op9_lm,
     "op10_simhash": op10_simhash,
-}
\ No newline at end of file
+    "op11_runs": op11_runs,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_whitening": op13_whitening,
+}
