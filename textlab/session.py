@@ -1,9 +1,10 @@
 """Session helpers: a local session for tests/bench, and the shared scratch area.
 
-Library code never reconfigures a session it is handed, with one exception:
+Library code never reconfigures a session it is handed, with two exceptions:
 when the session names no checkpoint directory (tests, local runs) a local one
-is set so that ``checkpoint()`` works. On a cluster ``spark.checkpoint.dir``
-must name a shared folder, and it is used as is.
+is set so that ``checkpoint()`` works, and where it names no size of the batches
+sent to Python workers, :func:`prepare` sets a small one. On a cluster
+``spark.checkpoint.dir`` must name a shared folder, and it is used as is.
 """
 
 from __future__ import annotations
@@ -35,11 +36,25 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    prepare(spark)
     return spark
 
 
+#: Bytes of a batch sent to a Python worker. The default (64 MB, or 10,000 rows) of long texts is held
+#: several times over, outside the heap of the JVM and in the worker.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make a session ready for this library's queries: workers import it, batches are small, checkpoints work."""
+    ship_package(spark)
+    ensure_checkpoint_dir(spark)
+    conf = spark._jsparkSession.sessionState().conf()
+    if not conf.contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 _SHIPPED: set[str] = set()
 _SCRATCH: list[str] = []
 
