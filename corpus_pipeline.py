@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from textlab.llm import bpe, mixing, quality, simhash, spans
 from textlab.llm.common import table, without, written
 from textlab.llm.queries import THRESHOLD, tokenizer
-from textlab.session import ship_package
+from textlab.session import prepare
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; labels are those of sf_dir."""
-    ship_package(spark)
+    prepare(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
     scored = quality.score(docs, model, name="__score")
     return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
@@ -27,13 +27,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one(docs, shingle=4, max_bits=4)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans; n_chars follows the text."""
-    ship_package(spark)
+    prepare(spark)
     out = without(spans.dedup(docs), ["n_sentences", "n_removed"])
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -43,14 +43,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.emit(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids (little-endian unsigned 32-bit numbers) and how many they are; the text
     returned is what the ids decode to."""
-    ship_package(spark)
+    prepare(spark)
     back = bpe.encode(docs.withColumn("__null", F.col("text").isNull()), *tokenizer(), drop_text=True,
                       decoded="__text")
     text = F.when(~F.col("__null"), F.col("__text").cast("string")).alias("text")
