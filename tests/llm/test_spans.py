@@ -105,3 +105,23 @@ def test_passage_of_ten_chinese_sentences(spark):
     got = {r["doc_id"]: r for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0]["text"] == rows[0][1]
     assert all(got[i]["text"] == rows[i][1].replace(passage, "") for i in (1, 2))
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randrange(4, 12))) + ". "
+    passage, other = "".join(sentence() for _ in range(12)), "".join(sentence() for _ in range(12))
+    own = lambda: "".join(sentence() for _ in range(4))
+    copy = own() + other
+    rows = [(None, own() + passage + own()) for _ in range(3)] + [(1, own() + passage), (1, passage + own())]
+    rows += [(None, copy)] * 40 + [(2, other)] * 3 + [(3, own()), (4, None), (None, None), (None, None), (5, ""), (5, "")]
+    rng.shuffle(rows)
+    got = spans.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    left = lambda s: sum(s in (r["text"] or "") for r in got)
+    assert left(passage) == 1 and left(other) == 1
+    assert [r["doc_id"] for r in got if r["text"] and passage in r["text"]] == [1]
+    assert [r["doc_id"] for r in got if r["text"] and other in r["text"]] == [2]
+    assert sum(r["n_removed"] > 0 for r in got) == 3 + 1 + 40 + 2
+    assert sum(r["text"] is None for r in got) == 3

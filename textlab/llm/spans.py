@@ -20,9 +20,10 @@ document's removed sentences are gathered, which its own length bounds.
 
 Cases: sentences are compared without case, white space reduced to single
 spaces. A null text stays null and has no sentence, an empty one stays empty;
-what is left of a text keeps its bytes. Rows with a null id come last. Rows
-that share an id count as one document, so neither loses a span to the other;
-within a row, a span that comes again goes. No rows give no rows.
+what is left of a text keeps its bytes. Rows with a null id come last. Of rows
+that share an id, or have none, the one of the smallest hash of id and text is
+first; of rows equal in both, any one. Within a row, a span that comes again
+goes. Ids are whole numbers. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -160,23 +161,49 @@ def all_spans(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, spans): by the hash of id and text, first sentence and length of each span to remove."""
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).cast("long").alias("id"),
-                       F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    every = written(all_spans(rows), "spans")
+def told_apart(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, bool]:
+    """docs with ``__row``, a number of each row, and whether rows share an id (or have none).
+
+    The number is the hash of id and text. Rows equal in both, of which there are some only if ids are shared, are
+    written with numbers of their own.
+    """
+    hashed = docs.withColumn("__row", F.xxhash64(doc_id, text))
+    if docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return hashed, False
+    copies = written(hashed.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                     .withColumn("__copy", F.lit(True)), "copies")
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    marked = lookup(hashed, copies, "__row", "n", F.xxhash64(F.monotonically_increasing_id()), total)
+    own = F.xxhash64("__row", F.monotonically_increasing_id())
+    equal = written(marked.where("__copy").withColumn("__row", own), "equal")
+    return marked.where("__copy is null").unionByName(equal).drop("__copy"), True
+
+
+def removed(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", shared: bool = True) -> DataFrame:
+    """(row, spans): of the rows with ``__row``, first sentence and length of each span to remove."""
+    cut = rows.select(F.coalesce(F.col(doc_id), F.lit(_LAST)).cast("long").alias("id"),
+                      F.col("__row").alias("row"), F.col(text).alias("text"))
+    every = written(all_spans(cut), "spans")
     repeated = written(every.groupBy("hash").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))
                        .where("n > 1"), "repeated")
     total = repeated.agg(F.sum("n")).first()[0] or 0
-    later = lookup(every, repeated, "hash", "n", F.xxhash64("row", "place"), total) \
-        .where("low is not null and (id <> low or not first)")
+    spread = F.xxhash64("row", "place")
+    later = lookup(every, repeated, "hash", "n", spread, total).where("low is not null")
+    if shared:  # of rows that share the smallest id, that of the smallest number keeps the span
+        later = written(later, "later")
+        first = written(later.where("id = low").groupBy("hash").agg(
+            F.min("row").alias("own"), F.count(F.lit(1)).alias("n")), "owners")
+        later = lookup(later, first, "hash", "n", spread, total).where("id <> low or row <> own or not first")
+    else:
+        later = later.where("id <> low or not first")
     return later.groupBy("row").agg(F.collect_set(F.struct("place", "sentences")).alias("spans"))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with its text without repeated spans, n_sentences (before) and n_removed."""
-    marks = removed(docs, doc_id, text).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    marked = docs.withColumn("__row", F.xxhash64(doc_id, text)).join(marks, "__row", "left")
+    rows, shared = told_apart(docs, doc_id, text)
+    marks = removed(rows, doc_id, text, shared).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    marked = rows.join(marks, "__row", "left")
 
     def make():
         def work(column, spans_):
