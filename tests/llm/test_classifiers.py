@@ -103,3 +103,13 @@ def test_quality_of_odd_rows(spark):
     nothing = quality.learn(empty_docs(spark), labels.limit(0))
     assert nothing.prior == 0.5 and quality.score(empty_docs(spark), nothing).count() == 0
     assert {r["score"] for r in quality.score(docs, nothing).collect()} == {0.5}
+
+
+def test_language_of_repeated_ids_does_not_depend_on_their_order(spark):
+    texts = {"a": "der Hund und die Katze sind im Haus ", "b": "the dog and the cat are at home now "}
+    rows = [(i % 7, t * (1 + i % 3) + str(i), lang) for i in range(60) for lang, t in texts.items()]
+    nets = []
+    for order in (rows, rows[::-1]):
+        frame = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        nets.append(langid.learn(frame))
+    assert all((nets[0].p[k] == nets[1].p[k]).all() for k in nets[0].p)

@@ -164,7 +164,9 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return work
 
     cut = add_columns(sample, [text], [T.StructField("windows", T.BinaryType())], make, [text])
-    got = sorted(cut.dropDuplicates([lang, doc_id]).collect(), key=lambda r: (r[lang], r[doc_id]))
+    # of rows of one id and language, that of the least windows, so that reruns agree
+    one = cut.groupBy(lang, doc_id).agg(F.min("windows").alias("windows"))
+    got = sorted(one.collect(), key=lambda r: (r[lang], r[doc_id]))
     if not got:
         return None
     langs = sorted({r[lang] for r in got})
