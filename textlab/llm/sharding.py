@@ -126,7 +126,7 @@ def shard(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str =
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), "groups")
     placed = written(assign(groups, shards), "shards")
     total = placed.agg(F.sum("n")).first()[0] or 0
-    dealt = lookup(rows, placed, "key", "n", F.concat(F.lit("#"), F.coalesce(F.col(doc_id), F.lit(-1))), total)
+    dealt = lookup(rows, placed, "key", "n", F.concat(F.lit("#"), F.monotonically_increasing_id()), total)
     ordered = in_order(dealt.drop("key"), [F.col("shard"), F.col(doc_id), F.col("text_crc32"), F.col("size")], "at")
     first = ordered.groupBy("shard").agg(F.min("at").alias("first"))  # as many rows as shards
     return ordered.join(F.broadcast(first), "shard") \
