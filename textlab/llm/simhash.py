@@ -196,7 +196,7 @@ def classes(rows: DataFrame, max_bits: int = 4, name: str = "fingerprint", doc_i
     total = distinct.agg(F.sum("n"), F.count(F.lit(1))).first()
     known = written(lookup(rooted.select(name, "n", "root"), least, "root", "m", F.xxhash64(name), total[1])
                     .select(name, "n", "component_id", "root"), "classes")
-    return lookup(rows, known, name, "n", F.xxhash64(F.col(doc_id), F.col(name)), total[0] or 0)
+    return lookup(rows, known, name, "n", F.xxhash64(F.monotonically_increasing_id()), total[0] or 0)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4,
