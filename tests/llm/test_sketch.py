@@ -3,6 +3,7 @@ import hashlib
 import numpy as np
 import xxhash
 from helpers import SMALL, empty_docs, odd_docs, rows_of
+from pyspark.sql import functions as F
 
 from textlab.llm import queries, sketch
 
@@ -11,8 +12,8 @@ def xx(data, seed=42):
     return xxhash.xxh64(data, seed=seed).intdigest()
 
 
-def slow_sketch(text):
-    """The sketch with Spark's hash functions said in Python: a run of longs is hashed one by one, as seeds."""
+def slow_grams(text):
+    """Shingle hashes with Spark's hash functions said in Python: a run of longs is hashed one by one, as seeds."""
     words = text.lower().split()
     if not words:
         return []
@@ -23,7 +24,12 @@ def slow_sketch(text):
         for x in h[i:i + sketch.SHINGLE]:
             seed = xx(np.uint64(x).tobytes(), seed)
         grams.append(seed >> 16)
-    return sorted({g for g in grams if g < 2**48 // sketch.PART} | {min(grams)})
+    return grams
+
+
+def slow_sketch(text):
+    grams = slow_grams(text)
+    return sorted({g for g in grams if g < 2**48 // sketch.PART} | {min(grams)}) if grams else []
 
 
 def likeness(a, b):
@@ -61,3 +67,12 @@ def test_odd_rows(spark):
     assert sketch.compare(empty_docs(spark)).count() == 0
     one = sketch.compare(docs.where("doc_id = 4").limit(1)).first()
     assert one["near_next"] == 1.0  # the only document follows itself
+
+
+def test_sketches_merge(spark):
+    texts = ["one two", "a b c d e", "", " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(30, 200)), "x"]
+    rows = [(a, b) for a in texts for b in texts]
+    frame = sketch.with_sketch(sketch.with_sketch(spark.createDataFrame(rows, "a string, b string"), "a", "sa"), "b", "sb")
+    for r in frame.select("a", "b", sketch.merged(F.col("sa"), F.col("sb")).alias("m")).collect():
+        every = sorted({g for t in (r["a"], r["b"]) for g in slow_grams(t)})
+        assert r["m"] == ([g for g in every if g < sketch.LIMIT] or every[:1])

@@ -1,10 +1,12 @@
 """Document fingerprints: threshold-scaled sketches of word shingles (operator 6, native).
 
 A sketch holds every shingle hash below a fixed part of the hash space, so the
-sketch of a union is the union of sketches, and the shares that two sketches
-have in common estimate likeness and containment however unequal the texts
-are. So that no text with a word has an empty sketch, its smallest hash is
-always kept. Words are lower-cased; a shingle is SHINGLE words, a text with
+shares that two sketches have in common estimate likeness and containment
+however unequal the texts are. So that no text with a word has an empty sketch,
+the smallest hash of a text without any below the threshold is kept; it alone
+lies above. The sketch of a union of texts' shingles is thus the union of their
+sketches without such hashes, or the smallest if there are no others
+(:func:`merged`). Words are lower-cased; a shingle is SHINGLE words, a text with
 fewer words is one shingle.
 
 A fingerprint is the sketch's hashes in order, 12 hexadecimal digits each.
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from textlab.llm.common import in_order
 
 SHINGLE, PART, BITS = 5, 4, 48
+#: Hashes below are kept.
+LIMIT = (1 << BITS) // PART
 _SPACE = " \t\n\x0b\f\r"
 
 
@@ -37,7 +41,7 @@ def with_sketch(df: DataFrame, text: str, name: str) -> DataFrame:
     out = out.withColumn(grams, F.when(F.length(F.btrim(F.col(text), F.lit(_SPACE))) == 0, F.array().cast("array<bigint>"))
                          .when(F.size(hashes) < SHINGLE, F.array(F.shiftrightunsigned(F.xxhash64(hashes), 64 - BITS)))
                          .otherwise(run))
-    kept = F.filter(grams, lambda g: g < F.lit((1 << BITS) // PART))
+    kept = F.filter(grams, lambda g: g < F.lit(LIMIT))
     least = F.when(F.size(grams) > 0, F.array(F.array_min(grams))).otherwise(F.array().cast("array<bigint>"))
     return out.withColumn(name, F.sort_array(F.array_distinct(F.concat(kept, least)))).drop(words, hashes, grams)
 
@@ -52,6 +56,13 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The sketch of all shingles of two texts from their sketches."""
+    both = F.array_sort(F.array_union(a, b))
+    below = F.filter(both, lambda h: h < F.lit(LIMIT))
+    return F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Shares of a's shingles that are in b."""
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
