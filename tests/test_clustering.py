@@ -252,8 +252,8 @@ def _leaves_by_copying(pdf: pd.DataFrame, mcs: int) -> pd.DataFrame:
     return pd.DataFrame({"id": ids, "cluster": label.astype(np.int32)})
 
 
-@pytest.mark.parametrize("seed,band", [(7, 45), (8, 60), (9, 1000)])
-def test_banded_leaves_match_reference(spark, seed, band):
+@pytest.mark.parametrize("seed,walk", [(7, 0), (8, 0), (9, 1000)])
+def test_leaves_match_reference(spark, seed, walk):
     rng = np.random.default_rng(seed)
     n = 120
     # random tree with repeated weights (ties exercise multiway levels)
@@ -263,7 +263,7 @@ def test_banded_leaves_match_reference(spark, seed, band):
     pdf = pd.DataFrame({"u": u.astype(np.int64), "v": v.astype(np.int64), "w": w})
     want = _leaves_by_copying(pdf, 10)
     edges = spark.createDataFrame(pdf)
-    got = density.leaf_clusters(edges, 10, band_edges=band).toPandas()
+    got = density.leaf_clusters(edges, 10, walk_edges=walk).toPandas()
     m = want.merge(got, on="id", suffixes=("_want", "_got"))
     assert len(m) == n
     assert (m["cluster_want"] == m["cluster_got"]).all()
@@ -314,3 +314,45 @@ def test_kmeans_does_not_depend_on_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1]
+
+
+def _clustered(rng, centres, each, spread, d=3):
+    return np.concatenate([c + spread * rng.normal(size=(each, d)) for c in rng.uniform(-100, 100, (centres, d))])
+
+
+def test_neighbours_visit_few_blocks_of_clustered_points(spark):
+    x = np.concatenate([_clustered(np.random.default_rng(4), 24, 50, 1.0), np.zeros((40, 3))])
+    n, seen = len(x), spark.sparkContext.accumulator(0)
+    got = density.knn(_points(spark, x), 4, n, block_rows=50, evaluations=seen).collect()
+    assert len(got) == 4 * n and seen.value < n * n / 4
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    order = np.stack([np.lexsort((np.arange(n), row)) for row in d])
+    assert all(r["nbr"] == order[r["id"], r["rank"] - 1] for r in got)
+
+
+def test_tree_of_clustered_points_searches_few_blocks(spark, monkeypatch):
+    x = _clustered(np.random.default_rng(5), 12, 50, 1.0)
+    n, pts, seen = len(x), _points(spark, x), spark.sparkContext.accumulator(0)
+    core = density.core_distances(pts, 5, n, block_rows=50).checkpoint()
+    rounds = []
+    out_edges = density.cells.out_edges
+    monkeypatch.setattr(density.cells, "out_edges", lambda *a: rounds.append(1) or out_edges(*a))
+    edges = density.mst(pts, core, n, block_rows=50, evaluations=seen).collect()
+    assert len(edges) == n - 1 and seen.value < len(rounds) * n * n / 3
+    one = density.mst(pts, core, n).toPandas()
+    assert sum(e["w"] for e in edges) == pytest.approx(one["w"].sum())
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_contracted_leaves_of_one_weight_and_of_weights(spark, monkeypatch, few):
+    monkeypatch.setattr(density, "FEW", few)
+    lattice = pd.DataFrame({"u": np.arange(90), "v": np.arange(1, 91), "w": 1.0})
+    assert {r["cluster"] for r in density.leaf_clusters(spark.createDataFrame(lattice), 10, walk_edges=0).collect()} == {-1}
+    rng = np.random.default_rng(12)
+    n = 60
+    tree = pd.DataFrame({"u": np.arange(1, n), "v": [int(rng.integers(0, i)) for i in range(1, n)],
+                         "w": rng.integers(1, 9, n - 1).astype(float)})
+    edges, weights = spark.createDataFrame(tree), spark.createDataFrame([(i, 1 + i % 4) for i in range(n)], "id long, n long")
+    a, b = ({r["id"]: r["cluster"] for r in density.leaf_clusters(edges, 12, walk, weights).collect()} for walk in (0, 1000))
+    assert a == b and max(a.values()) > 0

@@ -134,3 +134,16 @@ def test_gazetteer_entities(spark):
     gaz = spark.createDataFrame([("car", "VEHICLE"), ("run", "ACTION")], "phrase string, type string")
     got = sorted((r["ord"], r["text"], r["type"]) for r in annotate.gazetteer_entities(toks, gaz).collect())
     assert got == [(1, "run", "ACTION"), (3, "car", "VEHICLE")]
+
+
+def test_gazetteer_phrases_of_any_length(spark):
+    words = "the old red car of the old man in the small town by the old red sea wall".split()
+    toks = spark.createDataFrame([(1, s, i + 1, w, "X", 0, "x") for s in (0, 1) for i, w in enumerate(words)],
+                                 annotate.PARSE_SCHEMA)
+    phrases = [" ".join(words[a:b]) for a, b in ((0, 1), (0, 3), (1, 3), (4, 11), (0, 17), (2, 14))] + ["the old blue", "", "sea  wall"]
+    gaz = spark.createDataFrame([(p, "P") for p in phrases] + [("car", "A"), ("car", "B")], "phrase string, type string")
+    got = sorted((r["sent_id"], r["word_id"], r["text"], r["type"]) for r in annotate.gazetteer_entities(toks, gaz).collect())
+    want = [(s, i + 1, p, "P") for s in (0, 1) for p in phrases for i in range(len(words))
+            if p and words[i:i + len(p.split(" "))] == p.split(" ")]
+    assert got == sorted(want + [(s, 4, "car", t) for s in (0, 1) for t in "AB"])
+    assert annotate.gazetteer_entities(toks, gaz.limit(0)).count() == 0

@@ -101,3 +101,17 @@ def test_min_freq_and_specials(docs):
     s = VocabSettings(min_freq=2)
     words = {r["word"]: r["id"] for r in vocab.build_vocab(vocab.tokens(d), s).collect()}
     assert words == {"[PAD]": 0, "[UNK]": 1, "a": 2}
+
+
+def test_ranking_with_far_ords_and_a_small_cap(spark):
+    from dataclasses import replace
+
+    from textlab.config import DEFAULTS
+
+    rows = [(0, "b a c"), (1, "a b d e"), (2, "f g a"), (3, "h i j k")]
+    far = [((1 << 61) + i if i else -(1 << 61), t) for i, t in rows]
+    for docs, cap in ((rows, 6), (far, 6), (rows, 100), (far, 100)):
+        frame = spark.createDataFrame(docs, "ord bigint, text string")
+        got = vocab.build_vocab(vocab.tokens(frame), replace(DEFAULTS.vocab, max_size=cap))
+        words = [r["word"] for r in got.orderBy("id").collect()]
+        assert words[2:] == "a b c d e f g h i j k".split()[:cap - 2]

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, VocabSettings
 from textlab.functions.text import token_array
 from textlab.operators.common import broadcast_measured, cut_lineage, with_ordinal
 
-# A first occurrence (ord, pos) as one decimal: exact for any 64-bit ord and any
-# int pos, and (unlike a struct) a minimum that stays on the hash aggregate.
-_POSITIONS = 1 << 31
+# A first occurrence (ord, pos) as one number: a long where positions have POS_BITS bits and ords fit in the
+# rest, else a decimal (exact for any 64-bit ord and any int pos, but slower to aggregate).
+POS_BITS = 20
 
 
 def tokens(docs: DataFrame, cjk: bool = False, keep_empty: bool = False, first: int | None = None) -> DataFrame:
@@ -63,19 +63,33 @@ def build_vocab(toks: DataFrame, settings: VocabSettings = DEFAULTS.vocab) -> Da
 
     Words with ``cnt >= min_freq`` ranked by count desc, ties by first
     occurrence ``(ord, pos)``; ids from 2; at most ``max_size`` rows including
-    ``[PAD]``=0 and ``[UNK]``=1 (cnt NULL). The ranking is a distributed range
-    sort with partition offsets, so no single task sees all distinct tokens.
+    ``[PAD]``=0 and ``[UNK]``=1 (cnt NULL). A histogram of the counts (as many
+    rows as there are different counts) gives the least count that can enter the
+    cap; only words that reach it are ranked, by a distributed range sort with
+    partition offsets, so no single task sees all distinct tokens.
     The result is checkpointed (it is small and reused by every encoding join).
     """
-    first = (F.col("ord").cast("decimal(20,0)") * F.lit(_POSITIONS).cast("decimal(11,0)")
-             + F.col("pos").cast("decimal(11,0)")).cast("decimal(38,0)")
-    stats = toks.where(F.col("token").isNotNull()).groupBy("token").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.min(first).alias("first"),
-    ).where(F.col("cnt") >= settings.min_freq)
-    stats = stats.where(~F.col("token").isin(settings.pad_token, settings.unk_token))
-    ranked = with_ordinal(stats, [F.col("cnt").desc(), F.col("first"), F.col("token")], name="rn")
     cap = settings.max_size - 2
+    own = toks.where(F.col("token").isNotNull() & ~F.col("token").isin(settings.pad_token, settings.unk_token))
+
+    def stats_with(first) -> DataFrame:
+        return cut_lineage(own.groupBy("token").agg(
+            F.count(F.lit(1)).alias("cnt"), F.min(first).alias("first"), F.max("pos").alias("pos"),
+            F.min("ord").alias("low"), F.max("ord").alias("high")).where(F.col("cnt") >= settings.min_freq))
+
+    stats = stats_with(F.shiftleft(F.col("ord").cast("bigint"), POS_BITS) + F.col("pos"))
+    most, low, high = stats.agg(F.max("pos"), F.min("low"), F.max("high")).first()
+    bound = 1 << (62 - POS_BITS)
+    if most is not None and (most >= 1 << POS_BITS or low < -bound or high >= bound):
+        stats = stats_with(F.col("ord").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)")
+                           + F.col("pos").cast("decimal(11,0)"))
+    # the least count that can enter the cap, from the number of words of each count
+    above = Window.orderBy(F.col("cnt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = stats.groupBy("cnt").agg(F.count(F.lit(1)).alias("words")) \
+        .withColumn("before", F.coalesce(F.sum("words").over(above), F.lit(0))).where(F.col("before") < cap) \
+        .agg(F.min("cnt")).first()[0] or 0
+    ranked = with_ordinal(stats.where(F.col("cnt") >= least), [F.col("cnt").desc(), F.col("first"), F.col("token")],
+                          name="rn")
     words = ranked.where(F.col("rn") <= cap).select(
         F.col("token").alias("word"), (F.col("rn") + 1).alias("id"), F.col("cnt"))
     spark = toks.sparkSession

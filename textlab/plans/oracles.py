@@ -213,7 +213,7 @@ ORACLES["sentence_vectors"] = f"""WITH {VEC_CTE}
 SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round(m / nr, 6) AS value FROM full_ JOIN nrm USING (ord)"""
 
 ORACLES["sentence_vectors_300"] = f"""WITH {VEC_CTE.replace(
-    "SELECT range AS j FROM range(8)", "SELECT range AS j FROM range(300) WHERE range < 2 OR range > 297")}
+    "SELECT range AS j FROM range(8)", "SELECT range AS j FROM range(300)")}
 SELECT ord AS doc_id, j::INTEGER AS j, round(m * 0.987654321, 6) AS value FROM full_"""
 ORACLES["encoded_texts"] = f"""WITH {TOKENS_CTE},
 h AS (SELECT ord, md5(token) AS h FROM t WHERE pos < 64),
@@ -303,10 +303,12 @@ e AS (SELECT ord, count(*)::INTEGER AS n, string_agg(text, '|' ORDER BY sent_id,
 SELECT d.doc_id, coalesce(e.n, 0) AS n_entities, coalesce(e.s, '') AS entities
 FROM documents d LEFT JOIN e ON e.ord = d.doc_id"""
 ORACLES["gazetteer_entities"] = f"""WITH {PARSE_CTE},
-pr AS (SELECT a.ord, a.sent_id, a.word_id, a.upos || b.upos AS tags, a.text || ' ' || b.text AS text
-       FROM tk a JOIN tk b ON a.ord = b.ord AND a.sent_id = b.sent_id AND b.word_id = a.word_id + 1),
-g AS (SELECT DISTINCT text FROM pr WHERE sent_id = 0 AND tags = 'PROPNNOUN')
-SELECT ord AS doc_id, sent_id, word_id, text, 'PAIR' AS type FROM pr JOIN g USING (text)"""
+se AS (SELECT ord, sent_id, list(text ORDER BY word_id) AS ws, list(word_id ORDER BY word_id) AS ids FROM tk GROUP BY 1, 2),
+g AS (SELECT DISTINCT array_to_string(ws[1:n], ' ') AS text, n
+      FROM (SELECT *, 1 + (ord * 7 + sent_id) % 12 AS n FROM se) WHERE len(ws) >= n),
+runs AS (SELECT ord, sent_id, ids[i] AS word_id, n, array_to_string(ws[i:i + n - 1], ' ') AS text
+         FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM se, (SELECT DISTINCT n FROM g) WHERE len(ws) >= n))
+SELECT ord AS doc_id, sent_id, word_id, text, 'PHRASE' AS type FROM runs JOIN g USING (n, text)"""
 
 # ---------------------------------------------------------------- clustering
 CENTRES_CTE = """e AS (SELECT vec_id AS id, label AS cluster, embedding::DOUBLE[] AS v FROM embeddings),
