@@ -344,9 +344,21 @@ def test_tree_of_clustered_points_searches_few_blocks(spark, monkeypatch):
     assert sum(e["w"] for e in edges) == pytest.approx(one["w"].sum())
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_contracted_leaves_of_one_weight_and_of_weights(spark, monkeypatch, few):
-    monkeypatch.setattr(density, "FEW", few)
+def test_hooks_and_joins_of_many_rows_equal_those_of_few(spark, monkeypatch):
+    hooks = spark.createDataFrame([(i, i - 1) for i in range(1, 9)] + [(0, 1), (20, 21), (21, 20), (22, 20), (30, 99)],
+                                  "comp long, to long")
+    left = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, k long")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    got = []
+    for few in (20_000, 0):
+        monkeypatch.setattr(density, "FEW", few)
+        roots = {r["comp"]: r["parent"] for r in density.roots_of(hooks).collect()}
+        joined = density.spread_join(left, right, "k", density.F.xxhash64("id")).select("id", "k", "v")
+        got.append((roots, sorted(map(tuple, joined.collect()), key=str)))
+    assert got[0] == got[1] and got[0][0] == {**dict.fromkeys(range(9), 0), 20: 20, 21: 20, 22: 20, 30: 99}
+
+
+def test_contracted_leaves_of_one_weight_and_of_weights(spark):
     lattice = pd.DataFrame({"u": np.arange(90), "v": np.arange(1, 91), "w": 1.0})
     assert {r["cluster"] for r in density.leaf_clusters(spark.createDataFrame(lattice), 10, walk_edges=0).collect()} == {-1}
     rng = np.random.default_rng(12)
