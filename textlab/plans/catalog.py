@@ -258,7 +258,8 @@ def q_sentence_vectors_300(spark, sf_dir):
     wv = synthetic.derived_word_vectors(v.where(F.col("id") >= 2), 300)
     sv = vectors.sentence_vectors(docs, v, wv, 300, normalize=False)
     each = _doc(sv.select("ord", F.posexplode("vec").alias("j", "value")))
-    return each.select("doc_id", "j", F.round(F.col("value") * 0.987654321, 6).alias("value"))
+    value = F.round(F.col("value") * 0.987654321, 6)
+    return each.select("doc_id", "j", F.when(value == 0, F.lit(0.0)).otherwise(value).alias("value"))  # no -0.0
 
 
 @register("vector_coverage")

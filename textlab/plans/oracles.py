@@ -214,7 +214,8 @@ SELECT full_.ord AS doc_id, full_.j::INTEGER AS j, round(m / nr, 6) AS value FRO
 
 ORACLES["sentence_vectors_300"] = f"""WITH {VEC_CTE.replace(
     "SELECT range AS j FROM range(8)", "SELECT range AS j FROM range(300)")}
-SELECT ord AS doc_id, j::INTEGER AS j, round(m * 0.987654321, 6) AS value FROM full_"""
+SELECT ord AS doc_id, j::INTEGER AS j, CASE WHEN round(m * 0.987654321, 6) = 0 THEN 0.0::DOUBLE
+       ELSE round(m * 0.987654321, 6) END AS value FROM full_"""
 ORACLES["encoded_texts"] = f"""WITH {TOKENS_CTE},
 h AS (SELECT ord, md5(token) AS h FROM t WHERE pos < 64),
 n AS (SELECT ord, count(*) AS n FROM h GROUP BY ord),
