@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlab.operators import classify, cluster, vectors
+from textlab.operators import classify, cluster, minibatch, vectors
 from textlab.operators.common import cut_lineage
 from textlab.session import scratch_path
 
@@ -65,3 +65,44 @@ def run_online(spark: SparkSession, source: str, schema: str, key: str, text: st
 
 def read_online(spark: SparkSession, out_path: str) -> DataFrame:
     return spark.read.parquet(f"{out_path}/data").drop("batch_id")
+
+
+def learn_centres(spark: SparkSession, source: str, schema: str, key: str, vec: str, k: int | None = None,
+                  state: str | None = None, checkpoint: str | None = None, first: minibatch.Centres | None = None,
+                  max_files: int | None = None) -> str:
+    """Mini-batch k-means (C3) over vectors that arrive in ``source``: each micro-batch moves the centres once.
+
+    The centres after a micro-batch are written under its number, and a micro-batch starts from those of the
+    number before it, so one that is run again after a loss counts once. Without ``first`` centres, the first
+    micro-batch with at least two vectors also gives the start. Returns the folder, for :func:`read_centres`.
+    """
+    state = state or scratch_path(spark, "centres")
+    checkpoint = checkpoint or scratch_path(spark, "centres-ckpt")
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(source).select(F.col(key).cast("bigint").alias("id"), F.col(vec).alias("vec"))
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        before = read_centres(spark, state, before=batch_id) or first
+        now = before or minibatch.start(batch, k)
+        if now is not None:
+            minibatch.learn(now, batch).table(spark).coalesce(1) \
+                .write.mode("overwrite").parquet(f"{state}/batch_id={batch_id}")
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return state
+
+
+def read_centres(spark: SparkSession, state: str, before: int | None = None) -> minibatch.Centres | None:
+    """Centres after the last micro-batch written (under number ``before``); None where there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    written = [int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(root)
+               if f.isDirectory() and f.getPath().getName().startswith("batch_id=")
+               and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    last = max((b for b in written if before is None or b < before), default=None)
+    return None if last is None else minibatch.Centres.of(spark.read.parquet(f"{state}/batch_id={last}"))
