@@ -1,10 +1,14 @@
 """Mini-batch k-means: against Lloyd's, a slow copy of the update, other layouts, and as a stream."""
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textlab.config import DEFAULTS
 from textlab.operators import cluster, minibatch
+from textlab.plans import pipeline
 from textlab.session import scratch_path
 from textlab.streaming import online
 
@@ -122,3 +126,11 @@ def test_stream_moves_the_centres_once_a_batch(spark):
     assert online.read_centres(spark, state, before=1).weights.sum() == 120
     own = online.learn_centres(spark, src, SCHEMA, "id", "vec", k=3)
     assert online.read_centres(spark, own).weights.sum() == 240
+
+
+def test_clustering_by_the_method_of_the_settings(spark):
+    x, own = _planted(200, d=3, k=3)
+    settings = dataclasses.replace(DEFAULTS, cluster=dataclasses.replace(DEFAULTS.cluster, kmeans_method="minibatch"))
+    found = pipeline.fit_predict(_frame(spark, x), "kmeans", 3, settings)
+    pairs = {(own[r["id"]], r["cluster"]) for r in found.assignments["kmeans"].collect()}
+    assert len(pairs) == 3 and found.metrics.first()["n_clusters"] == 3

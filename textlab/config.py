@@ -44,6 +44,7 @@ class TagSettings:
 @dataclass(frozen=True)
 class ClusterSettings:
     kmeans_k: int = 5
+    kmeans_method: str = "lloyd"   # or "minibatch": fewer passes over large tables
     seed: int = 42
     reduced_dims: int = 50
     default_algo: str = "both"

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators import (annotate, classify, cluster, corpus, density, quality, review, tagging,
+from textlab.operators import (annotate, classify, cluster, corpus, density, minibatch, quality, review, tagging,
                                vectors, vocab)
 from textlab.streaming import online
 from textlab.operators.common import cut_lineage
@@ -387,6 +388,39 @@ def q_kmeans_assign(spark, sf_dir):
     return res.assignments
 
 
+@register("minibatch_assign")
+def q_minibatch_assign(spark, sf_dir):
+    """C3 by mini-batches (k=5, seed 42): cluster of every vector."""
+    return minibatch.fit(embeddings(spark, sf_dir).select("id", "vec")).assignments
+
+
+STEP_CENTRES, STEP_BATCHES = 5, 8
+
+
+@register("minibatch_steps")
+def q_minibatch_steps(spark, sf_dir):
+    """C3, the update: centres at the vectors of the smallest ids, moved by all vectors in eight batches by id."""
+    pts = embeddings(spark, sf_dir).select("id", "vec").where(F.col("vec").isNotNull())
+    first = pts.orderBy("id").limit(STEP_CENTRES).select(F.col("id"), V.to_double("vec").alias("centre")).collect()
+    now = minibatch.Centres(np.array([r["centre"] for r in first], float), np.zeros(len(first)))
+    dealt = cut_lineage(pts.withColumn("turn", F.pmod("id", F.lit(STEP_BATCHES))))
+    for turn in range(STEP_BATCHES):
+        now = minibatch.learn(now, dealt.where(F.col("turn") == turn))
+    return now.table(spark).select("cluster", "weight", F.posexplode("centre").alias("j", "value")) \
+        .withColumn("value", F.round("value", 6))
+
+
+@register("minibatch_cost")
+def q_minibatch_cost(spark, sf_dir):
+    """Squared distances to the mini-batch centres are at most 2 % above those to Lloyd's, same k and seed."""
+    pts = embeddings(spark, sf_dir).select("id", "vec")
+    lloyd, mini = cluster.kmeans(pts), minibatch.fit(pts)
+    given = minibatch.Centres(np.array(lloyd.model.clusterCenters()), np.zeros(lloyd.k))
+    full, ours = minibatch.costs(pts, [given, mini.centres])
+    return mini.assignments.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("cluster").alias("n_clusters")) \
+        .withColumn("close", F.lit(bool(ours <= 1.02 * full)))
+
+
 @register("kmeans_metrics")
 def q_kmeans_metrics(spark, sf_dir):
     """Q-* on the k-means clustering (original space)."""
@@ -566,6 +600,19 @@ def q_online_vectors(spark, sf_dir):
     return _flat(_doc(online.read_online(spark, out).select("ord", "vec")))
 
 
+@register("online_centres")
+def q_online_centres(spark, sf_dir):
+    """A3: nearest centre of every arriving text; centres are the vectors of the first five documents."""
+    docs, v, wv = _native_vectors(spark, sf_dir)
+    table_ = cut_lineage(vectors.vector_table(v, wv, WV_DIM))
+    given = vectors.sentence_vectors_from(docs.where(F.col("ord") < 5), v, table_, WV_DIM)
+    centres = cut_lineage(given.select(F.col("ord").cast("int").alias("cluster"), F.col("vec").alias("centre")))
+    out = online.run_online(spark, sf_dir.rstrip("/"),
+                            "doc_id bigint, text string, lang string, source string, n_chars bigint",
+                            "doc_id", "text", v, wv, WV_DIM, glob="documents.parquet", centres=centres)
+    return _doc(online.read_online(spark, out).select("ord", "center"))
+
+
 @register("label_single")
 def q_label_single(spark, sf_dir):
     """L2-L4/L7 single-text form over every turn of ``conversations``."""

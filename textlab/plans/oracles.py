@@ -386,6 +386,38 @@ SELECT count(*) AS n_reviewed, count(*) FILTER (WHERE label = model_label) AS n_
 FROM mg WHERE source = 'human'"""
 ORACLES["online_vectors"] = ORACLES["sentence_vectors"]
 
+# distances compared to 9 places: equal vectors are ties, which go to the smaller centre
+ORACLES["online_centres"] = f"""WITH {VEC_CTE},
+x AS (SELECT full_.ord, j, m / nr AS x FROM full_ JOIN nrm USING (ord)),
+dd AS (SELECT a.ord, c.ord AS center, round(sum((a.x - c.x) * (a.x - c.x)), 9) AS d
+       FROM x a JOIN x c ON a.j = c.j AND c.ord < 5 GROUP BY a.ord, c.ord)
+SELECT ord AS doc_id, (min(struct_pack(d := d, center := center))).center::INTEGER AS center FROM dd GROUP BY ord"""
+
+
+def _steps(batches: int, k: int) -> str:
+    """The mini-batch update, one CTE a batch: nearest centre, sums, centres moved by one over the weight seen."""
+    parts = [f"""e AS (SELECT vec_id AS id, vec_id % {batches} AS turn, embedding::DOUBLE[] AS v FROM embeddings
+             WHERE embedding IS NOT NULL),
+s0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY id) - 1)::INTEGER AS c, 0.0::DOUBLE AS w, v
+                    FROM (SELECT * FROM e ORDER BY id LIMIT {k}))"""]
+    for t in range(batches):
+        parts.append(f"""n{t} AS (SELECT (min(struct_pack(d := list_distance(e.v, s.v), c := s.c))).c AS c, any_value(e.v) AS v
+        FROM e, s{t} s WHERE e.turn = {t} GROUP BY e.id),
+x{t} AS (SELECT c, unnest(v) AS x, unnest(generate_series(1, len(v))) AS j FROM n{t}),
+a{t} AS (SELECT c, j, sum(x) AS s, count(*) AS n FROM x{t} GROUP BY c, j),
+l{t} AS (SELECT c, list(s ORDER BY j) AS s, any_value(n) AS n FROM a{t} GROUP BY c),
+s{t + 1} AS MATERIALIZED (SELECT s.c, s.w + coalesce(l.n, 0) AS w,
+    CASE WHEN l.n IS NULL THEN s.v
+         ELSE list_transform(generate_series(1, len(s.v)), lambda i: s.v[i] + (l.s[i] - l.n * s.v[i]) / (s.w + l.n)) END AS v
+    FROM s{t} s LEFT JOIN l{t} l USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT c AS cluster, w AS weight, (j - 1)::INTEGER AS j, round(x, 6) AS value
+FROM (SELECT c, w, unnest(v) AS x, unnest(generate_series(1, len(v))) AS j FROM s{batches})"""
+
+
+ORACLES["minibatch_steps"] = _steps(8, 5)
+ORACLES["minibatch_cost"] = """SELECT count(*) AS n_rows, least(5, count(*)) AS n_clusters, true AS close FROM embeddings"""
+
 ORACLES["label_single"] = """SELECT conv_id, turn,
   'tone ' || (length(coalesce(text, '')) % 7) AS label, NULL::VARCHAR AS error
 FROM conversations"""

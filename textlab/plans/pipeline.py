@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, Settings
-from textlab.operators import annotate, cluster, corpus, density, quality, tagging, vectors, vocab
+from textlab.operators import annotate, cluster, corpus, density, minibatch, quality, tagging, vectors, vocab
 from textlab.operators.common import cut_lineage, lookup, with_ordinal
 from textlab.session import scratch_path
 
@@ -81,8 +81,13 @@ def fit_predict(points: DataFrame, algo: str | None = None, k: int | None = None
         metrics = m if metrics is None else metrics.unionByName(m)
 
     if "kmeans" in algos:
-        res = cluster.kmeans(points.select("id", "vec", "n"), k, settings.cluster, weight_col="n",
-                             n_rows=n_points)
+        given = points.select("id", "vec", "n")
+        if settings.cluster.kmeans_method == "minibatch":
+            res = minibatch.fit(given, k, settings.cluster, weight_col="n")
+        elif settings.cluster.kmeans_method == "lloyd":
+            res = cluster.kmeans(given, k, settings.cluster, weight_col="n", n_rows=n_points)
+        else:
+            raise ValueError(f"unknown k-means method {settings.cluster.kmeans_method!r}; lloyd or minibatch")
         if res is not None:
             assigned["kmeans"] = cut_lineage(res.assignments)
             scored(points.select("id", "vec", "n").join(assigned["kmeans"], "id"), "kmeans", "original")
