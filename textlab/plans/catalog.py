@@ -613,6 +613,21 @@ def q_online_centres(spark, sf_dir):
     return _doc(online.read_online(spark, out).select("ord", "center"))
 
 
+@register("online_reuse")
+def q_online_reuse(spark, sf_dir):
+    """A3: turns of ``conversations`` arrive in four files; how many get a label, how many texts were labelled."""
+    source, store = scratch_path(spark, "turns"), scratch_path(spark, "turn-labels")
+    conv = table(spark, sf_dir, "conversations")
+    conv.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("ord"), "text") \
+        .repartition(4, "ord").write.option("maxRecordsPerFile", 0).parquet(source)
+    out = online.run_reusing(spark, source, "ord bigint, text string", "ord", "text", tagging.label_each,
+                             store=store, max_files=1)
+    made = spark.read.parquet(store).groupBy("label").agg(F.count(F.lit(1)).alias("n_made"))
+    rows = online.read_online(spark, out).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return rows.join(made, rows["label"].eqNullSafe(made["label"]), "left") \
+        .select(rows["label"], "n_rows", F.coalesce("n_made", F.lit(0)).cast("bigint").alias("n_made"))
+
+
 @register("label_single")
 def q_label_single(spark, sf_dir):
     """L2-L4/L7 single-text form over every turn of ``conversations``."""

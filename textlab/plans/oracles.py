@@ -393,6 +393,9 @@ dd AS (SELECT a.ord, c.ord AS center, round(sum((a.x - c.x) * (a.x - c.x)), 9) A
        FROM x a JOIN x c ON a.j = c.j AND c.ord < 5 GROUP BY a.ord, c.ord)
 SELECT ord AS doc_id, (min(struct_pack(d := d, center := center))).center::INTEGER AS center FROM dd GROUP BY ord"""
 
+ORACLES["online_reuse"] = """SELECT CASE WHEN text IS NOT NULL THEN 'tone ' || (length(text) % 7) END AS label,
+  count(*) AS n_rows, count(DISTINCT text) AS n_made FROM conversations GROUP BY 1"""
+
 
 def _steps(batches: int, k: int) -> str:
     """The mini-batch update, one CTE a batch: nearest centre, sums, centres moved by one over the weight seen."""
