@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +36,144 @@ def _order_key(df: DataFrame) -> DataFrame:
         .drop("_file", "_block", "_pos", "_first", "_start")
 
 
-def read_table(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+_CSV = {"multiLine": True, "escape": '"'}
+# Outside quoted fields a quote stands next to a separator, an end or another quote; pairs are reduced to one first.
+_STRAY = '[^",]"|"[^",]'
+
+
+def _split_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row a file split: is its number of quotes odd, and how many records start
+    in it if it starts outside (``_even``) or inside (``_odd``) a quoted field."""
+    seen: dict[tuple, list[int]] = {}
+    for pdf in batches:
+        for key, part in pdf.groupby(["_file", "_block"], sort=False):
+            state = seen.setdefault(key, [0, 0, 0])
+            quote = part["_quote"].to_numpy(dtype=np.int64)
+            full = ~part["_blank"].to_numpy(dtype=bool)
+            inside = (state[0] + np.cumsum(quote) - quote) % 2 == 1
+            state[0] = int(state[0] + quote.sum()) % 2
+            state[1] += int((full & ~inside).sum())
+            state[2] += int((full & inside).sum())
+    yield pd.DataFrame([(*key, *counts) for key, counts in seen.items()],
+                       columns=["_file", "_block", "_flips", "_even", "_odd"])
+
+
+def _assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of splits, in order, to records ``(_s, _seq, _at, _whole, record)``.
+
+    A record that goes on in later splits comes in pieces under the split and number where it
+    starts; ``_at`` is the piece's own split. Holds the lines of one open record besides a batch.
+    """
+    split, inside, seq, held, owner = None, 0, 0, [], None
+    out: list[tuple] = []
+
+    def leave() -> None:
+        if held:
+            out.append((*(owner or (split, seq)), split, False, "\n".join(held)))
+            held.clear()
+
+    for pdf in batches:
+        for s, part in pdf.groupby("_s", sort=False):
+            if s != split:
+                leave()
+                split, inside, seq = s, int(part["_inside"].iloc[0]), 0
+                owner = (int(part["_owner"].iloc[0]), int(part["_owner_seq"].iloc[0])) if inside else None
+            quote = part["_quote"].to_numpy(dtype=np.int64)
+            after = (inside + np.cumsum(quote)) % 2
+            lines = part["value"].to_numpy()
+            begin = 0
+            for end in np.flatnonzero(after == 0) + 1:
+                held.extend(lines[begin:end])
+                begin = end
+                if owner is not None:
+                    leave()
+                    owner = None
+                elif len(held) > 1 or held[0] not in ("", "\r"):
+                    out.append((split, seq, split, True, "\n".join(held)))
+                    seq += 1
+                held.clear()
+            held.extend(lines[begin:])
+            inside = int(after[-1])
+        yield pd.DataFrame(out, columns=["_s", "_seq", "_at", "_whole", "record"])
+        out.clear()
+    leave()
+    yield pd.DataFrame(out, columns=["_s", "_seq", "_at", "_whole", "record"])
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files with quoted newlines, each file read by many tasks: its columns and ``ord``.
+
+    Files are read as lines in byte ranges. A line starts a record where the quotes before it in
+    its file are even in number, so a first pass counts the quotes of each range and the second
+    knows how a range begins. A record across ranges is put together from its pieces, of which a
+    range has two at most; records within one are not shuffled. Blank lines between records are skipped, line ends inside quotes
+    are kept. This holds where a quote in a field is doubled and the field quoted; any other record (``5" disk``) is an
+    error, never a wrong row, and such files are read with ``whole_files=True``.
+    """
+    schema = spark.read.csv(path, header=True, inferSchema=False, **_CSV).schema
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.input_file_name().alias("_file"), F.expr("input_file_block_start()").alias("_block"),
+        F.monotonically_increasing_id().alias("_pos"), "value",
+        ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2).alias("_quote"))
+    counts = raw.select("_file", "_block", "_quote", F.col("value").isin("", "\r").alias("_blank")) \
+        .mapInPandas(_split_counts, "_file string, _block bigint, _flips int, _even bigint, _odd bigint")
+
+    # one row a split from here on
+    order = Window.orderBy("_file", "_block")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = counts.withColumn("_inside", F.coalesce(F.sum("_flips").over(in_file), F.lit(0)) % 2) \
+        .withColumn("_n", F.when(F.col("_inside") == 0, F.col("_even")).otherwise(F.col("_odd"))) \
+        .withColumn("_head", ((F.col("_n") > 0) & (F.coalesce(F.sum("_n").over(in_file), F.lit(0)) == 0)).cast("int")) \
+        .withColumn("_s", F.row_number().over(order)) \
+        .withColumn("_start", F.coalesce(F.sum(F.col("_n") - F.col("_head")).over(earlier), F.lit(0)))
+    begun = F.when(F.col("_n") > 0, F.struct("_s", (F.col("_n") - 1).alias("seq")))
+    splits = splits.withColumn("_from", F.last(begun, ignorenulls=True).over(earlier)) \
+        .select("_file", "_block", "_s", "_inside", "_start", "_head",
+                F.col("_from._s").alias("_owner"), F.col("_from.seq").alias("_owner_seq"),
+                ((F.col("_inside") + F.col("_flips")) % 2 + F.col("_inside") > 0).alias("_cut"))
+    splits = cut_lineage(splits)
+
+    def parts(of: DataFrame) -> DataFrame:
+        side = broadcast_measured(of)
+        lines = raw.join(side, ["_file", "_block"])
+        if side is of:   # too many splits to broadcast: the join does not keep the order of lines
+            lines = lines.repartition("_s").sortWithinPartitions("_s", "_pos")
+        return lines.select("_s", "_inside", "_owner", "_owner_seq", "_quote", "value").mapInPandas(
+            _assemble, "_s int, _seq bigint, _at int, _whole boolean, record string")
+
+    records = parts(splits).where("_whole").select("_s", "_seq", "record")
+    if not splits.where("_cut").isEmpty():
+        pieces = parts(splits.where("_cut")).where("NOT _whole").groupBy("_s", "_seq").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "record"))),
+                                     lambda x: x["record"]), "\n").alias("record"))
+        records = records.unionByName(pieces)
+    place = splits.select("_s", "_start", "_head")
+    rows = records.join(broadcast_measured(place), "_s").where(F.col("_seq") >= F.col("_head"))
+    stray = F.regexp_replace("record", '"[^"]*+"', '"').rlike(_STRAY)
+    record = F.when(~stray, F.regexp_replace("record", "\\r\\z", "")).otherwise(F.raise_error(F.lit(
+        f"{path}: a quote inside an unquoted field; read it with whole_files=True")))
+    row = F.from_csv(record, ", ".join(f"`{f.name.replace('`', '``')}` string" for f in schema), _CSV | {"multiLine": "true"})
+    return rows.select(row.alias("_row"), (F.col("_start") + F.col("_seq") - F.col("_head")).alias("ord")).select(
+        *[F.col("_row")[f.name].alias(f.name) for f in schema if f.name != "ord"], "ord")
+
+
+def _is_csv(path: str) -> bool:
+    return os.path.splitext(path.rstrip("/"))[1].lower() == ".csv"
+
+
+def read_table(spark: SparkSession, path: str, multiline: bool = True, whole_files: bool = False) -> DataFrame:
     """Read a CSV (header, quoted newlines, doubled quotes) or Parquet table.
 
     Every CSV column is read as a string (the text is kept as written: no
     number re-formatting). The extension is compared lower-cased; Excel and
-    anything else raise. ``multiline=False`` splits big CSV files across tasks
-    but breaks records whose text holds a newline.
+    anything else raise. Big CSV files are read by many tasks (:func:`csv_records`); ``whole_files``
+    reads each in one, with stray quotes allowed. ``multiline=False`` breaks records whose text holds a newline.
     """
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".csv":
+        if multiline and not whole_files:
+            return csv_records(spark, path).drop("ord")
         return spark.read.csv(path, header=True, multiLine=multiline, escape='"', inferSchema=False)
     if ext in (".parquet", ""):
         return spark.read.parquet(path)
@@ -50,23 +181,24 @@ def read_table(spark: SparkSession, path: str, multiline: bool = True) -> DataFr
 
 
 def read_texts(spark: SparkSession, path: str, column: str = "text", keep_all: bool = False,
-               null_text: str | None = None, multiline: bool = True) -> DataFrame:
+               null_text: str | None = None, multiline: bool = True, whole_files: bool = False) -> DataFrame:
     """``(ord, text[, other columns])`` with ``ord`` the dense file order.
 
     S1 keeps only the text column; S3 (``keep_all``) keeps every column. A
     missing column is an error naming it. NULL stays NULL unless ``null_text``
     (e.g. ``"nan"``) is given.
     """
-    df = read_table(spark, path, multiline)
+    numbered = _is_csv(path) and multiline and not whole_files
+    df = csv_records(spark, path) if numbered else read_table(spark, path, multiline, whole_files)
     if column not in df.columns:
-        raise ValueError(f"column {column!r} not found; columns are {df.columns}")
+        raise ValueError(f"column {column!r} not found; columns are {[c for c in df.columns if c != 'ord']}")
     text = F.col(column).cast("string")
     if null_text is not None:
         text = F.coalesce(text, F.lit(null_text))
     out = df.withColumn("text", text)
     if not keep_all:
-        out = out.select("text")
-    return _order_key(out)
+        out = out.select("text", *["ord"] * numbered)
+    return out if numbered else _order_key(out)
 
 
 def read_word_vectors(spark: SparkSession, path: str, vocab: DataFrame, dim: int = 300) -> DataFrame:
