@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from textlab.config import DEFAULTS, TagSettings
 from textlab.functions.text import strip_keep_null, strip_reasoning
+from textlab.operators import replies as reply_store
 from textlab.operators.common import cut_lineage, with_ordinal
 
 # The label contract's generic polarity words (rejected labels).
@@ -112,40 +113,71 @@ def rule_labeller(batch_id: int, items: list[tuple[int, str]], chat: list[dict])
     return ("<think>1: x</think>" + reply) if batch_id % 2 == 1 else reply
 
 
+class Pace:
+    """Least time between two calls of a task; also before its first one, so that tasks which follow
+    one another on a core keep the pace together."""
+
+    def __init__(self, seconds: float):
+        self.seconds, self.last = seconds, time.monotonic()
+
+    def wait(self) -> None:
+        if self.seconds:
+            time.sleep(max(0.0, self.last + self.seconds - time.monotonic()))
+            self.last = time.monotonic()
+
+
+def _ask(call: Callable[[], str], pace: Pace, retries: int, backoff_s: float = 0.0) -> tuple[str | None, str | None]:
+    """``(reply, error)`` of a call, tried again up to ``retries`` times; each try waits for its turn."""
+    err = None
+    for attempt in range(retries + 1):
+        pace.wait()
+        try:
+            return call(), None
+        except Exception as e:  # noqa: BLE001 - recorded, not raised
+            err = f"{type(e).__name__}: {e}"
+            if backoff_s and attempt < retries:
+                time.sleep(backoff_s * (2 ** attempt))
+    return None, err
+
+
+def _budgeted(rows: DataFrame, pause_s: float, calls_per_s: float | None, width: int) -> tuple[DataFrame, float]:
+    """Rows for the call stage, and the pause of each of its tasks.
+
+    A budget for the whole job needs a number of tasks at once that does not depend on the cluster: the rows
+    are dealt to ``width`` partitions, which share the budget evenly.
+    """
+    if calls_per_s is None:
+        return rows, pause_s
+    if calls_per_s <= 0 or width < 1:
+        raise ValueError(f"calls_per_s and width must be positive, not {calls_per_s} and {width}")
+    return rows.repartition(width), max(pause_s, width / calls_per_s)
+
+
 def call_labeller(prompts: DataFrame, labeller: Labeller = rule_labeller,
-                  retries: int = 2, backoff_s: float = 0.0, pause_s: float = 0.0) -> DataFrame:
+                  retries: int = 2, backoff_s: float = 0.0, pause_s: float = 0.0,
+                  calls_per_s: float | None = None, width: int = 8) -> DataFrame:
     """L3 + L7: ``(batch_id, reply, error)`` - one labeller call per batch row.
 
     The labeller gets the batch's texts and the chat messages made of its
     prompt. Runs as ``mapInPandas`` over Arrow batches of prompt rows; a failing call is
     retried, then recorded in ``error`` with a NULL reply (never as a label).
-    ``pause_s`` is the least time between two calls of a task (rate limit: with
-    t tasks at once, at most t / pause_s calls a second).
+    ``pause_s`` is the least time between two calls of a task. ``calls_per_s`` bounds the calls of the whole
+    stage, retries included, on any number of cores: at most ``width`` calls run at once, and any t
+    seconds see at most ``calls_per_s * t + width`` of them. A task that Spark runs twice at once (speculation) counts twice.
     """
+    todo, pause = _budgeted(prompts.select("batch_id", "items", "prompt"), pause_s, calls_per_s, width)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = [0.0]
+        pace = Pace(pause)
         for pdf in it:
-            replies, errors = [], []
+            asked = []
             for bid, items, prompt in zip(pdf["batch_id"].values, pdf["items"].values, pdf["prompt"].values):
                 pairs = [(int(x["idx"]), x["text"]) for x in items]
-                reply, err = None, None
-                for attempt in range(retries + 1):
-                    if pause_s:
-                        time.sleep(max(0.0, last[0] + pause_s - time.monotonic()))
-                        last[0] = time.monotonic()
-                    try:
-                        reply, err = labeller(int(bid), pairs, messages(prompt)), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - recorded, not raised
-                        err = f"{type(e).__name__}: {e}"
-                        if backoff_s:
-                            time.sleep(backoff_s * (2 ** attempt))
-                replies.append(reply)
-                errors.append(err)
-            yield pd.DataFrame({"batch_id": pdf["batch_id"].values, "reply": replies, "error": errors})
-
-    return prompts.select("batch_id", "items", "prompt").mapInPandas(
-        run, "batch_id bigint, reply string, error string")
+                asked.append(_ask(lambda: labeller(int(bid), pairs, messages(prompt)), pace, retries, backoff_s))
+            yield pd.DataFrame({"batch_id": pdf["batch_id"].values, "reply": [r for r, _ in asked],
+                                "error": [e for _, e in asked]})
+
+    return todo.mapInPandas(run, "batch_id bigint, reply string, error string")
 
 
 SingleLabeller = Callable[[list[dict]], str]
@@ -161,33 +193,26 @@ def rule_single_labeller(messages_: list[dict]) -> str:
 
 
 def label_each(texts: DataFrame, labeller: SingleLabeller = rule_single_labeller,
-               settings: TagSettings = DEFAULTS.tags, retries: int = 2) -> DataFrame:
+               settings: TagSettings = DEFAULTS.tags, retries: int = 2, pause_s: float = 0.0,
+               calls_per_s: float | None = None, width: int = 8) -> DataFrame:
     """Single-text form (L2-L4, L7): ``(ord, label, error)`` - one call per text.
 
     The reply's reasoning block is cut (second piece after the flag); a failed
     call leaves the label NULL and fills ``error`` (never an apology as label).
-    Runs as ``mapInPandas`` over Arrow batches; texts are independent rows.
+    Runs as ``mapInPandas`` over Arrow batches; texts are independent rows. ``pause_s``, ``calls_per_s`` and
+    ``width`` are those of :func:`call_labeller`.
     """
+    todo, pause = _budgeted(texts.select("ord", "text"), pause_s, calls_per_s, width)
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(pause)
         for pdf in it:
-            replies, errors = [], []
-            for t in pdf["text"].values:
-                reply, err = None, None
-                for _ in range(retries + 1):
-                    try:
-                        reply, err = labeller(single_prompt(t or "")), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - recorded, not raised
-                        err = f"{type(e).__name__}: {e}"
-                replies.append(reply)
-                errors.append(err)
-            yield pd.DataFrame({"ord": pdf["ord"].values, "reply": replies, "error": errors})
-
-    out = texts.select("ord", "text").mapInPandas(run, "ord bigint, reply string, error string")
-    return out.select("ord", strip_reasoning("reply", settings.reasoning_flag).alias("label"), "error")
+            asked = [_ask(lambda: labeller(single_prompt(t or "")), pace, retries) for t in pdf["text"].values]
+            yield pd.DataFrame({"ord": pdf["ord"].values, "reply": [r for r, _ in asked],
+                                "error": [e for _, e in asked]})
 
-
-REPLY_SCHEMA = "prompt_key string, reply string, error string, run bigint"
+    out = todo.mapInPandas(run, "ord bigint, reply string, error string")
+    return out.select("ord", strip_reasoning("reply", settings.reasoning_flag).alias("label"), "error")
 
 
 def prompt_key(prompt: str = "prompt") -> F.Column:
@@ -212,23 +237,20 @@ def store_replies(replies_to_run: Callable[[DataFrame], DataFrame], prompts: Dat
     Only prompts without a successful reply under ``path`` are sent to the
     labeller (left anti join), so a rerun repeats no paid call, failed calls
     are tried again, and another corpus on the same path gets no stale reply.
-    Equal prompts are sent once.
+    Equal prompts are sent once. :func:`textlab.operators.replies.compact` keeps the store small.
     """
     spark = prompts.sparkSession
     keyed = prompts.withColumn("prompt_key", prompt_key())
-    stored = read_store(spark, path, REPLY_SCHEMA)
-    done = stored.where(F.col("error").isNull()).select("prompt_key").distinct()
-    last = stored.agg(F.max("run")).first()[0] or 0
+    known = reply_store.stored(spark, path)
+    done = known.where(F.col("error").isNull()).select("prompt_key").distinct()
+    last = known.agg(F.max("run")).first()[0] or 0
     todo = keyed.join(done, "prompt_key", "left_anti")
     once = todo.groupBy("prompt_key").agg(F.min("batch_id").alias("batch_id"))
     new = replies_to_run(todo.join(once.select("batch_id"), "batch_id", "left_semi"))
-    new.join(once, "batch_id").select("prompt_key", "reply", "error", F.lit(last + 1).cast("bigint").alias("run")) \
-       .write.mode("append").parquet(path)
-    # of a prompt's rows the successful one, else the latest failure
-    order = F.struct(F.col("error").isNull().alias("ok"), F.col("run"))
-    best = spark.read.schema(REPLY_SCHEMA).parquet(path).groupBy("prompt_key").agg(
-        F.max_by(F.struct("reply", "error"), order).alias("r"))
-    return keyed.select("batch_id", "prompt_key").join(best, "prompt_key").select("batch_id", "r.reply", "r.error")
+    reply_store.append(new.join(once, "batch_id")
+                       .select("prompt_key", "reply", "error", F.lit(last + 1).alias("run")), path)
+    kept = reply_store.best(reply_store.stored(spark, path)).select("prompt_key", "reply", "error")
+    return keyed.select("batch_id", "prompt_key").join(kept, "prompt_key").select("batch_id", "reply", "error")
 
 
 # ---------------------------------------------------------------- L4 / L5

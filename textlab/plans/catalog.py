@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators import (annotate, classify, cluster, corpus, density, minibatch, quality, review, tagging,
-                               vectors, vocab)
+from textlab.operators import (annotate, classify, cluster, corpus, density, minibatch, quality, replies, review,
+                               tagging, vectors, vocab)
 from textlab.streaming import online
 from textlab.operators.common import cut_lineage
 from textlab.session import scratch_path
@@ -179,6 +179,26 @@ def q_label_retry(spark, sf_dir):
     return keyed.join(runs, "prompt_key").select("batch_id", "runs", "n_failed")
 
 
+@register("label_compacted")
+def q_label_compacted(spark, sf_dir):
+    """Three runs on one store (the third asks nothing), compacted after the second and the third:
+    one row a prompt, no failure left, and of the replaced commits only those of the last compaction."""
+    prompts = tagging.build_prompts(tagging.assign_batches(documents(spark, sf_dir), dense=False))
+    path = scratch_path(spark, "compacted")
+    call = lambda f: lambda p: tagging.call_labeller(p, f, retries=0)
+    tagging.store_replies(call(_failing_every_third), prompts, path)
+    tagging.store_replies(call(lambda b, i, c: "again"), prompts, path)
+    replies.compact(spark, path)
+    tagging.store_replies(call(lambda b, i, c: "never"), prompts, path)
+    replies.compact(spark, path)
+    per = replies.stored(spark, path).groupBy("prompt_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max("run").alias("run"), F.count("error").alias("n_failed"),
+        F.count(F.when(F.col("reply") == "again", 1)).alias("n_again"))
+    keyed = prompts.select("batch_id", tagging.prompt_key().alias("prompt_key"))
+    return keyed.join(per, "prompt_key").drop("prompt_key") \
+        .withColumn("n_commits", F.lit(len(replies.commits(spark, path))))
+
+
 @register("label_array")
 def q_label_array(spark, sf_dir):
     """The languages of the documents as one JSON array, read back in order."""
@@ -559,6 +579,15 @@ def q_polarity_confusion(spark, sf_dir):
     return classify.confusion(_polarity(spark, sf_dir), _quality_labels(spark, sf_dir))
 
 
+@register("polarity_three")
+def q_polarity_three(spark, sf_dir):
+    """A1 with three classes (toxic, low quality, the others), scored on every text."""
+    label = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"), label.alias("label"))
+    feats = classify.hashed_features(documents(spark, sf_dir))
+    return _doc(classify.score(classify.train(feats, labels), feats))
+
+
 def _reviews(spark, sf_dir):
     lab = table(spark, sf_dir, "labels")
     t1, t2 = F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-02 00:00:00").cast("timestamp")

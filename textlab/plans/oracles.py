@@ -354,6 +354,9 @@ SELECT ord AS doc_id, batch_id, CASE WHEN batch_id % 3 <> 0 THEN label END AS la
 ORACLES["label_retry"] = f"""WITH {TAG_CTE}
 SELECT batch_id, CASE WHEN batch_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS runs,
        CASE WHEN batch_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_failed FROM r"""
+ORACLES["label_compacted"] = f"""WITH {TAG_CTE}
+SELECT batch_id, 1::BIGINT AS n_rows, CASE WHEN batch_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS run, 0::BIGINT AS n_failed,
+       CASE WHEN batch_id % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS n_again, 3::INTEGER AS n_commits FROM r"""
 ORACLES["hdbscan_planted"] = """WITH m AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY label) AS first FROM embeddings)
 SELECT vec_id AS id, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS cluster FROM m"""
 ORACLES["tag_job_coverage"] = """WITH u AS (SELECT min(doc_id) AS rep, count(*) AS n FROM documents GROUP BY coalesce(text, '')),
