@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions.text import strip_text
-from textlab.operators.common import lookup, with_ordinal
+from textlab.operators.common import broadcast_measured, cut_lineage, lookup, with_ordinal
 
 # Rows folded into one digest per level of the fingerprint tree. A group holds
 # at most this many 32-character digests (about 2 MB), whatever the corpus size.
@@ -52,16 +52,26 @@ def fingerprint(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
     gathered in one task; ``["a\\nb"]`` and ``["a","b"]`` differ. One row:
     ``fingerprint, n_docs``.
     """
+    return root(group_digests(docs, fanout), fanout)
+
+
+def group_digests(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """P1, the lowest level of the tree: ``(b, d, n)``, digest and rows of each group of ``fanout`` ids."""
     rows = docs.select(
         F.col("ord"),
         F.md5(F.concat(F.col("ord").cast("string"), F.lit(":"),
                        F.md5(F.coalesce(F.col("text"), F.lit(""))))).alias("d"),
-        F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("b1"),
+        F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("b"),
     )
-    levels = rows.groupBy("b1").agg(_ordered_md5("ord", "d").alias("d"), F.count(F.lit(1)).alias("n")) \
-                 .withColumnRenamed("b1", "b")
-    low, high = docs.agg(F.min("ord"), F.max("ord")).first()
-    span = max(abs(high or 0), abs(low or 0)) // fanout
+    return rows.groupBy("b").agg(_ordered_md5("ord", "d").alias("d"), F.count(F.lit(1)).alias("n"))
+
+
+def root(groups: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """P1 from the lowest level, stored or new: one row ``fingerprint, n_docs``; no text is read."""
+    groups = cut_lineage(groups)      # a row of 40 bytes a group, read for its range and then folded
+    low, high = groups.agg(F.min("b"), F.max("b")).first()
+    span = max(abs(high or 0), abs(low or 0))
+    levels = groups
     deep = 1
     while deep < 2 or span // fanout >= fanout:   # the last fold gets at most about fanout digests
         up = F.floor(F.col("b") / F.lit(fanout)).cast("bigint")
@@ -71,6 +81,44 @@ def fingerprint(docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
     return levels.agg(_ordered_md5("b", "d").alias("fingerprint"), F.sum("n").cast("bigint").alias("n_docs"))
 
 
+def changed_groups(old: DataFrame, new: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """Where two corpora differ, from their lowest levels: ``(b, low, high, state, n_old, n_new)``.
+
+    ``low`` to ``high`` are the ids that the group spans, ``state`` is ``added``, ``removed`` or ``changed``;
+    equal groups give no row, so work kept by group is done again for these alone.
+    """
+    j = old.select("b", F.col("d").alias("d_old"), F.col("n").alias("n_old")).join(
+        new.select("b", F.col("d").alias("d_new"), F.col("n").alias("n_new")), "b", "full")
+    state = F.when(F.col("d_old").isNull(), "added").when(F.col("d_new").isNull(), "removed").otherwise("changed")
+    return j.where(~F.col("d_old").eqNullSafe(F.col("d_new"))).select(
+        "b", (F.col("b") * fanout).alias("low"), (F.col("b") * fanout + (fanout - 1)).alias("high"),
+        state.alias("state"), F.coalesce("n_old", F.lit(0)).alias("n_old"), F.coalesce("n_new", F.lit(0)).alias("n_new"))
+
+
+def appended(stored: DataFrame, docs: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """The lowest level of a corpus that only grew at its end since ``stored``.
+
+    Groups before the stored corpus' last one are taken over; of ``docs`` only ids from that group on
+    are read (a filter on ``ord``, which reaches the scan). Ids are 0 or more.
+    """
+    last = stored.agg(F.max("b")).first()[0]
+    if last is None:
+        return group_digests(docs, fanout)
+    fresh = group_digests(docs.where(F.col("ord") >= F.lit(last * fanout).cast("bigint")), fanout)
+    return stored.where(F.col("b") < last).select("b", "d", "n").unionByName(fresh)
+
+
+def edited(stored: DataFrame, docs: DataFrame, ids: DataFrame, fanout: int = FINGERPRINT_FANOUT) -> DataFrame:
+    """The lowest level after rows with the ids ``ids(ord)`` were edited, added or removed.
+
+    Only the groups of these ids are hashed again; ``ids`` are reduced to groups before they meet ``docs``.
+    """
+    group = F.floor(F.col("ord") / F.lit(fanout)).cast("bigint").alias("b")
+    touched = cut_lineage(ids.select(group).distinct())
+    rows = docs.withColumn("b", group).join(broadcast_measured(touched), "b", "left_semi").drop("b")
+    return stored.select("b", "d", "n").join(touched, "b", "left_anti").unionByName(group_digests(rows, fanout))
+
+
 def text_key(text_col: str = "text"):
     return F.md5(F.coalesce(F.col(text_col), F.lit("")))
 

@@ -85,6 +85,22 @@ def q_fingerprint(spark, sf_dir):
     return corpus.fingerprint(documents(spark, sf_dir))
 
 
+@register("corpus_changes")
+def q_corpus_changes(spark, sf_dir):
+    """Groups of 64 ids that changed since the stored level, after every 97th text was edited and the whole
+    corpus appended again; the new level is made from the stored one, the edited ids and the appended rows."""
+    docs, fanout = documents(spark, sf_dir).select("ord", "text"), 64
+    path = scratch_path(spark, "digests")
+    corpus.group_digests(docs, fanout).write.parquet(path)
+    stored = spark.read.parquet(path)
+    hit = F.col("ord") % 97 == 0
+    now = docs.withColumn("text", F.when(hit, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    size = docs.agg(F.max("ord")).first()[0] or 0
+    longer = now.unionByName(docs.withColumn("ord", F.col("ord") + (size + 1)))
+    level = corpus.appended(corpus.edited(stored, now, docs.where(hit), fanout), longer, fanout)
+    return corpus.changed_groups(stored, level, fanout)
+
+
 @register("distinct_texts")
 def q_distinct_texts(spark, sf_dir):
     """One row per distinct text."""

@@ -66,6 +66,17 @@ b2 AS (SELECT b1 // 65536 AS b2, md5(string_agg(d1, '' ORDER BY b1)) AS d2, sum(
        FROM b1 GROUP BY 1)
 SELECT md5(string_agg(d2, '' ORDER BY b2)) AS fingerprint, sum(n)::BIGINT AS n_docs FROM b2"""
 
+_GROUPS = """SELECT ord // 64 AS b, count(*) AS n,
+  md5(string_agg(md5(CAST(ord AS VARCHAR) || ':' || md5(coalesce(text, ''))), '' ORDER BY ord)) AS d"""
+ORACLES["corpus_changes"] = f"""WITH o AS (SELECT doc_id AS ord, text FROM documents),
+w AS (SELECT ord, CASE WHEN ord % 97 = 0 THEN coalesce(text, '') || '!' ELSE text END AS text FROM o
+      UNION ALL SELECT ord + 1 + (SELECT max(ord) FROM o), text FROM o),
+a AS ({_GROUPS} FROM o GROUP BY 1), z AS ({_GROUPS} FROM w GROUP BY 1)
+SELECT b, b * 64 AS low, b * 64 + 63 AS high,
+       CASE WHEN a.d IS NULL THEN 'added' WHEN z.d IS NULL THEN 'removed' ELSE 'changed' END AS state,
+       coalesce(a.n, 0) AS n_old, coalesce(z.n, 0) AS n_new
+FROM a FULL JOIN z USING (b) WHERE a.d IS DISTINCT FROM z.d"""
+
 ORACLES["distinct_texts"] = """SELECT md5(coalesce(text, '')) AS text_key, min(doc_id) AS first_doc,
        count(*) AS n_copies FROM documents GROUP BY 1"""
 
