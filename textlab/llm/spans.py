@@ -200,7 +200,23 @@ def removed(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", shared:
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its text without repeated spans, n_sentences (before) and n_removed."""
+    """docs with its text without repeated spans, n_sentences (before) and n_removed, which replace columns of these names."""
+    out, at = _dedup(docs, doc_id, text)
+    counts = ["n_sentences", "n_removed"]
+    return out.select(*[F.col(at[c]).alias(c) for c in without(docs, counts).columns], *counts)
+
+
+def cleaned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with its text without repeated spans; all other columns stay, whatever their names."""
+    out, at = _dedup(docs, doc_id, text)
+    return out.select(*[F.col(at[c]).alias(c) for c in docs.columns])
+
+
+def _dedup(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs under hidden names, which clash with none used here, with its cleaned text and the counts; the names."""
+    at = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    kept = at[text]
+    docs, doc_id, text = docs.toDF(*at.values()), at[doc_id], at[text]
     rows, shared = told_apart(docs, doc_id, text)
     marks = removed(rows, doc_id, text, shared).select(F.col("row").alias("__row"), F.col("spans").alias("__spans"))
     marked = rows.join(marks, "__row", "left")
@@ -227,6 +243,4 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     out = add_columns(marked, [text, "__spans"],
                       [T.StructField("__text", T.StringType()), T.StructField("n_sentences", T.IntegerType()),
                        T.StructField("n_removed", T.IntegerType())], make, [text, "__spans", "__row"])
-    counts = ["n_sentences", "n_removed"]
-    rest = without(docs, counts).columns
-    return out.select(*[F.col("__text").alias(text) if c == text else F.col(f"`{c}`") for c in rest], *counts)
+    return out.withColumnRenamed("__text", kept), at
