@@ -45,6 +45,14 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df has it, in any case."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet under the shared checkpoint folder, and read back."""
     path = scratch_path(df.sparkSession, name)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textlab.llm.common import add_columns, components, lookup, tidy, written
+from textlab.llm.common import add_columns, components, fresh, lookup, tidy, written
 
 #: Groups of segments; a choice of GROUPS - max_bits of them makes a cell.
 GROUPS = 8
@@ -216,7 +216,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("__text").alias("hash")))
     kept = found.groupBy("root").agg(first.alias("first")).select(
         F.col("first.id").alias("__id"), F.col("first.hash").alias("__text"))
-    mine = docs.withColumn("__text", F.xxhash64(text))
-    return mine.join(kept,
-                     mine[doc_id].eqNullSafe(kept["__id"]) & (mine["__text"] == kept["__text"]), "left_semi") \
-        .dropDuplicates([doc_id, "__text"]).drop("__text")
+    own = fresh(docs, "__text")
+    mine = docs.withColumn(own, F.xxhash64(text))
+    return mine.join(kept, mine[doc_id].eqNullSafe(kept["__id"]) & (mine[own] == kept["__text"]), "left_semi") \
+        .dropDuplicates([doc_id, own]).drop(own)
