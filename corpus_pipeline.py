@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlab.llm import bpe, mixing, quality, simhash, spans
-from textlab.llm.common import table, without, written
+from textlab.llm.common import fresh, table, written
 from textlab.llm.queries import THRESHOLD, tokenizer
 from textlab.session import prepare
 
@@ -21,8 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; labels are those of sf_dir."""
     prepare(spark)
     model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    scored = quality.score(docs, model, name="__score")
-    return scored.where(F.col("__score") >= THRESHOLD).drop("__score")
+    score = fresh(docs, "__score")
+    return quality.score(docs, model, name=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +34,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of repeated spans; n_chars follows the text."""
     prepare(spark)
-    out = without(spans.dedup(docs), ["n_sentences", "n_removed"])
+    out = spans.cleaned(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c in out.columns])
+    return out
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
