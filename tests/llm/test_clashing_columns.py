@@ -43,4 +43,6 @@ def test_stages(spark, frames, tmp_path, name, stage):
     spark.createDataFrame([(i, int(i != 9)) for i in range(1, 10)], "doc_id long, quality int") \
         .write.parquet(f"{tmp_path}/labels.parquet")
     got = stage(spark, more, str(tmp_path))
+    assert got.columns == more.columns
+    assert all(r[c] == f"own {c}" for r in got.collect() for c in EXTRA)
     assert _rows(got, plain.columns) == _rows(stage(spark, plain, str(tmp_path)), plain.columns)
