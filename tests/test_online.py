@@ -86,3 +86,17 @@ def test_polarity_and_centre_of_arriving_texts(spark):
             cluster.nearest_centre(batch.select(F.col("ord").alias("id"), "vec"), centres).collect()}
     for i, r in got.items():
         assert abs(r["p_positive"] - scored[i]) < 1e-12 and r["center"] == near[i]
+
+
+def test_the_documents_table_may_be_a_file_or_a_folder(spark, tmp_path):
+    from textlab.plans import catalog
+    rows = [(i, f"w{i % 3} w{i % 5}", "en", "web", 5) for i in range(12)] + [(12, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3, "doc_id").write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "part").glob("part-*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    got = [sorted(map(tuple, catalog.REGISTRY[q](spark, str(tmp_path / kind)).collect()), key=str)
+           for q in ("online_vectors", "online_centres") for kind in ("folder", "file")]
+    assert got[0] == got[1] and len(got[0]) == 13 * catalog.WV_DIM
+    assert got[2] == got[3] and len(got[2]) == 13

@@ -635,13 +635,18 @@ def q_review_agreement(spark, sf_dir):
     return a.select("n_reviewed", "n_agree", F.round("agreement", 6).alias("agreement"))
 
 
+def _arriving(sf_dir: str) -> str:
+    """The documents table as the source of a stream: a pattern, since the table may be one file or a folder of them."""
+    return f"{sf_dir.rstrip('/')}/documents[.]parquet"
+
+
 @register("online_vectors")
 def q_online_vectors(spark, sf_dir):
     """A3: the documents table as a file stream, scored per micro-batch (availableNow)."""
     _, v, wv = _native_vectors(spark, sf_dir)
-    out = online.run_online(spark, sf_dir.rstrip("/"),
+    out = online.run_online(spark, _arriving(sf_dir),
                             "doc_id bigint, text string, lang string, source string, n_chars bigint",
-                            "doc_id", "text", v, wv, WV_DIM, glob="documents.parquet")
+                            "doc_id", "text", v, wv, WV_DIM)
     return _flat(_doc(online.read_online(spark, out).select("ord", "vec")))
 
 
@@ -652,9 +657,9 @@ def q_online_centres(spark, sf_dir):
     table_ = cut_lineage(vectors.vector_table(v, wv, WV_DIM))
     given = vectors.sentence_vectors_from(docs.where(F.col("ord") < 5), v, table_, WV_DIM)
     centres = cut_lineage(given.select(F.col("ord").cast("int").alias("cluster"), F.col("vec").alias("centre")))
-    out = online.run_online(spark, sf_dir.rstrip("/"),
+    out = online.run_online(spark, _arriving(sf_dir),
                             "doc_id bigint, text string, lang string, source string, n_chars bigint",
-                            "doc_id", "text", v, wv, WV_DIM, glob="documents.parquet", centres=centres)
+                            "doc_id", "text", v, wv, WV_DIM, centres=centres)
     return _doc(online.read_online(spark, out).select("ord", "center"))
 
 

@@ -41,8 +41,8 @@ def run_online(spark: SparkSession, source: str, schema: str, key: str, text: st
                out_path: str | None = None, checkpoint: str | None = None,
                glob: str | None = None, max_files: int | None = None, polarity=None,
                centres: DataFrame | None = None) -> str:
-    """Process everything available in the folder ``source`` (trigger ``availableNow``),
-    optionally only files matching ``glob`` and ``max_files`` a micro-batch; returns the sink path.
+    """Process everything available in the folder ``source``, or in the files and folders that it matches as a
+    pattern (trigger ``availableNow``), optionally only files matching ``glob`` and ``max_files`` a micro-batch; returns the sink path.
 
     The vector table is built once, before the first micro-batch. With a fitted
     ``polarity`` rows also get ``polarity, p_positive``, with ``centres`` the ``center``.
