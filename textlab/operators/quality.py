@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators.blocks import blocked_cogroup, euclidean, n_blocks_for, stack, streamed_blocks
+from textlab.operators.blocks import Against, blocked_cogroup, euclidean, n_blocks_for, stack, streamed_blocks
 from textlab.operators.common import cut_lineage
 
 METRIC_SCHEMA = ("n_samples bigint, n_in_clusters bigint, n_clusters bigint, "
@@ -57,6 +57,9 @@ def centroids(points: DataFrame) -> DataFrame:
 
 # Sums by cluster that a task holds for its left block.
 SUM_CELLS = 4_000_000
+# Left blocks past which all rows are streamed, unless the sums or few rows ask for more or fewer: what is
+# shuffled grows with the rows, not with their square.
+LEFT_BLOCKS = 48
 
 
 def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2048,
@@ -73,23 +76,29 @@ def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2
         n_rows, n_clusters = pts.agg(F.count(F.lit(1)), F.countDistinct("cluster")).first()
 
     def prepare(left: pd.DataFrame) -> dict:
-        return {"id": left["id"].values, "x": stack(left["vec"]), "cluster": left["cluster"].values,
+        return {"id": left["id"].values, "x": Against(stack(left["vec"])), "cluster": left["cluster"].values,
                 "n": left["n"].values}
 
     def merge(block: dict, state, right: pd.DataFrame):
         known, sums, count = state or ({}, np.zeros((len(block["id"]), 0)), np.zeros(0))
-        codes, uniq = pd.factorize(right["cluster"].values)
+        right = right.iloc[np.argsort(right["cluster"].values, kind="stable")]
+        uniq, first = np.unique(right["cluster"].values, return_index=True)
         new = [c for c in uniq.tolist() if c not in known]
         known |= {c: len(known) + i for i, c in enumerate(new)}
         sums = np.concatenate([sums, np.zeros((len(sums), len(new)))], axis=1)
         count = np.concatenate([count, np.zeros(len(new))])
-        d = euclidean(block["x"], stack(right["vec"]))
-        d[block["id"][:, None] == right["id"].values[None, :]] = 0.0
-        hot = np.zeros((len(right), len(uniq)))
-        hot[np.arange(len(right)), codes] = right["n"].values
-        at = [known[c] for c in uniq.tolist()]
-        sums[:, at] += d @ hot
-        count[at] += hot.sum(axis=0)
+        n, ids = right["n"].values.astype(float), right["id"].values
+        at = np.array([known[c] for c in uniq.tolist()])
+        cuts = np.append(first, len(right))
+        same = np.isin(ids, block["id"]).any()
+        for i, j, d in block["x"].tiles(stack(right["vec"])):
+            np.sqrt(d, out=d)
+            if same:
+                d[block["id"][i:i + len(d), None] == ids[None, j:j + d.shape[1]]] = 0.0
+            for c in range(np.searchsorted(first, j, "right") - 1, np.searchsorted(first, j + d.shape[1])):
+                a, b = max(cuts[c], j), min(cuts[c + 1], j + d.shape[1])
+                sums[i:i + len(d), at[c]] += d[:, a - j:b - j] @ n[a:b]
+        count[at] += np.add.reduceat(n, first)
         return known, sums, count
 
     def emit(block: dict, state) -> pd.DataFrame:
@@ -104,7 +113,7 @@ def silhouette(points: DataFrame, n_rows: int | None = None, block_rows: int = 2
         s = np.where((count[own] <= 1) | (top == 0), 0.0, (b - a) / np.where(top == 0, 1.0, top))
         return pd.DataFrame({"s": [float((s * block["n"]).sum())], "n": [int(block["n"].sum())]})
 
-    size = max(64, min(block_rows, SUM_CELLS // max(1, n_clusters)))
+    size = max(64, min(max(block_rows, -(-n_rows // LEFT_BLOCKS)), SUM_CELLS // max(1, n_clusters)))
     parts = streamed_blocks(pts, n_rows, size, prepare, merge, emit, "s double, n bigint")
     return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
