@@ -1,7 +1,7 @@
 """Sentence vectors.
 
 Native path (E7): tokens -> vocabulary ids -> word-vector table -> masked mean
-pooling -> L2 norm, all JVM-side. Injected encoders (E1) run in
+pooling (numpy, by batches of texts) -> L2 norm. Injected encoders (E1) run in
 ``mapInPandas`` on distinct texts only and are joined back.
 """
 
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 from textlab.config import DEFAULTS, VectorSettings, VocabSettings
 from textlab.functions import vectors as V
 from textlab.operators import corpus
-from textlab.operators.common import broadcast_if_bounded, cut_lineage
+from textlab.operators.common import cut_lineage
 from textlab.operators.vocab import token_ids
 
 NOISE_SCALE = 0.01
 # The vocabulary's vectors as doubles: 50,000 x 300 dims is 123 MB a copy.
 POOL_BROADCAST_BYTES = 160 * 1024 * 1024
+# Texts whose vectors a task looks up at a time.
+POOL_ROWS = 512
 
 
 def _seeded_noise(word: str, dim: int) -> F.Column:
@@ -68,15 +72,52 @@ def mean_pool(ids: DataFrame, table: DataFrame, dim: int,
 
     ``ids(ord, pos, id)`` may hold one NULL row per empty text, which pools to
     the zero vector. The vector table (at most ``max_size`` rows of ``dim``
-    floats) is broadcast when that bound fits, so tokens are not shuffled by
-    id. Sums are aggregated before the shuffle: one d-vector per text and task.
+    floats) is shipped once per task when that bound fits: then only the ids of a text
+    meet, and its vectors are added where they are looked up.
     """
+    if settings.max_size * (dim * 8 + 64) > POOL_BROADCAST_BYTES:
+        return _pooled_by_join(ids, table, dim)
+    known = table.select("id", V.to_double("vec").alias("vec")).where("vec IS NOT NULL").toArrow()
+    names, at = np.unique(known["id"].to_numpy().astype(np.int64), return_inverse=True)
+    mat, times = np.zeros((len(names) + 1, dim)), np.ones(len(names) + 1, np.int64)   # last: ids without a vector
+    if len(names):
+        np.add.at(mat, at, known["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+        times[:-1] = np.bincount(at)
+    del known
+    shipped = table.sparkSession.sparkContext.broadcast((names, mat, times))
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, mat, times = shipped.value
+        for batch in batches:
+            for s in range(0, batch.num_rows, POOL_ROWS):
+                part = batch.slice(s, POOL_ROWS)
+                lists = part.column("ids")
+                n, tokens = pc.list_value_length(lists).to_numpy(), lists.flatten().to_numpy().astype(np.int64)
+                at = np.searchsorted(names, tokens)
+                at[at < len(names)] = np.where(names[at[at < len(names)]] == tokens[at < len(names)],
+                                               at[at < len(names)], len(names))
+                sums, count = np.zeros((len(n), dim)), np.zeros(len(n), np.int64)
+                some, first = n > 0, np.cumsum(n) - n
+                if len(tokens):
+                    sums[some] = np.add.reduceat(mat[at], first[some], axis=0)
+                    count[some] = np.add.reduceat(times[at], first[some])
+                sums /= np.maximum(count, 1)[:, None]
+                vec = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * dim), pa.array(sums.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("ord"), vec, pa.array(count.astype(np.int32))],
+                                                 ["ord", "vec", "n_tokens"])
+
+    texts = ids.groupBy("ord").agg(F.collect_list(F.col("id").cast("bigint")).alias("ids"))
+    kind = texts.schema["ord"].dataType.simpleString()
+    return texts.mapInArrow(pool, f"ord {kind}, vec array<double>, n_tokens int")
+
+
+def _pooled_by_join(ids: DataFrame, table: DataFrame, dim: int) -> DataFrame:
+    """:func:`mean_pool` with a table too large to ship: joined by id, summed by text."""
     side = table.select("id", array_to_vector("vec").alias("features"))
-    j = ids.join(broadcast_if_bounded(side, settings.max_size, dim * 8 + 64, POOL_BROADCAST_BYTES), "id", "left")
     summ = Summarizer.metrics("sum", "count")
     zero = array_to_vector(V.zeros(dim, "double"))
-    per = j.groupBy("ord").agg(summ.summary(F.coalesce("features", zero)).alias("s"),
-                               F.count("id").alias("n_tokens"))
+    per = ids.join(side, "id", "left").groupBy("ord").agg(summ.summary(F.coalesce("features", zero)).alias("s"),
+                                                          F.count("id").alias("n_tokens"))
     n = F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")
     return per.select("ord", F.transform(vector_to_array(F.col("s.sum")), lambda x: x / n).alias("vec"),
                       F.col("n_tokens").cast("int").alias("n_tokens"))
