@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from textlab.config import DEFAULTS, TagSettings
 from textlab.functions.text import strip_keep_null, strip_reasoning
 from textlab.operators import replies as reply_store
-from textlab.operators.common import cut_lineage, with_ordinal
+from textlab.operators.common import broadcast_measured, cut_lineage, with_ordinal
 
 # The label contract's generic polarity words (rejected labels).
 GENERIC_LABELS = ("positive", "negative", "neutral", "good review", "bad review")
@@ -240,17 +240,17 @@ def store_replies(replies_to_run: Callable[[DataFrame], DataFrame], prompts: Dat
     Equal prompts are sent once. :func:`textlab.operators.replies.compact` keeps the store small.
     """
     spark = prompts.sparkSession
-    keyed = prompts.withColumn("prompt_key", prompt_key())
+    keyed = cut_lineage(prompts.select("batch_id", prompt_key().alias("prompt_key")))   # the long columns stay behind
     known = reply_store.stored(spark, path)
     done = known.where(F.col("error").isNull()).select("prompt_key").distinct()
     last = known.agg(F.max("run")).first()[0] or 0
     todo = keyed.join(done, "prompt_key", "left_anti")
-    once = todo.groupBy("prompt_key").agg(F.min("batch_id").alias("batch_id"))
-    new = replies_to_run(todo.join(once.select("batch_id"), "batch_id", "left_semi"))
+    once = cut_lineage(todo.groupBy("prompt_key").agg(F.min("batch_id").alias("batch_id")))
+    new = replies_to_run(prompts.join(broadcast_measured(once.select("batch_id")), "batch_id", "left_semi"))
     reply_store.append(new.join(once, "batch_id")
                        .select("prompt_key", "reply", "error", F.lit(last + 1).alias("run")), path)
     kept = reply_store.best(reply_store.stored(spark, path)).select("prompt_key", "reply", "error")
-    return keyed.select("batch_id", "prompt_key").join(kept, "prompt_key").select("batch_id", "reply", "error")
+    return keyed.join(kept, "prompt_key").select("batch_id", "reply", "error")
 
 
 # ---------------------------------------------------------------- L4 / L5

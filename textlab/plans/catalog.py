@@ -181,10 +181,17 @@ def q_label_failures(spark, sf_dir):
     return _doc(t.select("ord", "batch_id", "label", "error"))
 
 
+def _prompts(spark, sf_dir):
+    """The prompts of all batches, written once: each run on a store reads them, and the result names their keys."""
+    path = scratch_path(spark, "prompts")
+    tagging.build_prompts(tagging.assign_batches(documents(spark, sf_dir), dense=False)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("label_retry")
 def q_label_retry(spark, sf_dir):
     """A second run on the same store asks again for what failed, and for nothing else."""
-    prompts = tagging.build_prompts(tagging.assign_batches(documents(spark, sf_dir), dense=False))
+    prompts = _prompts(spark, sf_dir)
     path = scratch_path(spark, "retry")
     call = lambda f: lambda p: tagging.call_labeller(p, f, retries=0)
     tagging.store_replies(call(_failing_every_third), prompts, path)
@@ -199,7 +206,7 @@ def q_label_retry(spark, sf_dir):
 def q_label_compacted(spark, sf_dir):
     """Three runs on one store (the third asks nothing), compacted after the second and the third:
     one row a prompt, no failure left, and of the replaced commits only those of the last compaction."""
-    prompts = tagging.build_prompts(tagging.assign_batches(documents(spark, sf_dir), dense=False))
+    prompts = _prompts(spark, sf_dir)
     path = scratch_path(spark, "compacted")
     call = lambda f: lambda p: tagging.call_labeller(p, f, retries=0)
     tagging.store_replies(call(_failing_every_third), prompts, path)
