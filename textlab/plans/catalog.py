@@ -331,11 +331,12 @@ def q_normalized_embeddings(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- annotation
-def _parse(spark, sf_dir):
-    """Documents and their parse table; the parse (an annotator's output) is
-    materialised once, as a model step's output would be, and read by every branch."""
+def _parse(spark, sf_dir, branches: int = 1):
+    """Documents and their parse table. Where several ``branches`` read the parse it is written once, as a model
+    step's output would be; one that is read once goes on to its reader, with the columns that this one needs."""
     docs = documents(spark, sf_dir)
-    return docs, cut_lineage(synthetic.derived_parse(docs))
+    parse = synthetic.derived_parse(docs)
+    return docs, (cut_lineage(parse) if branches > 1 else parse)
 
 
 @register("parse_tokens")
@@ -359,7 +360,7 @@ def q_subjects(spark, sf_dir):
 @register("adj_pairs")
 def q_adj_pairs(spark, sf_dir):
     """N3."""
-    return _doc(annotate.adj_pairs(_parse(spark, sf_dir)[1]))
+    return _doc(annotate.adj_pairs(_parse(spark, sf_dir, 2)[1]))
 
 
 @register("keywords")
@@ -391,7 +392,7 @@ def q_text_analysis(spark, sf_dir):
 @register("parser_entities")
 def q_parser_entities(spark, sf_dir):
     """N1/N6 with the parser's entities: the proper nouns of the parse."""
-    docs, toks = _parse(spark, sf_dir)
+    docs, toks = _parse(spark, sf_dir, 2)
     order = Window.partitionBy("ord").orderBy("sent_id", "word_id")
     ents = toks.where(F.col("upos") == "PROPN").select(
         "ord", F.row_number().over(order).alias("ent_ord"), "text", F.lit("NAME").alias("type"))
@@ -403,7 +404,7 @@ def q_parser_entities(spark, sf_dir):
 @register("gazetteer_entities")
 def q_gazetteer_entities(spark, sf_dir):
     """N1 lookup: of every sentence the first 1 to 12 words (by its place) are a phrase, to be found everywhere."""
-    _, toks = _parse(spark, sf_dir)
+    _, toks = _parse(spark, sf_dir, 2)
     words = F.array_sort(F.collect_list(F.struct("word_id", "text")))["text"]
     n = 1 + F.pmod(F.col("ord") * 7 + F.col("sent_id"), F.lit(12)).cast("int")
     gaz = toks.groupBy("ord", "sent_id").agg(words.alias("ws")).where(F.size("ws") >= n).select(
