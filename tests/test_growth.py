@@ -72,3 +72,25 @@ def test_prompts_are_made_once_and_only_those_asked_are_read_whole(spark, tmp_pa
     path = scratch_path(spark, "once")
     assert tagging.store_replies(run, prompts, path).where(F.col("reply") == "1: x").count() == 3
     assert tagging.store_replies(run, prompts, path).count() == 3 and asked == [0, 0]
+
+
+def test_core_distances_keep_neighbours_in_their_task(spark, monkeypatch):
+    from textlab.operators import cells, density
+    rng = np.random.default_rng(5)
+    vecs = np.concatenate([rng.normal(size=(150, 3)), rng.normal(size=(150, 3)) + 50, np.zeros((20, 3))])
+    n = rng.integers(1, 4, len(vecs))
+    n[0] = 30
+    pts = spark.createDataFrame([(i, vecs[i].tolist(), int(n[i])) for i in range(len(vecs))],
+                                "id bigint, vec array<double>, n bigint")
+    d = np.sqrt(((vecs[:, None] - vecs[None]) ** 2).sum(axis=2))
+    monkeypatch.setattr(cells, "neighbours", None)     # which gives each point k rows a block
+    for k, kept in ((12, cells.KEPT), (12, 100), (400, 1000), (5000, cells.KEPT)):
+        monkeypatch.setattr(cells, "KEPT", kept)
+        want = []
+        for i in range(len(vecs)):
+            rest = np.delete(np.arange(len(vecs)), i)
+            rest = rest[np.argsort(d[i, rest], kind="stable")]
+            seen = n[i] - 1 + np.cumsum(n[rest]) - n[rest]
+            want.append(d[i, rest][seen < k].max(initial=0.0))
+        got = density.core_distances(pts, k, len(vecs), block_rows=16, weight_col="n").collect()
+        assert len(got) == len(vecs) and all(abs(r["core"] - want[r["id"]]) < 1e-12 for r in got)
