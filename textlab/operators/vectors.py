@@ -96,11 +96,16 @@ def mean_pool(ids: DataFrame, table: DataFrame, dim: int,
                 at = np.searchsorted(names, tokens)
                 at[at < len(names)] = np.where(names[at[at < len(names)]] == tokens[at < len(names)],
                                                at[at < len(names)], len(names))
-                sums, count = np.zeros((len(n), dim)), np.zeros(len(n), np.int64)
-                some, first = n > 0, np.cumsum(n) - n
-                if len(tokens):
-                    sums[some] = np.add.reduceat(mat[at], first[some], axis=0)
-                    count[some] = np.add.reduceat(times[at], first[some])
+                mean, met = np.zeros((len(n), dim)), np.zeros((len(n), dim))
+                count, first = np.zeros(len(n), np.int64), np.cumsum(n) - n
+                for t in range(n.max(initial=0)):    # means kept up token by token, as Summarizer does
+                    on = np.flatnonzero(n > t)
+                    row = at[first[on] + t]
+                    some = mat[row] != 0
+                    met[on] += some
+                    mean[on] += np.where(some, (mat[row] - mean[on]) / np.maximum(met[on], 1), 0.0)
+                    count[on] += times[row]
+                sums = mean * met
                 sums /= np.maximum(count, 1)[:, None]
                 vec = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * dim), pa.array(sums.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column("ord"), vec, pa.array(count.astype(np.int32))],
