@@ -94,3 +94,61 @@ def test_core_distances_keep_neighbours_in_their_task(spark, monkeypatch):
             want.append(d[i, rest][seen < k].max(initial=0.0))
         got = density.core_distances(pts, k, len(vecs), block_rows=16, weight_col="n").collect()
         assert len(got) == len(vecs) and all(abs(r["core"] - want[r["id"]]) < 1e-12 for r in got)
+
+
+def _parse_rows(words, ord=1, sent=0, first=1):
+    return [(ord, sent, first + i, w, "X", 0, "x") for i, w in enumerate(words)]
+
+
+def test_phrases_are_found_in_words_that_lie_anywhere(spark, monkeypatch):
+    from textlab.operators import annotate, phrases
+    rng = np.random.default_rng(11)
+    rows = []
+    for o in range(12):
+        for s in (0, 1, 63, 64, 200):
+            rows += _parse_rows([f"w{x}" for x in rng.integers(0, 4, int(rng.integers(1, 45)))], o, s)
+    rows += _parse_rows(["w1", "w 2", "", "w2", "w3"], 90) + _parse_rows(["w1", None, "w2"], 91) \
+        + _parse_rows(["w1", "w2"], None, 3) + _parse_rows(["w1", "w2"], 92, None) + _parse_rows(["w2", "w1"], 93, 5, 7)
+    rows.append((93, 5, None, "w3", "X", 0, "x"))           # before all others
+    known = sorted({" ".join(f"w{x}" for x in rng.integers(0, 4, n)) for n in (1, 1, 2, 2, 2, 3, 3, 4) for _ in range(3)})
+    long = [" ".join(r[3] for r in rows if r[:2] == (o, s)) for o in range(0, 12, 3) for s in (0, 63, 200)]
+    known += [*long, "w 2", "w1 w 2", " w2", "w3 w2", "", "w1 w2 x" + " w1" * 60]
+    pairs = [(p, "A") for p in known] + [(known[0], "B"), (known[0], "B"), (None, "N"), ("w3", None)]
+    sentences = {}
+    for r in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0)):
+        sentences.setdefault(r[:2] if None not in r[:2] else (*r[:2], r[2]), []).append(r)
+    want = [(*at[0][:2], run[0][2], p, t) for at in sentences.values() for p, t in pairs if p is not None
+            for n in [p.count(" ") + 1] for i in range(len(at) - n + 1)
+            for run in [at[i:i + n]] if [r[3] for r in run] == p.split(" ")]
+    shuffled = [rows[i] for i in rng.permutation(len(rows))]
+    for given in (rows, shuffled):
+        toks = spark.createDataFrame(given, annotate.PARSE_SCHEMA).repartition(3) if given is shuffled \
+            else spark.createDataFrame(given, annotate.PARSE_SCHEMA)
+        gaz = spark.createDataFrame(pairs, "phrase string, type string")
+        for limit in (phrases.BROADCAST_BYTES_LIMIT, 400, 0):     # all shipped, some, none
+            monkeypatch.setattr(phrases, "BROADCAST_BYTES_LIMIT", limit)
+            got = [tuple(r) for r in annotate.gazetteer_entities(toks, gaz).collect()]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+        monkeypatch.undo()
+
+
+def test_phrases_write_words_once_and_exchange_only_what_the_filter_holds(spark, monkeypatch):
+    from textlab.operators import annotate, common, phrases
+    names = []
+    monkeypatch.setattr(phrases, "written", lambda df, name: names.append(name) or common.written(df, name))
+    toks = spark.createDataFrame([r for o in range(300) for r in _parse_rows([f"a{o}", "b", f"c{o % 7}", "d"], o)],
+                                 annotate.PARSE_SCHEMA).coalesce(2)
+    gaz = spark.createDataFrame([("a5 b c5", "P"), ("b", "P"), ("d e", "P")], "phrase string, type string")
+    cuts = []
+    monkeypatch.setattr(phrases, "cut_lineage", lambda df: cuts.append(common.cut_lineage(df)) or cuts[-1])
+    found = annotate.gazetteer_entities(toks, gaz)
+    assert sorted((r["ord"], r["text"]) for r in found.collect()) == sorted([(o, "b") for o in range(300)] + [(5, "a5 b c5")])
+    assert names == ["sentences", "phrases"] and [c.count() for c in cuts] == [0]    # no checkpoint has words
+    assert "Join" not in _plan(found)
+    met = phrases._runs(spark.sparkContext.broadcast(phrases.phrase_filter(gaz.withColumnRenamed("phrase", "text"), 3)), frozenset([1, 2, 3]))
+    assert phrases.sentence_words(toks).mapInArrow(met, "ord long, sent_id int, word_id int, text string").count() < 310
+
+
+def test_a_parse_of_several_readers_is_no_checkpoint_of_rows(spark, tmp_path):
+    df = catalog._parse(spark, _documents(spark, tmp_path), 2)[1]
+    assert "LogicalRDD" not in _plan(df) and df.count() > 0

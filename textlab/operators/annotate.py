@@ -11,10 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlab.operators.common import broadcast_measured, cut_lineage
+from textlab.operators import phrases
 from textlab.operators.vectors import per_worker
 
 # Default entity patterns (valid in Java regex and RE2), tried
@@ -56,54 +56,16 @@ def entities(docs: DataFrame, patterns=ENTITY_PATTERNS) -> DataFrame:
                      F.col("e.text").alias("text"), F.col("e.type").alias("type"))
 
 
-def phrase_prefixes(gazetteer: DataFrame) -> DataFrame:
-    """``(prefix, parent, word, depth, complete)``: every beginning of the phrases, the trie as a table."""
-    words = F.split("phrase", " ", -1)
-    grown = gazetteer.select("phrase").distinct().select("phrase", words.alias("ws")).select(
-        "phrase", "ws", F.explode(F.sequence(F.lit(1), F.size("ws"))).alias("depth"))
-    join = lambda n: F.array_join(F.slice("ws", 1, n), " ")
-    return grown.select(join(F.col("depth")).alias("prefix"), join(F.col("depth") - 1).alias("parent"),
-                        F.element_at("ws", F.col("depth")).alias("word"), "depth",
-                        (F.col("depth") == F.size("ws")).alias("complete")) \
-        .groupBy("depth", "prefix", "parent", "word").agg(F.max("complete").alias("complete"))
-
-
-def gazetteer_entities(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def gazetteer_entities(tokens: DataFrame, gazetteer: DataFrame, sentences: DataFrame | None = None) -> DataFrame:
     """N1 (lookup): gazetteer ``(phrase, type)`` matched against runs of parse tokens of a sentence.
 
     Phrases of any number of words, joined by single spaces; every occurrence
     counts, overlapping ones too. ``(ord, sent_id, word_id, text, type)`` with the
-    first word's id. A token that begins a phrase is extended word by word: each
-    round joins the next token of the sentence and the table of prefixes that are
-    one word longer, so only runs that some phrase still may equal go on, and as
-    many rounds are made as the longest phrase has words.
+    first word's id. ``sentences`` are the :func:`phrases.sentence_words` of the tokens, if
+    at hand. Each sentence's runs are looked up in a filter of the phrases, and those that it may hold in the
+    phrases themselves, see :mod:`textlab.operators.phrases`.
     """
-    sentence = Window.partitionBy("ord", "sent_id").orderBy("word_id")
-    rows = cut_lineage(tokens.select("ord", "sent_id", "word_id", "text", F.row_number().over(sentence).alias("place")))
-    prefixes = cut_lineage(phrase_prefixes(gazetteer))
-    longest = prefixes.agg(F.max("depth")).first()[0] or 0
-    found, runs = [], None
-    for depth in range(1, longest + 1):
-        step = broadcast_measured(prefixes.where(F.col("depth") == depth).select("parent", "word", "prefix", "complete"))
-        if runs is None:
-            grown = rows.select("ord", "sent_id", "word_id", "place", F.col("text").alias("word"), F.lit("").alias("parent"))
-        else:
-            nxt = rows.select("ord", "sent_id", "place", F.col("text").alias("word"))
-            grown = runs.select("ord", "sent_id", "word_id", (F.col("place") + 1).alias("place"),
-                                F.col("prefix").alias("parent")).join(nxt, ["ord", "sent_id", "place"])
-        runs = cut_lineage(grown.join(step, ["parent", "word"])
-                           .select("ord", "sent_id", "word_id", "place", "prefix", "complete"))
-        found.append(runs.where("complete").select("ord", "sent_id", "word_id", F.col("prefix").alias("text")))
-        if runs.isEmpty():
-            break
-    if not found:
-        return rows.join(gazetteer.select(F.col("phrase").alias("text"), "type"), "text").select(
-            "ord", "sent_id", "word_id", "text", "type")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return every.join(gazetteer.select(F.col("phrase").alias("text"), "type"), "text") \
-        .select("ord", "sent_id", "word_id", "text", "type")
+    return phrases.occurrences(phrases.sentence_words(tokens) if sentences is None else sentences, gazetteer)
 
 
 def subjects(tokens: DataFrame) -> DataFrame:

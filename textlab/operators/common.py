@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlab.session import ensure_checkpoint_dir
+from textlab.session import ensure_checkpoint_dir, scratch_path
 
 # Largest side we broadcast on a proven row bound (rows x bytes/row checked).
 BROADCAST_BYTES_LIMIT = 64 * 1024 * 1024
@@ -19,6 +19,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder, and read back.
+
+    For tables as long as the corpus: a checkpoint keeps whole uncompressed rows.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int,
                          limit: int = BROADCAST_BYTES_LIMIT) -> DataFrame:
     """Broadcast hint only when ``max_rows * row_bytes`` is a proven fit.

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textlab.functions import vectors as V
-from textlab.operators import (annotate, classify, cluster, corpus, density, minibatch, quality, replies, review,
-                               tagging, vectors, vocab)
+from textlab.operators import (annotate, classify, cluster, corpus, density, minibatch, phrases, quality, replies,
+                               review, tagging, vectors, vocab)
 from textlab.streaming import online
-from textlab.operators.common import cut_lineage
+from textlab.operators.common import cut_lineage, written
 from textlab.session import scratch_path
 from textlab.sources import files
 from textlab.sources import synthetic
@@ -336,7 +336,7 @@ def _parse(spark, sf_dir, branches: int = 1):
     step's output would be; one that is read once goes on to its reader, with the columns that this one needs."""
     docs = documents(spark, sf_dir)
     parse = synthetic.derived_parse(docs)
-    return docs, (cut_lineage(parse) if branches > 1 else parse)
+    return docs, (written(parse, "parse") if branches > 1 else parse)
 
 
 @register("parse_tokens")
@@ -404,12 +404,12 @@ def q_parser_entities(spark, sf_dir):
 @register("gazetteer_entities")
 def q_gazetteer_entities(spark, sf_dir):
     """N1 lookup: of every sentence the first 1 to 12 words (by its place) are a phrase, to be found everywhere."""
-    _, toks = _parse(spark, sf_dir, 2)
-    words = F.array_sort(F.collect_list(F.struct("word_id", "text")))["text"]
+    _, toks = _parse(spark, sf_dir)
+    sentences = phrases.sentence_words(toks)
     n = 1 + F.pmod(F.col("ord") * 7 + F.col("sent_id"), F.lit(12)).cast("int")
-    gaz = toks.groupBy("ord", "sent_id").agg(words.alias("ws")).where(F.size("ws") >= n).select(
-        F.array_join(F.slice("ws", 1, n), " ").alias("phrase"), F.lit("PHRASE").alias("type")).distinct()
-    return _doc(annotate.gazetteer_entities(toks, gaz))
+    gaz = sentences.where(F.size("words") >= n).select(
+        F.array_join(F.slice("words", 1, n), " ").alias("phrase")).distinct()
+    return _doc(annotate.gazetteer_entities(toks, gaz.withColumn("type", F.lit("PHRASE")), sentences))
 
 
 # ---------------------------------------------------------------- clustering
